@@ -68,9 +68,13 @@ class Forest:
     def depth(self) -> int:
         return depth_limit(self.sample_rows)
 
-    def path_micro(self, df: DataFrame) -> Column:
-        """Column with the sum of path lengths over all trees, in millionths."""
-        arrays = df.sparkSession.sparkContext.broadcast(self._arrays())
+    def path_micro(self, df: DataFrame, splits_only: bool = False) -> Column:
+        """Column with the sum of path lengths over all trees, in millionths.
+
+        A path length is the splits passed plus the expected rest at an impure leaf, or just the
+        splits if ``splits_only``.
+        """
+        arrays = df.sparkSession.sparkContext.broadcast(self._arrays(splits_only))
         width = self.depth
 
         @F.pandas_udf("bigint")
@@ -92,7 +96,14 @@ class Forest:
             .withColumn("anomaly_score", F.pow(F.lit(2.0), -F.col("mean_path") / expected))
         )
 
-    def _arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def mean_depth(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """Mean number of splits per row over all trees."""
+        path = self.path_micro(df, splits_only=True)
+        return df.withColumn("_path", path).select(
+            *[quoted(c) for c in keep], (F.col("_path") / (MICRO * self.trees)).alias("mean_depth")
+        )
+
+    def _arrays(self, splits_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Node table as complete binary trees; a leaf is continued leftwards to the last level."""
         nodes = self.nodes.toPandas()
         inner = 2**self.depth
@@ -108,7 +119,8 @@ class Forest:
         node = ends["node"].to_numpy()
         level = np.floor(np.log2(node)).astype(int)
         last = node * 2 ** (self.depth - level) - inner
-        leaf[ends["tree"].to_numpy(), last] = ends["leaf_micro"].to_numpy()
+        length = level * MICRO if splits_only else ends["leaf_micro"].to_numpy()
+        leaf[ends["tree"].to_numpy(), last] = length
         return feature, threshold, leaf
 
 
@@ -245,7 +257,7 @@ def tree_nodes(
                  first(s.threshold) AS threshold
           FROM steps GROUP BY tree, s.node)
         SELECT tree, node, n AS rows, get(array({names}), pick) AS feature, threshold,
-               CASE WHEN pick IS NULL THEN CAST(round({MICRO} * (floor(log2(node)) +
+               CASE WHEN pick IS NULL THEN CAST(round({MICRO} * (length(bin(node)) - 1 +
                  CASE WHEN n <= 1 THEN 0D WHEN n = 2 THEN 1D ELSE {expected} END)) AS BIGINT)
                END AS leaf_micro
         FROM nodes""",
