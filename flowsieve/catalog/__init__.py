@@ -1,8 +1,8 @@
 """The registered queries and the SQL that checks them."""
 
-from flowsieve.catalog import prepare
+from flowsieve.catalog import detect, prepare
 
-SECTIONS = (prepare,)
+SECTIONS = (prepare, detect)
 
 
 def queries() -> dict:

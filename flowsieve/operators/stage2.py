@@ -56,12 +56,13 @@ def fit_stage2(
     named = train.select(*[quoted(f) for f in features], F.col(label).cast("string").alias(label))
     classes = indexer.fit(named).labels
     shared = dict(
-        featuresCol="_features", labelCol="_label", probabilityCol="_probability",
-        predictionCol="_prediction", rawPredictionCol="_raw", maxDepth=depth, seed=seed,
+        featuresCol="_features", labelCol="_label", predictionCol="_prediction",
+        maxDepth=depth, seed=seed,
     )
     if len(classes) == 2:
         classifier = GBTClassifier(maxIter=rounds, stepSize=learning_rate, **shared)
     else:
         classifier = RandomForestClassifier(numTrees=rounds, **shared)
+    classifier.setProbabilityCol("_probability").setRawPredictionCol("_raw")
     model = Pipeline(stages=[assembler, indexer, classifier]).fit(named)
     return Stage2(model, tuple(classes))
