@@ -1,8 +1,8 @@
 """The registered queries and the SQL that checks them."""
 
-from flowsieve.catalog import detect, prepare
+from flowsieve.catalog import detect, evaluate, prepare, respond
 
-SECTIONS = (prepare, detect)
+SECTIONS = (prepare, detect, respond, evaluate)
 
 
 def queries() -> dict:

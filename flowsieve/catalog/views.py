@@ -185,17 +185,23 @@ staged AS (
 """
 
 
-def routed(limit: float) -> str:
+def routes(limit: float, name: str = "routed") -> str:
+    """CTE with route and final decision at a confidence limit, from ``staged``."""
+    path = (
+        f"CASE WHEN flag = 0 THEN 'NORMAL' WHEN confidence >= {limit} THEN predicted "
+        "ELSE 'ZERO_DAY_QUEUE' END"
+    )
     return f"""
-{STAGED},
-routes AS (
-  SELECT *, CASE WHEN flag = 0 THEN 'NORMAL' WHEN confidence >= {limit} THEN predicted
-                 ELSE 'ZERO_DAY_QUEUE' END AS route FROM staged),
-routed AS (
-  SELECT *, CASE WHEN route IN ('NORMAL', 'Normal') THEN 0 ELSE 1 END AS final FROM routes)
+{name} AS (
+  SELECT *, {path} AS route,
+         CASE WHEN {path} IN ('NORMAL', 'Normal') THEN 0 ELSE 1 END AS final FROM staged)
 """
 
 
+def routed(limit: float) -> str:
+    return f"{STAGED}, {routes(limit)}"
+
+
 def event_flags(spark: SparkSession, folder: str) -> DataFrame:
     df = event_scores(spark, folder).withColumn("if_score", -F.col("score"))
     return df.withColumn("flag", iforest.flag_lowest(df, "if_score", CONTAMINATION).cast("int"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -77,61 +78,102 @@ def order_values(
     df: DataFrame,
     ranks: dict[str, Sequence[int]],
     task_rows: int = TASK_ROWS,
+    sizes: dict[str, int] | None = None,
 ) -> dict[str, list]:
     """Exact k-th smallest non-NULL values (k counts from 0), per column.
 
-    Sketches of all columns bracket each rank in one pass; a second pass counts what lies below
-    each bracket and keeps only the few rows inside, where the value is found by counting.
+    Up to ``task_rows`` values, distinct values are counted and ranked as they are. Beyond that,
+    sketches of all columns bracket each rank in one pass; a second pass counts what lies below
+    each bracket, and only the few rows inside brackets are counted and ranked.
+
+    ``sizes``, the number of non-NULL values per column, saves a pass where it is known.
     """
-    columns = list(ranks)
-    sizes = df.agg(*[F.count(as_column(c)).alias(f"n{i}") for i, c in enumerate(columns)])
-    sizes = sizes.first()
-    wanted = [
-        (i, c, k, sizes[f"n{i}"]) for i, c in enumerate(columns) for k in ranks[c]
-    ]
-    for _, column, k, n in wanted:
-        if not 0 <= k < n:
-            raise ValueError(f"{column} has {n} values, rank {k} does not exist")
-    if max((n for *_, n in wanted), default=0) <= task_rows:
-        brackets = [(None, None)] * len(wanted)
-        below = [0] * len(wanted)
+    if sizes is None:
+        found = df.agg(*[F.count(as_column(c)).alias(f"n{i}") for i, c in enumerate(ranks)]).first()
+        sizes = {c: found[f"n{i}"] for i, c in enumerate(ranks)}
+    for column, wanted in ranks.items():
+        if wanted and not 0 <= min(wanted) <= max(wanted) < sizes[column]:
+            raise ValueError(f"{column} has {sizes[column]} values, not rank {max(wanted)}")
+    brackets: dict[str, list[tuple]] = {c: [(None, None, 0)] * len(ks) for c, ks in ranks.items()}
+    if max(sizes.values(), default=0) > task_rows:
+        brackets = _brackets(df, ranks, sizes)
+    return {
+        c: _inside_brackets(df, c, ranks[c], brackets[c], task_rows) for c in ranks if ranks[c]
+    }
+
+
+def _inside_brackets(
+    df: DataFrame, column: str, ranks: Sequence[int], brackets: list[tuple], task_rows: int
+) -> list:
+    """Values at ``ranks``, given (low, high, rows below low) for each; None leaves a side open."""
+    value, v = as_column(column), F.col("_v")
+    ranges = [_within(value, lo, hi) for lo, hi, _ in brackets]
+    kept = df.filter(value.isNotNull() & reduce(lambda a, b: a | b, ranges))
+    counted = kept.groupBy(value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    if all(lo is None and hi is None for lo, hi, _ in brackets):
+        order = W.orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+        placed = counted.withColumn("cum__n", F.sum("_n").over(order))
+        earlier = [0] * len(ranks)
     else:
-        brackets = _brackets(df, wanted)
-        below = df.agg(
+        counted = written(counted, "bracket")
+        # Rows of other, lower brackets come first in the running count.
+        earlier = counted.agg(
             *[
-                (count_where(as_column(c) < F.lit(lo)) if lo is not None else F.lit(0)).alias(f"b{j}")
-                for j, ((_, c, _, _), (lo, _)) in enumerate(zip(wanted, brackets))
+                (F.lit(0) if lo is None else F.coalesce(F.sum(F.when(v < lo, F.col("_n"))), F.lit(0)))
+                .alias(f"e{j}")
+                for j, (lo, _, _) in enumerate(brackets)
             ]
         ).first()
-    answers: dict[str, list] = {c: [] for c in columns}
-    for j, ((_, column, k, _), (lo, hi)) in enumerate(zip(wanted, brackets)):
-        value = as_column(column)
-        inside = df.filter(value.isNotNull())
-        if lo is not None:
-            inside = inside.filter(value >= F.lit(lo))
-        if hi is not None:
-            inside = inside.filter(value <= F.lit(hi))
-        counted = inside.groupBy(value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        if (lo, hi) != (None, None):
-            counted = written(counted, "bracket")
         placed = running_sums(counted, "_v", ["_n"], task_rows=task_rows)
-        found = placed.filter(F.col("cum__n") > F.lit(k - below[j])).agg(F.min("_v")).first()[0]
-        answers[column].append(found)
-    return answers
+    found = placed.agg(
+        *[
+            F.min(
+                F.when(_within(v, lo, hi) & (F.col("cum__n") > k - below + earlier[j]), v)
+            ).alias(f"v{j}")
+            for j, (k, (lo, hi, below)) in enumerate(zip(ranks, brackets))
+        ]
+    ).first()
+    return list(found)
+
 
+def _within(value: Column, lo, hi) -> Column:
+    above = F.lit(True) if lo is None else value >= F.lit(lo)
+    return above if hi is None else above & (value <= F.lit(hi))
 
-def _brackets(df: DataFrame, wanted: list[tuple]) -> list[tuple]:
-    """A low and a high value around each wanted rank, None where the bracket is open."""
-    aggregates = []
-    for j, (_, column, k, n) in enumerate(wanted):
+
+def _brackets(
+    df: DataFrame, ranks: dict[str, Sequence[int]], sizes: dict[str, int]
+) -> dict[str, list[tuple]]:
+    """(low, high, rows below low) around each wanted rank, from two passes over all columns."""
+    sketches = {}
+    for i, (column, wanted) in enumerate(ranks.items()):
+        n = sizes[column]
         slack = 2 / SKETCH_ACCURACY + 2 / n
-        for side, share in (("lo", k / n - slack), ("hi", (k + 1) / n + slack)):
-            if 0 < share < 1:
-                aggregates.append(
-                    F.percentile_approx(as_column(column), share, SKETCH_ACCURACY).alias(f"{side}{j}")
-                )
-    row = df.agg(*aggregates).first().asDict() if aggregates else {}
-    return [(row.get(f"lo{j}"), row.get(f"hi{j}")) for j in range(len(wanted))]
+        for j, k in enumerate(wanted):
+            for side, share in (("lo", k / n - slack), ("hi", (k + 1) / n + slack)):
+                if 0 < share < 1:
+                    sketches[f"{side}{i}_{j}"] = F.percentile_approx(
+                        as_column(column), share, SKETCH_ACCURACY
+                    )
+    ends = {}
+    if sketches:
+        ends = df.agg(*[s.alias(name) for name, s in sketches.items()]).first().asDict()
+    lows = {
+        f"lo{i}_{j}": as_column(c) < F.lit(ends[f"lo{i}_{j}"])
+        for i, (c, wanted) in enumerate(ranks.items())
+        for j in range(len(wanted))
+        if f"lo{i}_{j}" in ends
+    }
+    below = {}
+    if lows:
+        below = df.agg(*[count_where(low).alias(name) for name, low in lows.items()]).first().asDict()
+    return {
+        c: [
+            (ends.get(f"lo{i}_{j}"), ends.get(f"hi{i}_{j}"), below.get(f"lo{i}_{j}", 0))
+            for j in range(len(wanted))
+        ]
+        for i, (c, wanted) in enumerate(ranks.items())
+    }
 
 
 def quantiles(
@@ -164,7 +206,7 @@ def quantiles(
     }
     values = {
         c: dict(zip(ranks[c], found))
-        for c, found in order_values(df, ranks, task_rows).items()
+        for c, found in order_values(df, ranks, task_rows, counts).items()
     }
     result: dict[str, list[float | None]] = {}
     for c in columns:
@@ -273,13 +315,17 @@ def top_rows(
     """
     if count <= 0:
         return F.lit(False)
-    n = df.filter(F.col(score).isNotNull()).count()
+    n = df.agg(F.count(score)).first()[0]
     if count >= n:
         return F.col(score).isNotNull()
-    cut = order_values(df, {score: [n - count]}, task_rows)[score][0]
-    above = df.filter(F.col(score) > F.lit(cut)).count()
-    level = df.filter(F.col(score) == F.lit(cut))
-    last = order_values(level, {id_column: [count - above - 1]}, task_rows)[id_column][0]
-    return (F.col(score) > F.lit(cut)) | (
-        (F.col(score) == F.lit(cut)) & (F.col(id_column) <= F.lit(last))
-    )
+    cut = F.lit(order_values(df, {score: [n - count]}, task_rows, {score: n})[score][0])
+    above = F.col(score) > cut
+    row = df.agg(
+        count_where(above).alias("above"), count_where(F.col(score) == cut).alias("level")
+    ).first()
+    if row.above + row.level == count:
+        return F.col(score) >= cut
+    level = df.filter(F.col(score) == cut)
+    rank = count - row.above - 1
+    last = order_values(level, {id_column: [rank]}, task_rows, {id_column: row.level})[id_column][0]
+    return above | ((F.col(score) == cut) & (F.col(id_column) <= F.lit(last)))
