@@ -71,7 +71,7 @@ def precision_recall_curve(ranked: DataFrame) -> DataFrame:
 
 def average_precision(ranked: DataFrame) -> DataFrame:
     """Sum of precision times the recall gained. The gain of a score is its own positives."""
-    gain = F.col("pos") / F.col("positives")
+    gain = ratio(F.col("pos"), F.col("positives"))
     return ranked.agg(
         F.sum(gain * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("average_precision")
     )

@@ -20,7 +20,8 @@ def stream_window_features(
     Two chained aggregations, as in the batch form, so state holds one row per window, source and
     port seen, and is dropped with the watermark. Write it out in append mode.
     """
-    marked = records.withWatermark(time, delay)
+    # Watermarks exist for timestamps with a time zone only.
+    marked = records.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
     ports = port_counts(marked, [F.window(time, window).alias("_window"), F.col(source)])
     again = F.window(F.window_time("_window"), window).alias("_window")
     totals = window_totals(ports, [again, F.col(source)])
