@@ -81,12 +81,15 @@ def forest_nodes(spark, folder):
 @query(
     "d2_forest_scores",
     sql(PATHS, body=f"""
-    SELECT flow_id, {r("mean_path")}, {r(f"-pow(2.0::DOUBLE, -mean_path / {EXPECTED!r})", "if_score")} FROM paths"""),
+    SELECT flow_id, {r("mean_path", digits=9)}, {r(f"-pow(2.0::DOUBLE, -mean_path / {EXPECTED!r})", "if_score")} FROM paths"""),
 )
 def forest_scores(spark, folder):
     matrix = flow_matrix(spark, folder)
     scored = flow_forest(matrix).score(matrix, ["flow_id"])
-    return rounded(scored.select("flow_id", "mean_path", (-F.col("anomaly_score")).alias("if_score")))
+    # Nine digits hold a mean path exactly: a sum of millionths over 200 trees.
+    return rounded(
+        scored.select("flow_id", "mean_path", F.round(-F.col("anomaly_score"), 6).alias("if_score")), 9
+    )
 
 
 @query("d3_flag_fraction", sql(EVENT_FLAGGED, body=f"SELECT id, {r('score')}, flag FROM flagged"))
@@ -235,10 +238,10 @@ def trace_paths(spark, folder):
     return rounded(traced.select("flow_id", F.explode("splits").alias("s")).select("flow_id", "s.*"))
 
 
-@query("d12_mean_depth", sql(PATHS, body=f"SELECT flow_id, {r('mean_depth')} FROM paths"))
+@query("d12_mean_depth", sql(PATHS, body=f"SELECT flow_id, {r('mean_depth', digits=9)} FROM paths"))
 def mean_depth(spark, folder):
     matrix = flow_matrix(spark, folder)
-    return rounded(flow_forest(matrix).mean_depth(matrix, ["flow_id"]))
+    return rounded(flow_forest(matrix).mean_depth(matrix, ["flow_id"]), 9)
 
 
 @query(

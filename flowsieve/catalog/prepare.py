@@ -63,7 +63,8 @@ file_rows AS (
     SELECT flow_id, label, CASE WHEN flow_byts_per_s = CAST('Infinity' AS DOUBLE) THEN 1 ELSE 0 END
              AS infinite,
            {r(finite("flow_byts_per_s"), "flow_byts_per_s")},
-           {", ".join(r(s) for s in list(SHORT.values())[1:])}
+           {", ".join(r(s, digits=12) for s in list(SHORT.values())[1:] if s.endswith("wd_pkts_per_s"))},
+           {", ".join(r(s) for s in list(SHORT.values())[1:] if not s.endswith("wd_pkts_per_s"))}
     FROM file_rows"""),
 )
 def scan_csv(spark, folder):
@@ -72,15 +73,19 @@ def scan_csv(spark, folder):
     rows.write.option("header", True).csv(path)
     df = tables.scan_csv(spark, path, flows.flow_file_schema())
     rate = F.col("`Flow Byts/s`")
-    return rounded(
+    # Rates per day are rounded finely enough to stay clear of halves.
+    fine = {SHORT[c] for c in ("Fwd Pkts/s", "Bwd Pkts/s")}
+    named = rounded(
         df.select(
             "flow_id",
             F.col("Label").alias("label"),
             F.when(rate == float("inf"), 1).otherwise(0).alias("infinite"),
             finite_or_null(rate).alias(SHORT["Flow Byts/s"]),
             *[F.col(f"`{c}`").alias(SHORT[c]) for c in FLOW_FILE_COLUMNS[1:]],
-        )
+        ),
+        12,
     )
+    return named.withColumns({c: F.round(c, 6) for c in SHORT.values() if c not in fine})
 
 
 @query(

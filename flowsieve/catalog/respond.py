@@ -383,32 +383,22 @@ def window_findings(spark, folder, contamination=0.02, window="1 hour"):
     )
 
 
-FINDING_TEXT = """
-strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || src || '|' || type || '|' || severity || '|' ||
-CAST(round(round(if_score, 4) * 10000) AS BIGINT) || '|' || CAST(trunc(n_bytes) AS BIGINT) || '|' ||
-n_packets || '|' || n_dst_ports || '|' || CAST(round(round(failed_ratio, 4) * 10000) AS BIGINT)
-"""
-
-
 @query(
     "a6_findings_document",
     sql(WINDOW_FLAGS, body=f"""
     SELECT 'events' AS file, (SELECT count(*) FROM events) AS records,
            (SELECT strftime(min(ts), '%Y-%m-%d %H:%M') || ' – ' || strftime(max(ts), '%H:%M')
             FROM events) AS time_range,
-           count(*) AS total_anomalies,
-           string_agg({FINDING_TEXT}, ';' ORDER BY ts, src) AS anomalies FROM typed"""),
+           count(*) OVER () AS total_anomalies,
+           strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", src AS src_ip, type, severity,
+           {r("if_score", digits=4)}, {r("failed_ratio", digits=4)},
+           CAST(trunc(n_bytes) AS BIGINT) AS n_bytes, n_packets, n_dst_ports FROM typed"""),
 )
 def findings_document(spark, folder):
-    """One nested row; the list is printed as text, in a form both engines write alike."""
+    """The nested result, its findings spread out into columns for comparison."""
     events = event_records(spark, folder)
-    document = report.findings_document(window_findings(spark, folder), events, "events", ["src_ip"])
-    entry = lambda x: F.concat_ws(
-        "|", x["timestamp"], x["src_ip"], x["type"], x["severity"],
-        F.round(x["if_score"] * 10000).cast("bigint"), x["n_bytes"], x["n_packets"],
-        x["n_dst_ports"], F.round(x["failed_ratio"] * 10000).cast("bigint"),
-    )
-    return document.withColumn("anomalies", F.array_join(F.transform("anomalies", entry), ";"))
+    document = report.findings_document(window_findings(spark, folder), events, "events")
+    return document.select("*", "anomaly.*").drop("anomaly")
 
 
 @query(
@@ -420,7 +410,7 @@ def findings_document(spark, folder):
 )
 def written_findings(spark, folder):
     """Write the findings as JSON lines and read them back."""
-    records = report.finding_records(window_findings(spark, folder), ["src_ip"])
+    records = report.finding_records(window_findings(spark, folder))
     path = scratch_path(spark, "findings")
     tables.write_findings(records, path)
     return tables.read_findings(spark, path, records.schema)

@@ -244,25 +244,32 @@ def class_summary(df: DataFrame, score: str = "score", label: str = "y") -> Data
 def box_summary(
     df: DataFrame, columns: Sequence[str], label: str = "true_label"
 ) -> DataFrame:
-    """Quartiles of log1p values per class and feature, and whiskers at 1.5 quartile ranges."""
-    result = None
-    for c in columns:
-        logged = df.select(F.col(label).alias("class"), log1p_clipped(c).alias("v"))
-        found = _class_quantiles(logged, "v", "class", [0.25, 0.5, 0.75])
-        q1, q2, q3 = (_per_class(found, i) for i in range(3))
-        reach = 1.5 * (q3 - q1)
-        v = F.col("v")
-        one = logged.groupBy("class").agg(
-            F.min(F.when(v >= q1 - reach, v)).alias("low_whisker"),
-            F.max(F.when(v <= q3 + reach, v)).alias("high_whisker"),
-            count_where((v < q1 - reach) | (v > q3 + reach)).alias("outside"),
-        )
-        one = one.select(
-            F.lit(c).alias("feature"), "class", q1.alias("q1"), q2.alias("median"), q3.alias("q3"),
-            "low_whisker", "high_whisker", "outside",
+    """Quartiles of log1p values per class and feature, and whiskers at 1.5 quartile ranges.
+
+    One call finds the quartiles of all features and classes, one aggregation the whiskers.
+    """
+    pairs = [(c, k) for c in columns for k in (0, 1)]
+    split = df.select(
+        *[F.when(F.col(label) == k, log1p_clipped(c)).alias(f"v{i}") for i, (c, k) in enumerate(pairs)]
+    )
+    found = quantiles(split, split.columns, [0.25, 0.5, 0.75])
+    entries = []
+    for i, (c, k) in enumerate(pairs):
+        q1, q2, q3 = (F.lit(q) for q in found[f"v{i}"])
+        v, reach = F.col(f"v{i}"), 1.5 * (q3 - q1)
+        entries.append(
+            F.struct(
+                F.lit(c).alias("feature"),
+                F.lit(k).alias("class"),
+                q1.alias("q1"),
+                q2.alias("median"),
+                q3.alias("q3"),
+                F.min(F.when(v >= q1 - reach, v)).alias("low_whisker"),
+                F.max(F.when(v <= q3 + reach, v)).alias("high_whisker"),
+                count_where((v < q1 - reach) | (v > q3 + reach)).alias("outside"),
+            )
         )
-        result = one if result is None else result.unionByName(one)
-    return result
+    return split.agg(F.array(*entries).alias("_e")).select(F.explode("_e").alias("_e")).select("_e.*")
 
 
 def _class_quantiles(

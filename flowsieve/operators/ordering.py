@@ -25,6 +25,7 @@ from flowsieve.session import TASK_ROWS, written
 EDGES = 1024
 SKETCH_ACCURACY = 10_000
 HEX_DIGITS = 4
+BROADCAST_ROWS = 10_000
 
 
 def running_sums(
@@ -94,50 +95,66 @@ def order_values(
     for column, wanted in ranks.items():
         if wanted and not 0 <= min(wanted) <= max(wanted) < sizes[column]:
             raise ValueError(f"{column} has {sizes[column]} values, not rank {max(wanted)}")
-    brackets: dict[str, list[tuple]] = {c: [(None, None, 0)] * len(ks) for c, ks in ranks.items()}
-    if max(sizes.values(), default=0) > task_rows:
-        brackets = _brackets(df, ranks, sizes)
+    columns = [c for c in ranks if ranks[c]]
+    if max((sizes[c] for c in columns), default=0) <= task_rows:
+        return {c: _ranked_values(_value_counts(df, c), ranks[c]) for c in columns}
+
+    brackets = _brackets(df, {c: ranks[c] for c in columns}, sizes)
+    # One pass finds the values inside any bracket of their column. Columns share a type.
+    entries = [
+        F.when(
+            reduce(lambda x, y: x | y, [_within(as_column(c), lo, hi) for lo, hi, _ in brackets[c]]),
+            F.struct(F.lit(i).alias("c"), as_column(c).alias("v")),
+        )
+        for i, c in enumerate(columns)
+    ]
+    kept = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+    counted = kept.groupBy(F.col("e.c").alias("_c"), F.col("e.v").alias("_v"))
+    counted = written(counted.agg(F.count(F.lit(1)).alias("_n")), "brackets")
     return {
-        c: _inside_brackets(df, c, ranks[c], brackets[c], task_rows) for c in ranks if ranks[c]
+        c: _bracketed_values(
+            counted.filter(F.col("_c") == i).drop("_c"), ranks[c], brackets[c], task_rows
+        )
+        for i, c in enumerate(columns)
     }
 
 
-def _inside_brackets(
-    df: DataFrame, column: str, ranks: Sequence[int], brackets: list[tuple], task_rows: int
+def _value_counts(df: DataFrame, column: str) -> DataFrame:
+    value = as_column(column)
+    rows = df.filter(value.isNotNull())
+    return rows.groupBy(value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _ranked_values(counted: DataFrame, ranks: Sequence[int]) -> list:
+    """Values at ``ranks`` of a table that one task can sort."""
+    order = W.orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = counted.withColumn("_upto", F.sum("_n").over(order))
+    picks = [F.min(F.when(F.col("_upto") > k, F.col("_v"))).alias(f"v{j}") for j, k in enumerate(ranks)]
+    return list(placed.agg(*picks).first())
+
+
+def _bracketed_values(
+    counted: DataFrame, ranks: Sequence[int], brackets: list[tuple], task_rows: int
 ) -> list:
-    """Values at ``ranks``, given (low, high, rows below low) for each; None leaves a side open."""
-    value, v = as_column(column), F.col("_v")
-    ranges = [_within(value, lo, hi) for lo, hi, _ in brackets]
-    kept = df.filter(value.isNotNull() & reduce(lambda a, b: a | b, ranges))
-    counted = kept.groupBy(value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    if all(lo is None and hi is None for lo, hi, _ in brackets):
-        order = W.orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-        placed = counted.withColumn("cum__n", F.sum("_n").over(order))
-        earlier = [0] * len(ranks)
-    else:
-        counted = written(counted, "bracket")
-        # Rows of other, lower brackets come first in the running count.
-        earlier = counted.agg(
-            *[
-                (F.lit(0) if lo is None else F.coalesce(F.sum(F.when(v < lo, F.col("_n"))), F.lit(0)))
-                .alias(f"e{j}")
-                for j, (lo, _, _) in enumerate(brackets)
-            ]
-        ).first()
-        placed = running_sums(counted, "_v", ["_n"], task_rows=task_rows)
-    found = placed.agg(
+    """Values at ``ranks`` from the counts inside brackets (low, high, rows below low)."""
+    v, n = F.col("_v"), F.col("_n")
+    # Rows of other, lower brackets come first in the running count.
+    earlier = counted.agg(
         *[
-            F.min(
-                F.when(_within(v, lo, hi) & (F.col("cum__n") > k - below + earlier[j]), v)
-            ).alias(f"v{j}")
-            for j, (k, (lo, hi, below)) in enumerate(zip(ranks, brackets))
+            (F.lit(0) if lo is None else F.coalesce(F.sum(F.when(v < lo, n)), F.lit(0))).alias(f"e{j}")
+            for j, (lo, _, _) in enumerate(brackets)
         ]
     ).first()
-    return list(found)
+    placed = running_sums(counted, "_v", ["_n"], task_rows=task_rows)
+    picks = [
+        F.min(F.when(_within(v, lo, hi) & (F.col("cum__n") > k - below + earlier[j]), v)).alias(f"v{j}")
+        for j, (k, (lo, hi, below)) in enumerate(zip(ranks, brackets))
+    ]
+    return list(placed.agg(*picks).first())
 
 
 def _within(value: Column, lo, hi) -> Column:
-    above = F.lit(True) if lo is None else value >= F.lit(lo)
+    above = value.isNotNull() if lo is None else value >= F.lit(lo)
     return above if hi is None else above & (value <= F.lit(hi))
 
 
@@ -204,9 +221,10 @@ def quantiles(
         c: sorted({r for p in ps for r in (math.floor(p), math.ceil(p))})
         for c, ps in places.items()
     }
+    numbers = df.select(*[as_column(c).cast("double").alias(c) for c in columns])
     values = {
         c: dict(zip(ranks[c], found))
-        for c, found in order_values(df, ranks, task_rows, counts).items()
+        for c, found in order_values(numbers, ranks, task_rows, counts).items()
     }
     result: dict[str, list[float | None]] = {}
     for c in columns:
@@ -270,11 +288,11 @@ def hash_quota(
     """
     digest = hash_key(ids, seed)
     keyed = df.withColumn("_hash", digest).withColumn("_bucket", F.substring(digest, 1, digits))
-    group = [F.col(quoted(c)).alias(f"_g{i}") for i, c in enumerate(by)]
     names = [f"_g{i}" for i in range(len(by))]
+    group = [F.col(quoted(c)).alias(n) for c, n in zip(by, names)]
     totals = keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     running = W.partitionBy(*names).orderBy("_bucket")
-    ends = (
+    cuts = (
         totals.withColumn("_end", F.sum("_n").over(running))
         .withColumn("group_rows", F.sum("_n").over(W.partitionBy(*names)))
         .withColumn("_quota", quota.cast("bigint"))
@@ -282,16 +300,14 @@ def hash_quota(
         .groupBy(*names)
         .agg(
             F.min(F.struct("_bucket", (F.col("_quota") - F.col("_end") + F.col("_n")).alias("rest")))
-            .alias("_cut")
+            .alias("_c")
         )
-        .select(*names, F.col("_cut._bucket").alias("_cut"), F.col("_cut.rest").alias("_rest"))
+        .select(*names, F.col("_c._bucket").alias("_cut"), F.col("_c.rest").alias("_rest"))
     )
-    if by:
-        same = [keyed[quoted(c)].eqNullSafe(ends[f"_g{i}"]) for i, c in enumerate(by)]
-        # A group whose quota exceeds its size has no cut and is taken whole.
-        placed = keyed.join(ends, same, "left").drop(*names)
-    else:
-        placed = keyed.join(F.broadcast(ends), F.lit(True), "left")
+    cuts = _local_if_small(cuts)
+    same = [F.col(quoted(c)).eqNullSafe(F.col(n)) for c, n in zip(by, names)] or [F.lit(True)]
+    # A group whose quota exceeds its size has no cut and is taken whole.
+    placed = keyed.join(cuts, reduce(lambda x, y: x & y, same), "left").drop(*names)
     decided = placed.filter(F.col("_cut").isNull() | (F.col("_bucket") != F.col("_cut"))).withColumn(
         name, F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut"))
     )
@@ -305,6 +321,14 @@ def hash_quota(
     return decided.drop(*extra).unionByName(numbered.drop(*extra))
 
 
+def _local_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` fetched and marked for broadcast if it has at most ``rows`` rows, else ``df``."""
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+
+
 def top_rows(
     df: DataFrame, score: str, id_column: str, count: int, task_rows: int = TASK_ROWS
 ) -> Column:

@@ -155,28 +155,25 @@ def score_label_correlation(df: DataFrame, score: str = "score", label: str = "y
 
 
 def findings_document(
-    findings: DataFrame, records: DataFrame, file: str, ids: Sequence[str], time: str = "ts"
+    findings: DataFrame, records: DataFrame, file: str, time: str = "ts"
 ) -> DataFrame:
-    """The whole result as one nested row: file, record count, time range, list of findings.
+    """The findings with what is said once per run: file, record count, time range, total.
 
-    ``findings`` should be deduplicated or the flagged fraction small: the list is one value. For
-    unbounded lists write :func:`finding_records` as a table instead.
+    One row per finding, the finding nested as ``anomaly``, so that the list can grow with the data.
+    The run's row is kept, with a NULL finding, if there are none.
     """
     from flowsieve.operators.windows import time_range
 
-    entries = finding_records(findings, ids, time)
-    listed = entries.agg(
-        F.count(F.lit(1)).alias("total_anomalies"),
-        F.array_sort(F.collect_list(F.struct("timestamp", *[c for c in entries.columns if c != "timestamp"]))).alias(
-            "anomalies"
-        ),
-    )
-    return time_range(records, time).join(listed, F.lit(True)).select(
-        F.lit(file).alias("file"), "records", "time_range", "total_anomalies", "anomalies"
+    entries = finding_records(findings, time)
+    total = findings.agg(F.count(F.lit(1)).alias("total_anomalies"))
+    header = time_range(records, time).join(total, F.lit(True))
+    nested = entries.select(F.struct("*").alias("anomaly"))
+    return F.broadcast(header).join(nested, F.lit(True), "left").select(
+        F.lit(file).alias("file"), "records", "time_range", "total_anomalies", "anomaly"
     )
 
 
-def finding_records(findings: DataFrame, ids: Sequence[str], time: str = "ts") -> DataFrame:
+def finding_records(findings: DataFrame, time: str = "ts") -> DataFrame:
     """Findings with formatted times, rounded scores and whole counts."""
     whole = [c for c in ("n_bytes", "n_packets", "n_dst_ports") if c in findings.columns]
     fine = [c for c in ("if_score", "failed_ratio") if c in findings.columns]

@@ -113,13 +113,13 @@ def test_findings_document(spark):
         "ts timestamp_ntz, src_ip string, type string, severity string, if_score double, "
         "n_bytes double, n_packets bigint, n_dst_ports bigint, failed_ratio double",
     )
-    row = report.findings_document(df, df, "x.csv", ["src_ip"]).first()
+    row = report.findings_document(df, df, "x.csv").first()
     assert (row.file, row.records, row.time_range, row.total_anomalies) == (
         "x.csv", 1, "2024-01-15 03:04 – 03:04", 1,
     )
-    found = row.anomalies[0]
+    found = row.anomaly
     assert (found.timestamp, found.if_score, found.n_bytes, found.failed_ratio) == (
         "2024-01-15 03:04:05", -0.1235, 12, 0.3333,
     )
-    none = report.findings_document(df.filter("false"), df, "x.csv", ["src_ip"]).first()
-    assert none.total_anomalies == 0 and none.anomalies == []
+    none = report.findings_document(df.filter("false"), df, "x.csv").first()
+    assert none.total_anomalies == 0 and none.anomaly is None
