@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from flowsieve.functions.columns import SEED, as_column, count_where, hash_key, quoted
-from flowsieve.session import TASK_ROWS, written
+from flowsieve.session import TASK_ROWS, broadcast_if_small, written
 
 EDGES = 1024
 SKETCH_ACCURACY = 10_000
 HEX_DIGITS = 4
-BROADCAST_ROWS = 10_000
 
 
 def running_sums(
@@ -51,6 +50,8 @@ def running_sums(
         window = W.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.select("*", *[F.sum(s).over(window).alias(f"cum_{s}") for s in sums])
 
+    # The input is often an aggregation of a much larger table; two passes over it follow.
+    df = written(df, "keys")
     cuts = sorted({c for c in found.cuts if math.isfinite(c)})
     bucketed = Bucketizer(
         splits=[-math.inf, *cuts, math.inf],
@@ -304,7 +305,7 @@ def hash_quota(
         )
         .select(*names, F.col("_c._bucket").alias("_cut"), F.col("_c.rest").alias("_rest"))
     )
-    cuts = _local_if_small(cuts)
+    cuts = broadcast_if_small(cuts)
     same = [F.col(quoted(c)).eqNullSafe(F.col(n)) for c, n in zip(by, names)] or [F.lit(True)]
     # A group whose quota exceeds its size has no cut and is taken whole.
     placed = keyed.join(cuts, reduce(lambda x, y: x & y, same), "left").drop(*names)
@@ -321,14 +322,6 @@ def hash_quota(
     return decided.drop(*extra).unionByName(numbered.drop(*extra))
 
 
-def _local_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` fetched and marked for broadcast if it has at most ``rows`` rows, else ``df``."""
-    found = df.limit(rows + 1).collect()
-    if len(found) > rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
-
-
 def top_rows(
     df: DataFrame, score: str, id_column: str, count: int, task_rows: int = TASK_ROWS
 ) -> Column:

@@ -18,7 +18,9 @@ from flowsieve.functions.columns import (
     quoted,
 )
 from flowsieve.operators.ordering import hash_positions, quantiles
+from flowsieve.session import broadcast_if_small
 
+MAX_CLASSES = 100
 DAY_MICROSECONDS = 24 * 3600 * 1_000_000
 
 
@@ -176,7 +178,9 @@ def winsorise(
     if by is None:
         caps = quantiles(df, columns, [share])
         return df.withColumns({c: F.least(F.col(quoted(c)), F.lit(caps[c][0])) for c in columns})
-    classes = [r[0] for r in df.select(by).distinct().orderBy(by).collect()]
+    classes = [r[0] for r in df.select(by).distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"{by} has more than {MAX_CLASSES} values")
     capped = {c: F.col(quoted(c)) for c in columns}
     for value in classes:
         member = F.col(by).eqNullSafe(F.lit(value))
@@ -189,15 +193,17 @@ def winsorise(
 
 
 def encode_labels(df: DataFrame, column: str, name: str = "class_id") -> DataFrame:
-    """Class names to ids from 0 in alphabetical order. The list of distinct names is the small side."""
+    """Class names to ids from 0 in alphabetical order."""
     codes = df.select(column).filter(F.col(column).isNotNull()).distinct().select(
         F.col(column).alias("_class"),
         (F.dense_rank().over(W.orderBy(column)) - 1).cast("bigint").alias(name),
     )
+    codes = broadcast_if_small(codes)
     return df.join(codes, F.col(column) == F.col("_class"), "left").drop("_class")
 
 
 def decode_labels(df: DataFrame, ids: str, codes: DataFrame, column: str, name: str) -> DataFrame:
     """Class ids back to names, given a table of (``ids``, ``column``)."""
     names = codes.select(F.col(ids).alias("_id"), F.col(column).alias(name)).distinct()
+    names = broadcast_if_small(names)
     return df.join(names, F.col(ids) == F.col("_id"), "left").drop("_id")

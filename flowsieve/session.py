@@ -6,12 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCRATCH_SETTING = "spark.checkpoint.dir"
 
 # Rows one task may sort on its own. Anything that can exceed it is split first.
 TASK_ROWS = 1_000_000
 
+# Rows of a lookup table that may be broadcast without a second thought.
+BROADCAST_ROWS = 10_000
+
 _local_scratch: dict[str, str] = {}
 
 
@@ -47,3 +51,14 @@ def with_checkpoints(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(f"{scratch_folder(spark)}/checkpoints")
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` fetched and marked for broadcast if it has at most ``rows`` rows, else ``df`` as it is.
+
+    An aggregation's size is unknown to the planner, which would shuffle both sides of a join on it.
+    """
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
