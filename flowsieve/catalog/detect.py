@@ -275,22 +275,22 @@ def run_two_stage(spark, folder, category, hidden, limit, rounds):
 
 @query("d14_two_class_stage")
 def two_class_stage(spark, folder):
-    """Detector, boosted trees on its flags, routes of the test rows."""
-    routed = run_two_stage(spark, folder, False, (), routing.CONFIDENCE, 20)
+    """Detector, 40 rounds of boosted trees on its flags, routes of the test rows."""
+    routed = run_two_stage(spark, folder, False, (), routing.CONFIDENCE, 40)
     return rounded(routed.select("flow_id", "y", "recon_error", "flag", "predicted", "confidence", "route", "final"))
 
 
 @query("d15_many_class_stage")
 def many_class_stage(spark, folder):
     """The same with all attack classes and a random forest."""
-    routed = run_two_stage(spark, folder, True, (), routing.CONFIDENCE, 100)
+    routed = run_two_stage(spark, folder, True, (), routing.CONFIDENCE, 200)
     return rounded(routed.select("flow_id", "y", "category", "flag", "predicted", "confidence", "route", "final"))
 
 
 @query("d15_class_hold_out_run")
 def class_hold_out_run(spark, folder):
     """Stage 2 never sees the hidden classes; how many of their rows reach the review queue."""
-    routed = run_two_stage(spark, folder, True, HIDDEN, routing.HOLD_OUT_CONFIDENCE, 100)
+    routed = run_two_stage(spark, folder, True, HIDDEN, routing.HOLD_OUT_CONFIDENCE, 200)
     return rounded(routing.hidden_detection(routed, HIDDEN))
 
 

@@ -24,7 +24,7 @@ from flowsieve.catalog.views import (
     staged_flows,
     typed,
 )
-from flowsieve.operators import iforest, knowledge, report, routing, triage, windows
+from flowsieve.operators import knowledge, report, routing, triage, windows
 from flowsieve.plans import detect
 from flowsieve.session import scratch_path, written
 from flowsieve.sources import tables
@@ -361,11 +361,9 @@ def window_findings(spark, folder, contamination=0.02, window="1 hour"):
     features = windows.window_features(event_records(spark, folder), window).withColumnRenamed(
         "window_start", "ts"
     )
-    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    features = written(features.withColumn("window_id", F.concat_ws("@", "src", stamp)), "windows")
-    scores = written(detect.squared_z(features, WINDOW_FEATURES, "window_id"), "window-scores")
-    low = iforest.flag_lowest(scores, "if_score", contamination)
-    flagged = features.join(scores.withColumn("flag", low.cast("int")), "window_id").withColumns(
+    features = written(features, "windows")
+    flagged = detect.flag_scored(detect.squared_z(features, WINDOW_FEATURES), contamination)
+    flagged = flagged.withColumns(
         {
             "flow_byts_s": F.col("n_bytes"),
             "flow_pkts_s": F.col("n_packets"),
@@ -439,6 +437,6 @@ def triage_report(spark, folder):
 def forest_triage_report(spark, folder):
     """The same with isolation forest scores and 40 % of the flows flagged."""
     flows = written(order_flows(spark, folder), "flows")
-    scores = detect.forest_scores(flows, FEATURES, "flow_id")
-    found = detect.ranked_findings(detect.flagged_table(flows, scores, "flow_id", 0.40), "flow_id")
+    flagged = detect.flag_scored(detect.forest_scores(flows, FEATURES, "flow_id"), 0.40)
+    found = detect.ranked_findings(flagged, "flow_id")
     return rounded(found.select("flow_id", "ts", "type", "severity", "rank", "if_score", "entry", "mitre"))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import quoted
-from flowsieve.operators import iforest, prep
-from flowsieve.plans.detect import squared_z
+from flowsieve.operators import iforest
+from flowsieve.plans.detect import flag_scored, squared_z
 from flowsieve.session import written
 from flowsieve.sources.flows import FEATURES, event_scores, order_flows
 
@@ -210,9 +210,7 @@ def event_flags(spark: SparkSession, folder: str) -> DataFrame:
 def flagged_flows(spark: SparkSession, folder: str) -> DataFrame:
     """Order flows with the deterministic score and the lowest-scored fraction flagged."""
     flows = written(order_flows(spark, folder), "flows")
-    scores = written(squared_z(flows, FEATURES, "flow_id"), "scores")
-    low = iforest.flag_lowest(scores, "if_score", CONTAMINATION)
-    return flows.join(scores.withColumn("flag", low.cast("int")), "flow_id")
+    return flag_scored(squared_z(flows, FEATURES), CONTAMINATION)
 
 
 def staged_flows(spark: SparkSession, folder: str) -> DataFrame:

@@ -69,11 +69,14 @@ class Forest:
     def depth(self) -> int:
         return depth_limit(self.sample_rows)
 
-    def path_micro(self, df: DataFrame, splits_only: bool = False) -> Column:
+    def path_micro(
+        self, df: DataFrame, splits_only: bool = False, inputs: Sequence[Column] | None = None
+    ) -> Column:
         """Column with the sum of path lengths over all trees, in millionths.
 
         A path length is the splits passed plus the expected rest at an impure leaf, or just the
-        splits if ``splits_only``.
+        splits if ``splits_only``. ``inputs`` gives the features as expressions on ``df``, in order,
+        where they are no columns of it.
         """
         arrays = df.sparkSession.sparkContext.broadcast(self._arrays(splits_only))
         width = self.depth
@@ -85,14 +88,20 @@ class Forest:
                 values = np.ascontiguousarray(batch.to_numpy(dtype=float).T)
                 yield pd.Series(_walk(values, feature, threshold, leaf, width))
 
-        return walk(F.struct(*[F.col(quoted(f)) for f in self.features]))
+        inputs = inputs or [F.col(quoted(f)) for f in self.features]
+        return walk(F.struct(*[c.alias(f"f{k}") for k, c in enumerate(inputs)]))
 
-    def score(self, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    def score(
+        self,
+        df: DataFrame,
+        keep: Sequence[str] | None = None,
+        inputs: Sequence[Column] | None = None,
+    ) -> DataFrame:
         """Add ``mean_path`` and ``anomaly_score`` in (0, 1], higher = more anomalous."""
         keep = df.columns if keep is None else keep
         expected = average_path(self.sample_rows) or 1.0
         return (
-            df.withColumn("_path", self.path_micro(df))
+            df.withColumn("_path", self.path_micro(df, inputs=inputs))
             .select(*[quoted(c) for c in keep], (F.col("_path") / (MICRO * self.trees)).alias("mean_path"))
             .withColumn("anomaly_score", F.pow(F.lit(2.0), -F.col("mean_path") / expected))
         )

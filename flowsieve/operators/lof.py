@@ -28,6 +28,7 @@ from flowsieve.session import written
 NEIGHBOURS = 20
 MAX_PIVOTS = 4096
 BLOCK_ROWS = 2048
+VISIT_ROWS = 512
 DENSITY_FLOOR = 1e-10
 
 
@@ -208,6 +209,11 @@ def _cells_to_visit(centres: np.ndarray, summary: list, k: int) -> Callable:
 
     @F.pandas_udf("array<int>")
     def visit(x: pd.Series) -> pd.Series:
+        # Rows times pivots distances are held at a time, so batches are cut up.
+        parts = [x.iloc[i : i + VISIT_ROWS] for i in range(0, len(x), VISIT_ROWS)]
+        return pd.Series([cells for part in parts for cells in visits(part)])
+
+    def visits(x: pd.Series) -> list:
         rows = np.stack(x.to_numpy())
         dist = np.stack([_distances(rows, c) for c in centres], axis=1)
         near = np.argsort(dist, axis=1)[:, :few]
@@ -225,7 +231,7 @@ def _cells_to_visit(centres: np.ndarray, summary: list, k: int) -> Callable:
         slack = bound * (1 + 1e-9) + 1e-12
         nearest = dist.min(axis=1)
         least = np.maximum(dist - radius[None, :], (dist - nearest[:, None]) / 2)
-        return pd.Series([cells[keep].tolist() for keep in least <= slack[:, None]])
+        return [cells[keep].tolist() for keep in least <= slack[:, None]]
 
     return visit
 

@@ -112,12 +112,7 @@ def order_values(
     kept = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
     counted = kept.groupBy(F.col("e.c").alias("_c"), F.col("e.v").alias("_v"))
     counted = written(counted.agg(F.count(F.lit(1)).alias("_n")), "brackets")
-    return {
-        c: _bracketed_values(
-            counted.filter(F.col("_c") == i).drop("_c"), ranks[c], brackets[c], task_rows
-        )
-        for i, c in enumerate(columns)
-    }
+    return _bracketed_values(counted, columns, ranks, brackets, task_rows)
 
 
 def _value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -135,23 +130,48 @@ def _ranked_values(counted: DataFrame, ranks: Sequence[int]) -> list:
 
 
 def _bracketed_values(
-    counted: DataFrame, ranks: Sequence[int], brackets: list[tuple], task_rows: int
-) -> list:
-    """Values at ``ranks`` from the counts inside brackets (low, high, rows below low)."""
+    counted: DataFrame,
+    columns: Sequence[str],
+    ranks: dict[str, Sequence[int]],
+    brackets: dict[str, list[tuple]],
+    task_rows: int,
+) -> dict[str, list]:
+    """Values at ``ranks`` from the counts inside brackets (low, high, rows below low).
+
+    ``counted`` has (_c, _v, _n) with the column's place in ``columns`` as _c.
+    """
     v, n = F.col("_v"), F.col("_n")
-    # Rows of other, lower brackets come first in the running count.
-    earlier = counted.agg(
-        *[
-            (F.lit(0) if lo is None else F.coalesce(F.sum(F.when(v < lo, n)), F.lit(0))).alias(f"e{j}")
-            for j, (lo, _, _) in enumerate(brackets)
-        ]
-    ).first()
-    placed = running_sums(counted, "_v", ["_n"], task_rows=task_rows)
-    picks = [
-        F.min(F.when(_within(v, lo, hi) & (F.col("cum__n") > k - below + earlier[j]), v)).alias(f"v{j}")
-        for j, (k, (lo, hi, below)) in enumerate(zip(ranks, brackets))
-    ]
-    return list(placed.agg(*picks).first())
+    # Rows of the same column in other, lower brackets come first in its running count.
+    earlier = {
+        f"e{i}_{j}": F.coalesce(F.sum(F.when((F.col("_c") == i) & (v < lo), n)), F.lit(0))
+        for i, c in enumerate(columns)
+        for j, (lo, _, _) in enumerate(brackets[c])
+        if lo is not None
+    }
+    sums = [total.alias(name) for name, total in earlier.items()]
+    found = counted.agg(F.count(F.lit(1)).alias("rows"), *sums).first().asDict()
+
+    def pick(i: int, c: str, j: int) -> Column:
+        lo, hi, below = brackets[c][j]
+        enough = F.col("cum__n") > ranks[c][j] - below + found.get(f"e{i}_{j}", 0)
+        return F.min(F.when((F.col("_c") == i) & _within(v, lo, hi) & enough, v)).alias(f"v{i}_{j}")
+
+    def picks(i: int, c: str) -> list[Column]:
+        return [pick(i, c, j) for j in range(len(ranks[c]))]
+
+    if found["rows"] <= task_rows:
+        order = W.partitionBy("_c").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+        placed = counted.withColumn("cum__n", F.sum("_n").over(order))
+        row = placed.agg(*[p for i, c in enumerate(columns) for p in picks(i, c)]).first()
+        return {c: [row[f"v{i}_{j}"] for j in range(len(ranks[c]))] for i, c in enumerate(columns)}
+    return {
+        c: list(
+            running_sums(counted.filter(F.col("_c") == i), "_v", ["_n"], task_rows=task_rows)
+            .agg(*picks(i, c))
+            .first()
+        )
+        for i, c in enumerate(columns)
+    }
 
 
 def _within(value: Column, lo, hi) -> Column:

@@ -24,36 +24,34 @@ def forest_scores(
     drop_constant: bool = False,
     two_sided: bool = False,
 ) -> DataFrame:
-    """Prepare, fit and score; returns (id, if_score), lower = more anomalous.
+    """Prepare, fit and score; adds ``if_score``, lower = more anomalous.
 
-    The prepared matrix is written once, as fitting and scoring both read it.
+    ``df`` is read a few times and should be a stored table. Preparation and scoring are expressions
+    on its columns, so rows keep their place: nothing is shuffled or joined back by id.
     """
     fitted = prep.fit_prep(
         df, features, two_sided=two_sided, impute=impute,
         drop_constant=drop_constant, log_skewed=log_skewed,
     )
-    matrix = written(fitted.transform(df, [id_column]), "matrix")
-    forest = iforest.fit_forest(matrix, fitted.kept, [id_column], trees=trees, seed=seed)
-    return forest.score(matrix, [id_column]).select(
-        id_column, (-F.col("anomaly_score")).alias("if_score")
+    forest = iforest.fit_forest(
+        fitted.transform(df, [id_column]), fitted.kept, [id_column], trees=trees, seed=seed
     )
+    scored = forest.score(df, inputs=[fitted.scaled(c) for c in fitted.kept])
+    return scored.withColumn("if_score", -F.col("anomaly_score")).drop("mean_path", "anomaly_score")
 
 
-def squared_z(df: DataFrame, features: Sequence[str], id_column: str) -> DataFrame:
-    """(id, if_score): minus the sum of squared z-scores. A deterministic score for checks."""
+def squared_z(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Add ``if_score``: minus the sum of squared z-scores. A deterministic score for checks."""
     fitted = prep.fit_prep(df, features, drop_constant=True, log_skewed=False)
-    scaled = fitted.transform(df, [id_column])
-    total = sum((F.pow(F.col(quoted(c)), 2) for c in fitted.kept), F.lit(0.0))
-    return scaled.select(id_column, (-total).alias("if_score"))
+    total = sum((F.pow(fitted.scaled(c), 2) for c in fitted.kept), F.lit(0.0))
+    return df.withColumn("if_score", -total)
 
 
-def flagged_table(
-    df: DataFrame, scores: DataFrame, id_column: str, contamination: float
-) -> DataFrame:
-    """Rows with ``if_score`` and ``flag`` for the lowest-scored fraction."""
-    scores = written(scores, "scores")
-    low = iforest.flag_lowest(scores, "if_score", contamination)
-    return df.join(scores.withColumn("flag", low.cast("int")), id_column)
+def flag_scored(scored: DataFrame, contamination: float) -> DataFrame:
+    """Store the scored rows, and add ``flag`` for the lowest-scored fraction."""
+    stored = written(scored, "scored")
+    low = iforest.flag_lowest(stored, "if_score", contamination)
+    return stored.withColumn("flag", low.cast("int"))
 
 
 def ranked_findings(flagged: DataFrame, id_column: str, time: str = "ts") -> DataFrame:

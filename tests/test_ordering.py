@@ -34,7 +34,7 @@ def test_running_sums_in_buckets_equal_one_window(numbers, descending):
     assert plain["cum_n"].max() == 3000
 
 
-@pytest.mark.parametrize("task_rows", [10, 1_000_000])
+@pytest.mark.parametrize("task_rows", [10, 1000, 1_000_000])
 def test_order_values(numbers, task_rows):
     pdf = numbers.toPandas()
     a, b = np.sort(pdf["a"]), np.sort(pdf["b"].dropna())
@@ -46,7 +46,7 @@ def test_order_values(numbers, task_rows):
         order_values(numbers, {"a": [3000]}, task_rows)
 
 
-@pytest.mark.parametrize("task_rows", [10, 1_000_000])
+@pytest.mark.parametrize("task_rows", [10, 1000, 1_000_000])
 def test_quantiles(numbers, task_rows):
     pdf = numbers.toPandas()
     shares = [0.0, 0.005, 0.3, 0.5, 0.95, 0.995, 1.0]
