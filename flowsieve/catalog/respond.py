@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowsieve.catalog.detect import EXPECTED, PATHS
 from flowsieve.catalog.views import (
     CLASSES,
+    DEDUPE,
     DEDUPED,
     FLAGGED,
     HIDDEN,
@@ -92,11 +94,11 @@ def best_per_bucket(spark, folder):
     return rounded(deduplicated(spark, folder).select("flow_id", "type", "bucket", "if_score"))
 
 
-RANKED = f"""
-{DEDUPED},
+RANK = f"""
 ranked AS (SELECT *, row_number() OVER (ORDER BY {SEVERITY_RANK}, if_score, flow_id) AS "rank"
            FROM deduped)
 """
+RANKED = f"{DEDUPED}, {RANK}"
 
 
 @query(
@@ -433,7 +435,24 @@ def triage_report(spark, folder):
     )
 
 
-@query("forest_triage_report")
+FOREST_FLAGGED = f"""
+{PATHS},
+forest_scores AS (
+  SELECT flow_id, -pow(2.0::DOUBLE, -mean_path / {EXPECTED!r}) AS if_score FROM paths),
+flagged AS (
+  SELECT o.*, if_score,
+         CASE WHEN if_score < (SELECT quantile_cont(if_score, 0.4) FROM forest_scores)
+              THEN 1 ELSE 0 END AS flag
+  FROM order_flows o JOIN forest_scores USING (flow_id))
+"""
+
+
+@query(
+    "forest_triage_report",
+    sql(FOREST_FLAGGED, typed("flagged"), DEDUPE, RANK, KB, f"e AS (SELECT *, {ENTRY} AS entry FROM ranked)",
+        body=f"""
+    SELECT flow_id, ts, type, severity, "rank", {r("if_score")}, entry, mitre FROM e JOIN kb USING (entry)"""),
+)
 def forest_triage_report(spark, folder):
     """The same with isolation forest scores and 40 % of the flows flagged."""
     flows = written(order_flows(spark, folder), "flows")

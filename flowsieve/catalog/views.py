@@ -152,8 +152,7 @@ def typed(source: str) -> str:
 
 TYPED = f"{FLAGGED}, {typed('flagged')}"
 
-DEDUPED = f"""
-{TYPED},
+DEDUPE = """
 deduped AS (
   SELECT * FROM (
     SELECT *, time_bucket(INTERVAL '30 minutes', ts) AS bucket,
@@ -162,6 +161,8 @@ deduped AS (
     FROM typed) WHERE rn = 1)
 """
 
+DEDUPED = f"{TYPED}, {DEDUPE}"
+
 SEVERITY_RANK = (
     "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 "
     "WHEN 'LOW' THEN 3 ELSE 9 END"
