@@ -21,7 +21,7 @@ from flowsieve.catalog.views import (
     staged_flows,
     walk_sql,
 )
-from flowsieve.operators import ensemble, iforest, lof, ordering, prep, recon, report, routing, stage2
+from flowsieve.operators import ensemble, iforest, lof, ordering, prep, recon, report, routing
 from flowsieve.plans import detect
 from flowsieve.session import written
 from flowsieve.sources.flows import FEATURES, event_score_set, event_scores, order_flows, vectors

@@ -19,7 +19,6 @@ from flowsieve.catalog.views import (
 from flowsieve.functions.columns import (
     finite_or_null,
     finite_or_zero,
-    log1p_clipped,
     not_below_zero,
     number_or_zero,
 )

@@ -9,14 +9,12 @@ from flowsieve.catalog.views import (
     CLASSES,
     DEDUPE,
     DEDUPED,
-    FLAGGED,
     HIDDEN,
     MEASURES,
     SEVERITY_RANK,
     TYPED,
     event_flags,
     EVENT_FLAGGED,
-    finite,
     flagged_flows,
     r,
     rounded,

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.functions.columns import SEED, quoted
+from flowsieve.functions.columns import SEED
 from flowsieve.operators import ensemble, iforest, knowledge, lof, prep, recon, routing, stage2, triage
 from flowsieve.session import written
 
