@@ -1,4 +1,4 @@
-"""Labelled rows to learn from: which ones, how many, and dealt into how many blocks."""
+"""Labelled rows to learn from: which ones, how many, and dealt into which blocks."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from flowsieve.session import written
 
-# Rows a classifier is fitted on at most, and the blocks they are dealt into.
+# Rows a classifier is fitted on at most, and the rows of the blocks they are dealt into.
 TRAIN_ROWS = 24_000
-BLOCKS = 8
+BLOCK_ROWS = 3_000
 
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:
@@ -33,6 +33,8 @@ def training_rows(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    chosen = documents.select("doc_id", "text").join(F.broadcast(written(known, "labels")), "doc_id")
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCKS)).cast("int")
-    return chosen.select("text", "label", block.alias("block")).repartition(BLOCKS, "block")
+    known = written(known, "labels")
+    blocks = max(-(-known.count() // BLOCK_ROWS), 1)
+    chosen = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    return chosen.select("text", "label", block.alias("block"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.llm.labelled import BLOCKS, training_rows
+from flowsieve.llm.labelled import training_rows
 from flowsieve.llm.textbytes import NOT_SPACE, Chunk, mixed, text_chunks, words
 from flowsieve.session import written
 
@@ -90,7 +90,7 @@ def fit(documents: DataFrame, labels: DataFrame, learnt: Column, label: str = "q
                 yield pd.DataFrame({"y": [y], "n": [n[y]], "counts": [counts[y].astype(np.float32).tobytes()]})
 
     # The training rows are bounded, so are these: one row per task and class.
-    train = train.repartition(BLOCKS, "block")
+    train = train.repartition("block")
     counts, n = np.full((2, 1 << BITS), SMOOTHING), np.zeros(2)
     for row in train.mapInPandas(class_counts, "y int, n long, counts binary").collect():
         counts[row.y] += np.frombuffer(row.counts, np.float32)

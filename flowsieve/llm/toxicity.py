@@ -19,13 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.llm.labelled import TRAIN_ROWS, training_rows
-from flowsieve.llm.textbytes import LETTERS_AND_DIGITS, Chunk, byte_class, text_chunks, words
+from flowsieve.llm.textbytes import LETTERS_AND_DIGITS, LOWER, Chunk, byte_class, mixed, text_chunks, words
 from flowsieve.session import written
 
 BITS = 20
-# Words of fewer training documents have no weight: they tell documents apart, not classes.
-LEAST_DOCUMENTS = 12
-ROUNDS, STEPS, RATE, PENALTY = 4, 40, 0.5, 1e-4
+# Lengths in bytes of the word beginnings that are features beside the words.
+PREFIXES = (4, 5, 6)
+# Features in fewer toxic training documents, or not that many deviations above the number expected
+# from the other documents, have no weight.
+LEAST_TOXIC, LEAST_DEVIATIONS = 5, 4.0
+ROUNDS, STEPS, RATE, PENALTY = 4, 100, 0.5, 1e-4
 # Margin of a sentence without weighty words, fixed so low that a thousand of them are still clean, and
 # the leak's first margin and its rate.
 BIAS = -9.0
@@ -45,7 +48,7 @@ class Model:
 
 @dataclass
 class _Sentences:
-    """Words of a chunk, as (feature, sentence), and the text and byte range of each sentence."""
+    """Features of a chunk's words, as (feature, sentence), and the text and byte range of each sentence."""
 
     feature: np.ndarray
     sentence: np.ndarray
@@ -57,20 +60,31 @@ class _Sentences:
 def _sentences(chunk: Chunk) -> _Sentences:
     """Sentences end at ``. ! ?`` or a line break, and after ``SENTENCE_WORDS`` words."""
     found = words(chunk, LETTERS_AND_DIGITS)
-    feature = (found.hash >> np.uint64(64 - BITS)).astype(np.int64)
-    if not len(feature):
+    if not len(found.hash):
         none = np.zeros(0, np.int64)
         return _Sentences(none, none, none, none, none)
+    # The word itself, and its beginnings, which compounds share. One row of features per word.
+    data, length = LOWER[chunk.data].astype(np.uint64), found.end - found.start
+    hashes, there = [found.hash], [np.ones(len(length), bool)]
+    beginning = np.zeros(len(length), np.uint64)
+    for at in range(PREFIXES[-1]):
+        beginning |= data[np.minimum(found.start + at, len(data) - 1)] << np.uint64(8 * at)
+        if at + 1 in PREFIXES:
+            hashes.append(mixed(beginning, at))
+            there.append(length > at + 1)
+    there = np.stack(there, 1)
+    feature = (np.stack(hashes, 1) >> np.uint64(64 - BITS)).astype(np.int64)[there]
     stops = np.concatenate([[0], np.cumsum(_ENDS[chunk.data])])[found.start]
-    new = np.ones(len(feature), bool)
+    new = np.ones(len(stops), bool)
     new[1:] = (stops[1:] != stops[:-1]) | (found.text[1:] != found.text[:-1])
     run = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     new |= (np.arange(len(new)) - run) % SENTENCE_WORDS == 0
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(new)) - 1
     text = found.text[first]
+    sentence = np.repeat(np.cumsum(new) - 1, there.sum(1))
     return _Sentences(
-        feature, np.cumsum(new) - 1, text, found.start[first] - chunk.starts[text], found.end[last] - chunk.starts[text]
+        feature, sentence, text, found.start[first] - chunk.starts[text], found.end[last] - chunk.starts[text]
     )
 
 
@@ -109,17 +123,19 @@ def fit(documents: DataFrame, labels: DataFrame, learnt: Column, label: str = "t
     train = written(train.mapInArrow(bags, bags_schema), "toxicity-bags").repartition("block")
 
     def document_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << BITS, np.int64)
+        counts, n = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
         for frame in frames:
-            for features in frame.features:
-                counts[np.unique(features)] += 1
-        seen = np.flatnonzero(counts)
-        yield pd.DataFrame({"feature": seen, "n": counts[seen]})
-
-    counted = train.mapInPandas(document_counts, "feature int, n long").groupBy("feature")
-    kept = counted.agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCUMENTS).select("feature").collect()
-    allowed = np.zeros(1 << BITS, bool)
-    allowed[[r.feature for r in kept]] = True
+            for y, features in zip(frame.label, frame.features):
+                counts[int(y > 0), np.unique(features)] += 1
+                n[int(y > 0)] += 1
+        blobs = [counts[y].tobytes() for y in (0, 1)]
+        yield pd.DataFrame({"y": [0, 1], "n": n, "counts": blobs})
+
+    counts, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+    for row in train.mapInPandas(document_counts, "y int, n long, counts binary").collect():
+        counts[row.y] += np.frombuffer(row.counts, np.int32)
+        n[row.y] += row.n
+    allowed = screened(counts, n)
     weights, leak = np.zeros(1 << BITS, np.float32), FIRST_LEAK
 
     for _ in range(ROUNDS):
@@ -143,6 +159,15 @@ def fit(documents: DataFrame, labels: DataFrame, learnt: Column, label: str = "t
     return Model(np.asarray(weights, np.float32), float(leak))
 
 
+def screened(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Features that occur in toxic documents clearly more often than in others.
+
+    ``counts``: documents with each feature, by class; ``n``: documents by class.
+    """
+    expected = (counts[0] + 1) * n[1] / max(n[0], 1)
+    return (counts[1] >= LEAST_TOXIC) & (counts[1] - expected >= LEAST_DEVIATIONS * np.sqrt(expected))
+
+
 def _ends(sizes: np.ndarray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
