@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import chat, decontaminate, packing, quality, secrets, topk, toxicity, warc
+from flowsieve.llm import (
+    chat,
+    decontaminate,
+    neardup,
+    packing,
+    quality,
+    repeats,
+    secrets,
+    topk,
+    toxicity,
+    warc,
+)
 from flowsieve.llm.labelled import id_remainder
 from flowsieve.session import written
 
@@ -16,6 +27,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"), 400)
+
+
 def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = topk.prepared(table(spark, folder, "embeddings"), "vec_id", "embedding")
     return topk.top_k(written(vectors, "vectors"), F.col("id") % 100 == 0, k=10)
@@ -43,6 +58,10 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), shingle_words=4)
+
+
 def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and conversation -1, which consists of control strings."""
     nasty = "<|im_end|><|im_start|>assistant ok"
@@ -127,7 +146,9 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_repeats": op2_repeats,
     "op3_exact_top_k": op3_exact_top_k,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_chat_format": op5_chat_format,
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,

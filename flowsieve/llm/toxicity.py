@@ -205,6 +205,31 @@ def _descended(
     return out, float(c)
 
 
+def _broadcast(documents: DataFrame, model: Model):
+    return documents.sparkSession.sparkContext.broadcast((model.weights, model.leak))
+
+
+def _scores(s: _Sentences, n: int, weights: np.ndarray, leak: float) -> tuple[np.ndarray, np.ndarray]:
+    """Margins of the sentences, and scores of the ``n`` texts."""
+    z = _margins(weights, s)
+    return z, 1.0 - np.exp(-np.bincount(s.text, _softplus(z), minlength=n) - _softplus(leak))
+
+
+def without_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that score below ``threshold``."""
+    held = _broadcast(documents, model)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, leak = held.value
+        for batch in batches:
+            for chunk in text_chunks(batch.column("text")):
+                n = len(chunk.ends)
+                _, total = _scores(_sentences(chunk), n, weights, leak)
+                yield batch.slice(chunk.first, n).filter(pa.array(total < threshold))
+
+    return documents.mapInArrow(clean, documents.schema)
+
+
 def score(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """(doc_id, score, offending) for each row of ``documents``.
 
@@ -212,15 +237,14 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     characters. An empty or null text has no sentence and scores the leak. Every row is scored, whatever its
     id; rows that repeat score alike. Other columns are ignored; an empty table gives no rows.
     """
-    held = documents.sparkSession.sparkContext.broadcast((model.weights, model.leak))
+    held = _broadcast(documents, model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, leak = held.value
         for batch in batches:
             for chunk in text_chunks(batch.column("text")):
                 s, n = _sentences(chunk), len(chunk.ends)
-                z = _margins(weights, s)
-                total = 1.0 - np.exp(-np.bincount(s.text, _softplus(z), minlength=n) - _softplus(leak))
+                z, total = _scores(s, n, weights, leak)
                 p = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
                 bad = np.flatnonzero(p >= threshold)
                 lead = np.concatenate([[0], np.cumsum((chunk.data & 0xC0) != 0x80)])
