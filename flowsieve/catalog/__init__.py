@@ -1,8 +1,8 @@
 """The registered queries and the SQL that checks them."""
 
-from flowsieve.catalog import detect, evaluate, prepare, respond
+from flowsieve.catalog import detect, evaluate, prepare, respond, small_fits, split_paths
 
-SECTIONS = (prepare, detect, respond, evaluate)
+SECTIONS = (prepare, detect, respond, evaluate, small_fits, split_paths)
 
 
 def queries() -> dict:

@@ -275,8 +275,8 @@ def run_two_stage(spark, folder, category, hidden, limit, rounds):
 
 @query("d14_two_class_stage")
 def two_class_stage(spark, folder):
-    """Detector, 40 rounds of boosted trees on its flags, routes of the test rows."""
-    routed = run_two_stage(spark, folder, False, (), routing.CONFIDENCE, 40)
+    """Detector, 200 rounds of boosted trees on its flags, routes of the test rows."""
+    routed = run_two_stage(spark, folder, False, (), routing.CONFIDENCE, 200)
     return rounded(routed.select("flow_id", "y", "recon_error", "flag", "predicted", "confidence", "route", "final"))
 
 

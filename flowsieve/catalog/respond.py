@@ -93,7 +93,7 @@ def best_per_bucket(spark, folder):
 
 
 RANK = f"""
-ranked AS (SELECT *, row_number() OVER (ORDER BY {SEVERITY_RANK}, if_score, flow_id) AS "rank"
+ranked AS (SELECT *, row_number() OVER (ORDER BY {SEVERITY_RANK}, if_score, ts, flow_id) AS "rank"
            FROM deduped)
 """
 RANKED = f"{DEDUPED}, {RANK}"
@@ -226,15 +226,38 @@ def queue_composition(spark, folder):
 
 
 @query(
-    "e12_routing_by_class",
-    sql(ROUTED, body="""
-    SELECT category, count(*) AS flagged, count(*) FILTER (route = category) AS known,
-           count(*) FILTER (route = 'ZERO_DAY_QUEUE') AS queued,
-           count(*) FILTER (route <> category AND route <> 'ZERO_DAY_QUEUE') AS rest
-    FROM routed WHERE flag = 1 AND category <> 'Normal' GROUP BY category"""),
+    "e11_attacks_in_queue",
+    sql(ROUTED, body=f"""
+    SELECT category, count(*) AS queued,
+           {r("100.0 * count(*) / sum(count(*)) OVER ()", "share_pct")},
+           CASE WHEN category IN ({HIDDEN_SQL}) THEN 1 ELSE 0 END AS is_hidden
+    FROM routed WHERE route = 'ZERO_DAY_QUEUE' AND y = 1 GROUP BY category"""),
 )
+def attacks_in_queue(spark, folder):
+    routed = routed_flows(spark, folder, routing.CONFIDENCE)
+    return rounded(routing.queue_composition(routed, HIDDEN, attacks_only=True))
+
+
+def routing_by_class_sql(hidden: str) -> str:
+    known = f"route = category AND category NOT IN ({hidden})"
+    return sql(ROUTED, f"""
+    per AS (SELECT category, count(*) AS flagged, count(*) FILTER ({known}) AS known,
+                   count(*) FILTER (route = 'ZERO_DAY_QUEUE') AS queued
+            FROM routed WHERE flag = 1 AND category <> 'Normal' GROUP BY category)""", body=f"""
+    SELECT category, flagged, known, queued, flagged - known - queued AS rest,
+           {r("100.0 * known / flagged", "known_pct")}, {r("100.0 * queued / flagged", "queued_pct")} FROM per""")
+
+
+@query("e12_routing_by_class", routing_by_class_sql("''"))
 def routing_by_class(spark, folder):
-    return routing.routing_by_class(routed_flows(spark, folder, routing.CONFIDENCE))
+    return rounded(routing.routing_by_class(routed_flows(spark, folder, routing.CONFIDENCE)))
+
+
+@query("e12_routing_with_hidden", routing_by_class_sql("'1-URGENT'"))
+def routing_with_hidden(spark, folder):
+    """A hidden class is never known, whatever it was taken for."""
+    routed = routed_flows(spark, folder, routing.CONFIDENCE)
+    return rounded(routing.routing_by_class(routed, ["1-URGENT"]))
 
 
 @query(

@@ -257,10 +257,12 @@ def forest_sql(trees: int, features: Sequence[str], source: str, depth: int = 8,
     p{level} AS (SELECT *, varying[1 + CAST(floor(CAST('0x' || substr(digest, 1, 8) AS BIGINT)
                         / CAST(4294967296 AS DOUBLE) * len(varying)) AS BIGINT)] AS pick FROM v{level}),
     c{level} AS MATERIALIZED (
-      SELECT tree, node, {f}, n, pick, [{f}][pick + 1] AS v,
-             [{los}][pick + 1] + CAST('0x' || substr(digest, 9, 13) AS BIGINT)
-             / CAST(4503599627370496 AS DOUBLE) * ([{his}][pick + 1] - [{los}][pick + 1]) AS threshold
-      FROM p{level}),
+      SELECT tree, node, {f}, n, pick, v, CASE WHEN cut >= hi THEN lo ELSE cut END AS threshold
+      FROM (SELECT tree, node, {f}, n, pick, [{f}][pick + 1] AS v, [{los}][pick + 1] AS lo,
+                   [{his}][pick + 1] AS hi,
+                   [{los}][pick + 1] + CAST('0x' || substr(digest, 9, 13) AS BIGINT)
+                   / CAST(4503599627370496 AS DOUBLE) * ([{his}][pick + 1] - [{los}][pick + 1]) AS cut
+            FROM p{level})),
     l{level + 1} AS (SELECT tree, {f}, CASE WHEN pick IS NULL THEN node WHEN v > threshold
                      THEN 2 * node + 1 ELSE 2 * node END AS node FROM c{level})""")
     splits = " UNION ".join(

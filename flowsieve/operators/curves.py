@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from flowsieve.functions.columns import count_where, ratio
 from flowsieve.operators.ordering import running_sums
-from flowsieve.session import TASK_ROWS
+from flowsieve.session import written
 
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "y") -> DataFrame:
@@ -22,20 +22,20 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "y") -> DataF
 
 
 def ranked_counts(
-    df: DataFrame, score: str = "score", label: str = "y", task_rows: int = TASK_ROWS
+    df: DataFrame, score: str = "score", label: str = "y", task_rows: int | None = None
 ) -> DataFrame:
     """Per distinct score, from the highest down: ``tp``, ``fp`` if all from there up are flagged.
 
-    ``positives`` and ``negatives`` are the totals.
+    ``positives`` and ``negatives`` are the totals. ``df`` is read once: the totals are sums of the
+    stored counts. A NULL score is the lowest one.
     """
-    counts = score_counts(df, score, label)
+    counts = written(score_counts(df, score, label), "score-counts")
+    totals = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
     placed = running_sums(counts, "threshold", ["pos", "neg"], descending=True, task_rows=task_rows)
-    totals = df.agg(
-        count_where(F.col(label) == 1).alias("positives"),
-        count_where(F.col(label) == 0).alias("negatives"),
-    )
-    return placed.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"}).join(
-        F.broadcast(totals), F.lit(True)
+    return placed.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"}).select(
+        "*",
+        F.lit(totals.pos or 0).cast("bigint").alias("positives"),
+        F.lit(totals.neg or 0).cast("bigint").alias("negatives"),
     )
 
 
@@ -106,17 +106,28 @@ def overlap_verdict(ks: DataFrame, limit: float = 0.5) -> DataFrame:
     )
 
 
-def separation(df: DataFrame, scores: list[str], label: str = "y") -> DataFrame:
-    """KS distance and AUC per score column (detector)."""
-    parts = []
-    for name in scores:
-        ranked = ranked_counts(df, name, label)
-        one = ks_distance(ranked).select("ks").join(roc_auc(ranked), F.lit(True))
-        parts.append(one.select(F.lit(name).alias("detector"), "ks", "auc"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+def separation(
+    df: DataFrame, scores: list[str], label: str = "y", task_rows: int | None = None
+) -> DataFrame:
+    """KS distance and AUC per score column (detector), from one pass over ``df``."""
+    each = F.array(*[F.struct(F.lit(s).alias("detector"), F.col(s).cast("double").alias("threshold")) for s in scores])
+    tidy = df.select(F.col(label).alias("_y"), F.explode(each).alias("e"))
+    counts = tidy.groupBy("e.detector", "e.threshold").agg(
+        count_where(F.col("_y") == 1).alias("pos"), count_where(F.col("_y") == 0).alias("neg")
+    )
+    counts = written(counts, "score-counts")
+    # Every detector scores the same rows.
+    totals = counts.filter(F.col("detector") == scores[0])
+    totals = totals.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+    positives, negatives = F.lit(totals.pos or 0), F.lit(totals.neg or 0)
+    ranked = running_sums(
+        counts, "threshold", ["pos", "neg"], descending=True, task_rows=task_rows, by=["detector"]
+    )
+    gap = F.abs(ratio(F.col("cum_pos"), positives) - ratio(F.col("cum_neg"), negatives))
+    wins = F.sum(F.col("pos") * (negatives - F.col("cum_neg") + F.col("neg") / 2.0))
+    return ranked.groupBy("detector").agg(
+        F.max(gap).alias("ks"), ratio(wins, positives.cast("double") * negatives).alias("auc")
+    )
 
 
 def rank_detectors(measured: DataFrame, first: str) -> DataFrame:

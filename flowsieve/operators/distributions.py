@@ -32,9 +32,13 @@ def cdf_grid(
     Each row is counted at the first grid point at or above its score; running sums over the grid
     give the CDFs. No row is compared with more than one grid point.
     """
-    lo, hi = quantiles(df, [score], shares)[score]
+    lo, hi = (0.0 if q is None else q for q in quantiles(df, [score], shares)[score])
     step = (hi - lo) / (points - 1)
-    place = F.greatest(F.ceil((F.col(score) - F.lit(lo)) / F.lit(step)), F.lit(0))
+    if step > 0:
+        place = F.greatest(F.ceil((F.col(score) - F.lit(lo)) / F.lit(step)), F.lit(0))
+    else:
+        # A constant score: its CDF is one step, at the first point.
+        place = F.when(F.col(score) <= lo, F.lit(0)).otherwise(F.lit(points))
     counts = (
         df.withColumn("_i", place)
         .filter(F.col("_i") < points)
@@ -81,6 +85,10 @@ def histogram(
     if lo is None or hi is None:
         ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
         lo, hi = (ends.lo if lo is None else lo), (ends.hi if hi is None else hi)
+    if lo is None or hi is None:
+        lo, hi = 0.0, 1.0
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
     column = F.col(quoted(value))
     place = F.least(F.floor((column - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
@@ -118,14 +126,14 @@ def kernel_density(
 ) -> DataFrame:
     """Gaussian kernel density per class on an even grid over the class's score range.
 
-    The bandwidth is the factor times the sample deviation. Equal scores are summed up first; the
+    The bandwidth is the factor times the sample deviation; a class without one has no density (NULL). Equal scores are summed up first; the
     grid has ``points`` entries per row, evaluated next to the row and summed before any shuffle.
     """
     stats = df.groupBy(label).agg(
         F.count(score).alias("_size"),
         (F.min(score) - margin).alias("_lo"),
         (F.max(score) + margin).alias("_hi"),
-        (F.stddev_samp(score) * bandwidth).alias("_h"),
+        F.nullif(F.stddev_samp(score) * bandwidth, F.lit(0.0)).alias("_h"),
     )
     weights = df.groupBy(label, score).agg(F.count(F.lit(1)).alias("_w"))
     placed = weights.join(F.broadcast(stats), label)

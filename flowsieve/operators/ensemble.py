@@ -36,9 +36,13 @@ def mean_score(df: DataFrame, scores: Sequence[str], name: str = "ensemble") ->
 
 
 def flag_top(df: DataFrame, score: str, id_column: str, share: float, name: str = "flag") -> DataFrame:
-    """Flag the ``int(n * share)`` rows with the highest score, lower id first on ties."""
-    count = int(df.count() * share)
-    return df.withColumn(name, top_rows(df, score, id_column, count).cast("int"))
+    """Flag the ``int(n * share)`` rows with the highest score, lower id first on ties.
+
+    ``n`` counts rows with a score; rows without one are not flagged.
+    """
+    count = int(df.filter(F.col(score).isNotNull()).count() * share)
+    top = F.coalesce(top_rows(df, score, id_column, count), F.lit(False))
+    return df.withColumn(name, top.cast("int"))
 
 
 def detector_overlap(df: DataFrame, flags: Sequence[str], label: str = "y") -> DataFrame:

@@ -240,6 +240,9 @@ def _grower(features: tuple[str, ...], limit: int, seed: int) -> Callable:
             digest = hashlib.md5(f"split:{tree}:{node}:{seed}".encode()).hexdigest()
             pick = varying[int(int(digest[:8], 16) / 16.0**8 * len(varying))]
             cut = low[pick] + int(digest[8:21], 16) / 16.0**13 * (high[pick] - low[pick])
+            if cut >= high[pick]:
+                # Rounding can reach the upper end, which would leave the right side empty.
+                cut = low[pick]
             right = values[:, pick] > cut
             nodes.append((tree, node, len(values), features[pick], float(cut), None))
             open_nodes.append((2 * node, depth + 1, values[~right]))
@@ -276,7 +279,8 @@ def trace_paths(df: DataFrame, forest: Forest, tree: int, keep: Sequence[str]) -
         node = state["node"]
         split = F.get(F.col("heap"), node)
         value = F.get(F.col("_values"), split["f"])
-        right = value > split["threshold"]
+        # NaN and NULL go left, as in the scorer.
+        right = F.coalesce((value > split["threshold"]) & ~F.isnan(value), F.lit(False))
         entry = F.struct(
             step.alias("step"),
             node.alias("node"),

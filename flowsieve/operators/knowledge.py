@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowsieve.session import broadcast_if_small
+
 DEFAULT_TYPE = "Unknown"
 
 SCHEMA = (
@@ -124,10 +126,13 @@ def enrich(findings: DataFrame, knowledge: DataFrame | None = None, column: str
     """Add ``entry``, ``description``, ``mitre``, ``cves`` and ``mitigations`` for each row's type.
 
     Types without an entry get the default one. The built-in table has a fixed handful of rows and
-    is broadcast; a table given by the caller is joined as its size allows.
+    is broadcast, and so is a table given by the caller if it is found to be small. A large one should
+    not be joined to findings that are mostly of one type: :func:`enrich_types` has a row per type.
     """
     if knowledge is None:
         knowledge = F.broadcast(knowledge_table(findings.sparkSession))
+    else:
+        knowledge = broadcast_if_small(knowledge)
     fields = [c for c in knowledge.columns if c != "type"]
     entries = knowledge.select(
         F.col("type").alias("_entry"), F.struct(*fields).alias("_known")

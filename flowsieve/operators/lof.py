@@ -243,13 +243,23 @@ def _block_neighbours(k: int) -> Callable:
         members = members.sort_values("rep")
         ids, rows = members["rep"].to_numpy(), np.stack(members["_x"].to_numpy())
         weights = members["weight"].to_numpy()
-        found = []
-        for rep, point in zip(visitors["rep"].to_numpy(), visitors["_x"]):
-            dist = _distances(rows, point)
-            near = np.argsort(dist, kind="stable")[: k + 1]
+        reps, points = visitors["rep"].to_numpy(), np.stack(visitors["_x"].to_numpy())
+        found, few = [], min(k + 1, len(rows))
+        for at in range(0, len(reps), VISIT_ROWS):
+            part = slice(at, at + VISIT_ROWS)
+            dist = np.stack([_distances(points[part], row) for row in rows], axis=1)
+            # Everything up to the last of the nearest, so that ties at the end go by id as well.
+            last = np.partition(dist, few - 1, axis=1)[:, few - 1 : few]
+            visitor, member = np.nonzero(dist <= last)
+            near = dist[visitor, member]
+            order = np.lexsort((member, near, visitor))
+            visitor, member, near = visitor[order], member[order], near[order]
+            place = np.arange(len(visitor)) - np.searchsorted(visitor, visitor)
+            keep = place < few
+            visitor, member, near = visitor[keep], member[keep], near[keep]
+            rep = reps[part][visitor]
             # One entry may be the row itself, which is left out or has one copy less.
-            count = weights[near] - (ids[near] == rep)
-            found.append((np.full(len(near), rep), ids[near], dist[near], count))
+            found.append((rep, ids[member], near, weights[member] - (ids[member] == rep)))
         columns = [np.concatenate(c) for c in zip(*found)]
         result = pd.DataFrame(dict(zip(("rep", "other", "dist", "weight"), columns)))
         return result[result["weight"] > 0]

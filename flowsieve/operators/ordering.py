@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from flowsieve.functions.columns import SEED, as_column, count_where, hash_key, quoted
-from flowsieve.session import TASK_ROWS, broadcast_if_small, written
+from flowsieve import session
+from flowsieve.session import broadcast_if_small, written
 
-EDGES = 1024
 SKETCH_ACCURACY = 10_000
 HEX_DIGITS = 4
 
@@ -32,54 +32,70 @@ def running_sums(
     key: str,
     sums: Sequence[str],
     descending: bool = False,
-    task_rows: int = TASK_ROWS,
+    task_rows: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``cum_<name>`` for each of ``sums``, running along ``key``, which must be unique.
+    """Add ``cum_<name>`` for each of ``sums``, running along ``key``, which is unique in its group of ``by``.
 
-    Beyond ``task_rows`` rows the key range is cut at approximate quantiles, fetched once so that
-    both passes use the same cuts. Bucket totals (at most ``EDGES`` + 1 rows) are broadcast.
+    The keys are cut into as many buckets as keep each below ``task_rows`` rows, at approximate
+    quantiles of every group. Bucket totals are broadcast; one bucket needs none. NULL keys are a bucket of their own, first
+    in ascending and last in descending order; NaN is the highest key.
     """
-    number = F.col(key).cast("double")
-    shares = [i / EDGES for i in range(1, EDGES)]
-    found = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(number, shares, SKETCH_ACCURACY).alias("cuts"),
-    ).first()
+    limit = task_rows or session.task_rows(df.sparkSession)
+    # The input is often an aggregation of a much larger table; several passes over it follow.
+    df = written(df, "keys")
     order = F.col(key).desc() if descending else F.col(key).asc()
-    if found.n <= task_rows:
-        window = W.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    groups = [quoted(c) for c in by]
+    largest = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    wanted = -(-largest // limit)
+    if wanted <= 1:
+        window = W.partitionBy(*groups).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.select("*", *[F.sum(s).over(window).alias(f"cum_{s}") for s in sums])
 
-    # The input is often an aggregation of a much larger table; two passes over it follow.
-    df = written(df, "keys")
-    cuts = sorted({c for c in found.cuts if math.isfinite(c)})
-    bucketed = Bucketizer(
-        splits=[-math.inf, *cuts, math.inf],
-        inputCol="_number",
-        outputCol="_bucket",
-        handleInvalid="keep",
-    ).transform(df.withColumn("_number", number))
-    totals = bucketed.groupBy("_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    before = W.orderBy(bucket_order).rowsBetween(W.unboundedPreceding, -1)
+    number = F.col(key).cast("double")
+    shares = [i / wanted for i in range(1, wanted)]
+    sketch = F.percentile_approx(number, shares, max(SKETCH_ACCURACY, 10 * wanted))
+    found = df.filter(~F.isnan(number)).groupBy(*groups).agg(sketch.alias("cuts")).collect()
+    cuts = sorted({c for row in found for c in row.cuts or () if math.isfinite(c)})
+    if cuts:
+        bucketed = Bucketizer(
+            splits=[-math.inf, *cuts, math.inf],
+            inputCol="_number",
+            outputCol="_bucket",
+            handleInvalid="keep",
+        ).transform(df.withColumn("_number", number))
+    else:
+        bucketed = df.withColumn("_bucket", F.lit(0.0))
+    bucketed = bucketed.withColumn("_bucket", F.when(F.col(key).isNull(), -1.0).otherwise(F.col("_bucket")))
+    names = [f"_g{i}" for i in range(len(by))]
+    group = [F.col(c).alias(n) for c, n in zip(groups, names)]
+    totals = bucketed.groupBy(*group, F.col("_bucket").alias("_at")).agg(
+        *[F.sum(s).alias(f"_t_{s}") for s in sums]
+    )
+    bucket_order = F.col("_at").desc() if descending else F.col("_at").asc()
+    before = W.partitionBy(*names).orderBy(bucket_order).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        "_bucket",
+        *names,
+        "_at",
         *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
     )
-    inside = W.partitionBy("_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        bucketed.join(F.broadcast(offsets), "_bucket")
-        .select(
-            *[F.col(quoted(c)) for c in df.columns],
-            *[(F.sum(s).over(inside) + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums],
-        )
+    same = reduce(
+        lambda x, y: x & y,
+        [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(groups, names)],
+        F.col("_bucket") == F.col("_at"),
+    )
+    inside = W.partitionBy(*groups, "_bucket").orderBy(order)
+    inside = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    return bucketed.join(F.broadcast(offsets), same).select(
+        *[F.col(quoted(c)) for c in df.columns],
+        *[(F.sum(s).over(inside) + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums],
     )
 
 
 def order_values(
     df: DataFrame,
     ranks: dict[str, Sequence[int]],
-    task_rows: int = TASK_ROWS,
+    task_rows: int | None = None,
     sizes: dict[str, int] | None = None,
 ) -> dict[str, list]:
     """Exact k-th smallest non-NULL values (k counts from 0), per column.
@@ -97,6 +113,7 @@ def order_values(
         if wanted and not 0 <= min(wanted) <= max(wanted) < sizes[column]:
             raise ValueError(f"{column} has {sizes[column]} values, not rank {max(wanted)}")
     columns = [c for c in ranks if ranks[c]]
+    task_rows = task_rows or session.task_rows(df.sparkSession)
     if max((sizes[c] for c in columns), default=0) <= task_rows:
         return {c: _ranked_values(_value_counts(df, c), ranks[c]) for c in columns}
 
@@ -183,19 +200,24 @@ def _brackets(
     df: DataFrame, ranks: dict[str, Sequence[int]], sizes: dict[str, int]
 ) -> dict[str, list[tuple]]:
     """(low, high, rows below low) around each wanted rank, from two passes over all columns."""
-    sketches = {}
+    # One sketch per column answers for both ends of all its ranks.
+    asked: dict[int, list[tuple[str, float]]] = {}
     for i, (column, wanted) in enumerate(ranks.items()):
         n = sizes[column]
         slack = 2 / SKETCH_ACCURACY + 2 / n
         for j, k in enumerate(wanted):
             for side, share in (("lo", k / n - slack), ("hi", (k + 1) / n + slack)):
                 if 0 < share < 1:
-                    sketches[f"{side}{i}_{j}"] = F.percentile_approx(
-                        as_column(column), share, SKETCH_ACCURACY
-                    )
+                    asked.setdefault(i, []).append((f"{side}{i}_{j}", share))
     ends = {}
-    if sketches:
-        ends = df.agg(*[s.alias(name) for name, s in sketches.items()]).first().asDict()
+    if asked:
+        names = list(ranks)
+        sketches = [
+            F.percentile_approx(as_column(names[i]), [s for _, s in entries], SKETCH_ACCURACY).alias(f"s{i}")
+            for i, entries in asked.items()
+        ]
+        row = df.agg(*sketches).first()
+        ends = {name: v for i, entries in asked.items() for (name, _), v in zip(entries, row[f"s{i}"])}
     lows = {
         f"lo{i}_{j}": as_column(c) < F.lit(ends[f"lo{i}_{j}"])
         for i, (c, wanted) in enumerate(ranks.items())
@@ -218,16 +240,17 @@ def quantiles(
     df: DataFrame,
     columns: Sequence[str],
     shares: Sequence[float],
-    task_rows: int = TASK_ROWS,
+    task_rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles of the non-NULL values of each column.
 
-    Up to ``task_rows`` rows the built-in ``percentile`` does it in one job. Its buffer holds every
-    distinct value, so larger tables go through :func:`order_values` instead.
+    Up to ``task_rows`` values in all columns the built-in ``percentile`` does it in one job. Its
+    buffers hold every distinct value, so larger tables go through :func:`order_values` instead.
     """
     row = df.agg(*[F.count(as_column(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    if max(counts.values(), default=0) <= task_rows:
+    task_rows = task_rows or session.task_rows(df.sparkSession)
+    if sum(counts.values()) <= task_rows:
         exact = df.agg(
             *[
                 F.percentile(as_column(c).cast("double"), list(shares)).alias(f"q{i}")
@@ -263,6 +286,40 @@ def _between(low: float, high: float, part: float) -> float:
     return float(low) if low == high else float(low) * (1 - part) + float(high) * part
 
 
+def grouped_quantile(
+    df: DataFrame, columns: Sequence[str], share: float, by: str, task_rows: int | None = None
+) -> DataFrame:
+    """(``by``, one column per name): exact, linearly interpolated quantile of each group.
+
+    Values are counted per group, and running counts along them tell which lie at the two middle
+    ranks; any number of groups, and groups of any size, take the same passes.
+    """
+    result = df.select(F.col(quoted(by)).alias(by)).distinct()
+    for column in columns:
+        value = as_column(column).cast("double")
+        counts = (
+            df.filter(value.isNotNull())
+            .groupBy(F.col(quoted(by)).alias("_by"), value.alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_n"))
+        )
+        placed = running_sums(counts, "_v", ["_n"], task_rows=task_rows, by=["_by"])
+        sizes = placed.groupBy("_by").agg(F.max("cum__n").alias("_size"))
+        ranked = placed.join(
+            sizes.withColumnRenamed("_by", "_of"), F.col("_by").eqNullSafe(F.col("_of"))
+        ).withColumn("_at", (F.col("_size") - 1) * F.lit(share))
+        ends = ranked.groupBy("_by", "_at").agg(
+            F.min(F.when(F.col("cum__n") > F.floor("_at"), F.col("_v"))).alias("_lo"),
+            F.min(F.when(F.col("cum__n") > F.ceil("_at"), F.col("_v"))).alias("_hi"),
+        )
+        part = F.col("_at") - F.floor("_at")
+        between = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
+            F.col("_lo") * (1 - part) + F.col("_hi") * part
+        )
+        found = ends.select("_by", between.alias(column))
+        result = result.join(found, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+    return result
+
+
 def hash_positions(
     df: DataFrame,
     ids: Sequence[str],
@@ -343,7 +400,7 @@ def hash_quota(
 
 
 def top_rows(
-    df: DataFrame, score: str, id_column: str, count: int, task_rows: int = TASK_ROWS
+    df: DataFrame, score: str, id_column: str, count: int, task_rows: int | None = None
 ) -> Column:
     """Condition that holds for exactly ``count`` rows: the highest scores, lower ids first on ties.
 

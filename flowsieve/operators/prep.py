@@ -17,10 +17,9 @@ from flowsieve.functions.columns import (
     number_or_zero,
     quoted,
 )
-from flowsieve.operators.ordering import hash_positions, quantiles
+from flowsieve.operators.ordering import grouped_quantile, hash_positions, quantiles
 from flowsieve.session import broadcast_if_small
 
-MAX_CLASSES = 100
 DAY_MICROSECONDS = 24 * 3600 * 1_000_000
 
 
@@ -174,22 +173,28 @@ def adjusted_skew(population_skew: float | None, n: int) -> float | None:
 def winsorise(
     df: DataFrame, columns: Sequence[str], share: float = 0.995, by: str | None = None
 ) -> DataFrame:
-    """Cut values above the ``share`` quantile, per class of a low-cardinality column if given."""
+    """Cut values above the ``share`` quantile, of the row's class in column ``by`` if given.
+
+    NULLs stay NULL.
+    """
+
+    def cut(c: str, cap: Column) -> Column:
+        return F.when(F.col(quoted(c)).isNotNull(), F.least(F.col(quoted(c)), cap))
+
     if by is None:
         caps = quantiles(df, columns, [share])
-        return df.withColumns({c: F.least(F.col(quoted(c)), F.lit(caps[c][0])) for c in columns})
-    classes = [r[0] for r in df.select(by).distinct().limit(MAX_CLASSES + 1).collect()]
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"{by} has more than {MAX_CLASSES} values")
-    capped = {c: F.col(quoted(c)) for c in columns}
-    for value in classes:
-        member = F.col(by).eqNullSafe(F.lit(value))
-        caps = quantiles(df.filter(member), columns, [share])
-        capped = {
-            c: F.when(member, F.least(F.col(quoted(c)), F.lit(caps[c][0]))).otherwise(old)
-            for c, old in capped.items()
-        }
-    return df.withColumns(capped)
+        return df.withColumns({c: cut(c, F.lit(caps[c][0])) for c in columns})
+    named = {c: f"_cap{i}" for i, c in enumerate(columns)}
+    caps = grouped_quantile(df, columns, share, by).withColumnsRenamed({**named, by: "_class"})
+    joined = df.join(
+        broadcast_if_small(caps), F.col(quoted(by)).eqNullSafe(F.col("_class")), "left"
+    )
+    return joined.select(
+        *[
+            cut(c, F.col(named[c])).alias(c) if c in named else F.col(quoted(c))
+            for c in df.columns
+        ]
+    )
 
 
 def encode_labels(df: DataFrame, column: str, name: str = "class_id") -> DataFrame:

@@ -61,4 +61,4 @@ def boundary(benign_errors: DataFrame, error: str = "recon_error", share: float
 
 
 def flag_above(limit: float, error: str = "recon_error") -> Column:
-    return (F.col(error) > F.lit(limit)).cast("int")
+    return F.coalesce(F.col(error) > F.lit(limit), F.lit(False)).cast("int")

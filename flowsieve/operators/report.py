@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import count_where, ratio
+from flowsieve.session import written
 
 
 def confusion(df: DataFrame, label: str = "y", flag: str = "flag") -> DataFrame:
@@ -164,12 +165,17 @@ def findings_document(
     """
     from flowsieve.operators.windows import time_range
 
-    entries = finding_records(findings, time)
-    total = findings.agg(F.count(F.lit(1)).alias("total_anomalies"))
-    header = time_range(records, time).join(total, F.lit(True))
+    entries = written(finding_records(findings, time), "findings")
+    header, total = time_range(records, time).first(), entries.count()
     nested = entries.select(F.struct("*").alias("anomaly"))
-    return F.broadcast(header).join(nested, F.lit(True), "left").select(
-        F.lit(file).alias("file"), "records", "time_range", "total_anomalies", "anomaly"
+    if not total:
+        nested = entries.sparkSession.createDataFrame([(None,)], nested.schema)
+    return nested.select(
+        F.lit(file).alias("file"),
+        F.lit(header.records).cast("bigint").alias("records"),
+        F.lit(header.time_range).cast("string").alias("time_range"),
+        F.lit(total).cast("bigint").alias("total_anomalies"),
+        "anomaly",
     )
 
 

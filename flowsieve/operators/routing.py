@@ -75,11 +75,16 @@ def queue_quality(
 
 
 def queue_composition(
-    routed: DataFrame, hidden: Sequence[str] = (), category: str = "category"
+    routed: DataFrame,
+    hidden: Sequence[str] = (),
+    category: str = "category",
+    attacks_only: bool = False,
+    label: str = "y",
 ) -> DataFrame:
-    """Queue by class, largest first, with share and hidden tag."""
+    """Queue by class, largest first, with share and hidden tag; of true attacks only, if asked."""
+    queued = F.col("route") == QUEUE
     counts = (
-        routed.filter(F.col("route") == QUEUE)
+        routed.filter(queued & (F.col(label) == 1) if attacks_only else queued)
         .groupBy(category)
         .agg(F.count(F.lit(1)).alias("queued"))
     )
@@ -99,7 +104,10 @@ def routing_by_class(
     flag: str = "flag",
     normal: str = NORMAL,
 ) -> DataFrame:
-    """Flagged rows per attack class: known (right and confident), queued, the rest."""
+    """Flagged rows per attack class: known (right and confident), queued, the rest, and shares.
+
+    A hidden class is never known.
+    """
     visible = ~F.col(category).isin(*hidden) if hidden else F.lit(True)
     known = count_where((F.col("route") == F.col(category)) & visible)
     queued = count_where(F.col("route") == QUEUE)
@@ -112,6 +120,8 @@ def routing_by_class(
             known.alias("known"),
             queued.alias("queued"),
             (flagged - known - queued).alias("rest"),
+            (100.0 * known / flagged).alias("known_pct"),
+            (100.0 * queued / flagged).alias("queued_pct"),
         )
     )
 

@@ -48,13 +48,19 @@ def fit_stage2(
     depth: int = 6,
     learning_rate: float = 0.1,
     seed: int = SEED,
+    bootstrap: bool = True,
+    feature_subset: str = "auto",
 ) -> Stage2:
-    """Boosted trees for two classes, a random forest (which has class probabilities) for more."""
+    """Boosted trees for two classes, a random forest (which has class probabilities) for more.
+
+    ``bootstrap`` and ``feature_subset`` are the forest's.
+    """
     with_checkpoints(train.sparkSession)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
     named = train.select(*[quoted(f) for f in features], F.col(label).cast("string").alias(label))
-    classes = indexer.fit(named).labels
+    indexed = indexer.fit(named)
+    classes = indexed.labels
     shared = dict(
         featuresCol="_features", labelCol="_label", predictionCol="_prediction",
         maxDepth=depth, seed=seed,
@@ -62,7 +68,9 @@ def fit_stage2(
     if len(classes) == 2:
         classifier = GBTClassifier(maxIter=rounds, stepSize=learning_rate, **shared)
     else:
-        classifier = RandomForestClassifier(numTrees=rounds, **shared)
+        classifier = RandomForestClassifier(
+            numTrees=rounds, bootstrap=bootstrap, featureSubsetStrategy=feature_subset, **shared
+        )
     classifier.setProbabilityCol("_probability").setRawPredictionCol("_raw")
-    model = Pipeline(stages=[assembler, indexer, classifier]).fit(named)
+    model = Pipeline(stages=[assembler, indexed, classifier]).fit(named)
     return Stage2(model, tuple(classes))

@@ -105,10 +105,13 @@ def severity_rank(column: str = "severity") -> Column:
 
 
 def rank_findings(
-    findings: DataFrame, ids: Sequence[str], score: str = "if_score", name: str = "rank"
+    findings: DataFrame, ids: Sequence[str], score: str = "if_score", name: str = "rank", time: str = "ts"
 ) -> DataFrame:
-    """Number findings by severity, then score. For deduplicated findings: types times buckets."""
-    order = W.orderBy(severity_rank(), F.col(score), *[F.col(i) for i in ids])
+    """Number findings by severity, then score; earlier time, then lower id, wins ties.
+
+    For deduplicated findings, whose number is bounded by types times time buckets.
+    """
+    order = W.orderBy(severity_rank(), F.col(score), F.col(time), *[F.col(i) for i in ids])
     return findings.withColumn(name, F.row_number().over(order).cast("bigint"))
 
 

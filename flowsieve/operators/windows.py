@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve.session import written
+
 from flowsieve.functions.columns import ratio
 
 
@@ -58,10 +60,8 @@ def resample(
         F.sum(resets).alias("resets"),
         F.min(score).alias("min_score"),
     )
-    ends = df.agg(
-        F.min(F.window(time, window)["start"]).alias("lo"),
-        F.max(F.window(time, window)["start"]).alias("hi"),
-    )
+    bins = written(bins, "bins")
+    ends = bins.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
     every = ends.select(
         F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {window}"))).alias("bin")
     )

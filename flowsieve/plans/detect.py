@@ -51,7 +51,7 @@ def flag_scored(scored: DataFrame, contamination: float) -> DataFrame:
     """Store the scored rows, and add ``flag`` for the lowest-scored fraction."""
     stored = written(scored, "scored")
     low = iforest.flag_lowest(stored, "if_score", contamination)
-    return stored.withColumn("flag", low.cast("int"))
+    return stored.withColumn("flag", F.coalesce(low, F.lit(False)).cast("int"))
 
 
 def ranked_findings(flagged: DataFrame, id_column: str, time: str = "ts") -> DataFrame:
@@ -59,7 +59,7 @@ def ranked_findings(flagged: DataFrame, id_column: str, time: str = "ts") -> Dat
     stats = triage.baseline_stats(flagged)
     typed = triage.classify_flagged(flagged, stats)
     kept = triage.best_per_bucket(typed, [id_column], time=time)
-    return knowledge.enrich(triage.rank_findings(kept, [id_column]))
+    return knowledge.enrich(triage.rank_findings(kept, [id_column], time=time))
 
 
 @dataclass(frozen=True)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 SCRATCH_SETTING = "spark.checkpoint.dir"
 
-# Rows one task may sort on its own. Anything that can exceed it is split first.
+# Rows one task may sort on its own. Anything that can exceed it is split first. The setting lets a
+# session lower it, as the checks of the split paths do.
 TASK_ROWS = 1_000_000
+TASK_ROWS_SETTING = "flowsieve.taskRows"
 
 # Rows of a lookup table that may be broadcast without a second thought.
 BROADCAST_ROWS = 10_000
@@ -29,9 +31,9 @@ def scratch_folder(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {SCRATCH_SETTING} to a folder shared by all executors")
-        folder = _local_scratch.setdefault(
-            context.applicationId, tempfile.mkdtemp(prefix="flowsieve-")
-        )
+        if context.applicationId not in _local_scratch:
+            _local_scratch[context.applicationId] = tempfile.mkdtemp(prefix="flowsieve-")
+        folder = _local_scratch[context.applicationId]
     return f"{folder.rstrip('/')}/flowsieve/{context.applicationId}"
 
 
@@ -39,6 +41,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def task_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(TASK_ROWS_SETTING, str(TASK_ROWS)))
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the scratch folder. Tables read from it are gone then."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back, so that later jobs neither recompute nor lose it."""
     path = scratch_path(df.sparkSession, label)
