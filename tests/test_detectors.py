@@ -144,3 +144,29 @@ def test_overlap_regions_sum_to_any(spark):
     found = dict(ensemble.detector_overlap(df, ["a_flag", "b_flag", "c_flag"]).collect())
     caught = found.pop("any")
     assert sum(found.values()) == caught
+
+
+def test_values_one_rounding_step_apart(spark):
+    rows = [(i, 0.3 if i % 2 else 0.1 + 0.2) for i in range(8)]
+    df = spark.createDataFrame(rows, "id bigint, a double")
+    scored = iforest.fit_forest(df, ["a"], ["id"], trees=40).score(df)
+    assert scored.count() == 8 and scored.filter("anomaly_score is null").isEmpty()
+
+
+def test_nan_takes_the_same_way_in_score_and_trace(spark, toy):
+    small = iforest.fit_forest(toy, NAMES, ["id"], trees=3, seed=7)
+    nan = float("nan")
+    odd = spark.createDataFrame(
+        [(1, nan, 150.0, 0.01), (2, 2.0, nan, nan)], "id bigint, n_dst_ports double, n_bytes_kb double, failed_ratio double"
+    )
+    traced = [iforest.trace_paths(odd, small, t, ["id"]).select("id", "depth").toPandas() for t in range(3)]
+    mean = sum(t.set_index("id")["depth"] for t in traced) / 3
+    found = small.mean_depth(odd, ["id"]).toPandas().set_index("id")["mean_depth"]
+    assert np.allclose(mean.sort_index(), found.sort_index(), atol=1e-9)
+
+
+def test_rows_without_a_score_are_not_flagged(spark):
+    df = spark.createDataFrame([(i, None if i < 4 else float(i)) for i in range(14)], "id bigint, s double")
+    flags = {r.id: r.flag for r in ensemble.flag_top(df, "s", "id", 0.4).collect()}
+    assert flags == {i: int(i >= 10) for i in range(14)}
+    assert {r[0] for r in df.select(recon.flag_above(9.5, "s")).collect()} == {0, 1}

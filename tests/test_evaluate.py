@@ -101,3 +101,15 @@ def test_stream_gives_the_batch_features(spark, tmp_path):
     actual = done.select(columns).orderBy(*key).toPandas()
     assert len(actual) == len(expected) > 0
     assert np.allclose(actual.iloc[:, 2:].astype(float), expected.iloc[:, 2:].astype(float))
+
+
+def test_constant_scores(spark):
+    df = spark.createDataFrame([(i % 2, 3.0) for i in range(10)], "y int, score double")
+    grid = distributions.cdf_grid(df, points=5).orderBy("point").collect()
+    assert [(r.cdf_positive, r.cdf_negative) for r in grid] == [(1.0, 1.0)] * 5
+    bins = distributions.histogram(df, "score", "y", 4).collect()
+    assert sorted((r["class"], r.bin, r.bin_start, r.n) for r in bins) == [(0, 2, 3.0, 5), (1, 2, 3.0, 5)]
+    assert {r.density for r in distributions.kernel_density(df, points=3).collect()} == {None}
+    empty = df.limit(0)
+    assert distributions.histogram(empty, "score", "y", 4).count() == 0
+    assert distributions.cdf_grid(empty, points=5).count() == 5

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsieve.operators.ordering import (
+    grouped_quantile,
     hash_positions,
     hash_quota,
     order_values,
@@ -101,3 +102,23 @@ def test_same_result_for_any_partitioning(numbers):
         taken = hash_quota(df, ["id"], F.lit(100)).filter("taken").select("id")
         results.append(sorted(r.id for r in taken.collect()))
     assert results[0] == results[1] and len(results[0]) == 100
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("task_rows", [2, 1_000_000])
+def test_running_sums_keep_null_and_nan_keys(spark, descending, task_rows):
+    rows = [(None, 1), (0.5, 2), (1.5, 4), (2.5, 8), (3.5, 16), (float("nan"), 32)]
+    df = spark.createDataFrame(rows, "k double, n long")
+    found = {repr(r.k): r.cum_n for r in running_sums(df, "k", ["n"], descending, task_rows).collect()}
+    order = [n for _, n in (reversed(rows) if descending else rows)]
+    expected = {repr(k): sum(order[: order.index(n) + 1]) for k, n in rows}
+    assert found == expected
+
+
+def test_grouped_quantile_matches_numpy(spark):
+    rows = [(g, float((i * 37) % 101)) for g in ("a", "b", None) for i in range(40)] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for limit in (7, 1_000_000):
+        found = {r.g: r.v for r in grouped_quantile(df, ["v"], 0.9, "g", limit).collect()}
+        for g in ("a", "b", None):
+            assert found[g] == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], 0.9))
