@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.catalog.detect import EXPECTED, PATHS
+from flowsieve.catalog.detect import EXPECTED, PATHS, TREES
 from flowsieve.catalog.views import (
     CLASSES,
     DEDUPE,
@@ -16,6 +16,7 @@ from flowsieve.catalog.views import (
     event_flags,
     EVENT_FLAGGED,
     flagged_flows,
+    forest_sql,
     r,
     rounded,
     routed,
@@ -23,8 +24,9 @@ from flowsieve.catalog.views import (
     sql,
     staged_flows,
     typed,
+    walk_sql,
 )
-from flowsieve.operators import knowledge, report, routing, triage, windows
+from flowsieve.operators import iforest, knowledge, report, routing, triage, windows
 from flowsieve.plans import detect
 from flowsieve.session import scratch_path, written
 from flowsieve.sources import tables
@@ -362,13 +364,27 @@ def row_counts(spark, folder):
     return report.row_counts(event_flags(spark, folder))
 
 
-WINDOW_FEATURES = ["n_bytes", "n_packets", "n_dst_ports", "failed_ratio"]
-WINDOW_FLAGS = f"""
-{window_sql("1 hour")},
+WINDOW_FEATURES = detect.WINDOW_FEATURES
+FOREST_SCORES = f"""
+{scaled("keyed", "z", WINDOW_FEATURES, "window_id", "zero")},
+{forest_sql(TREES, WINDOW_FEATURES, "z", ids="window_id")}, {walk_sql(f"range({TREES})", WINDOW_FEATURES)},
+scores AS (
+  SELECT w8.id AS window_id, -pow(2.0::DOUBLE, -sum(leaf_micro) / {iforest.MICRO * TREES}::DOUBLE
+                                               / {EXPECTED!r}) AS if_score
+  FROM w8 JOIN leaves USING (tree, node) GROUP BY w8.id)
+"""
+PLAIN_SCORES = f"""
+{scaled("keyed", "z", WINDOW_FEATURES, "window_id")},
+scores AS (SELECT window_id, -({" + ".join(f"{c} * {c}" for c in WINDOW_FEATURES)}) AS if_score FROM z)
+"""
+
+
+def window_flags(window: str, scores: str) -> str:
+    return f"""
+{window_sql(window)},
 keyed AS (SELECT *, concat_ws('@', src, strftime(window_start, '%Y-%m-%d %H:%M:%S')) AS window_id,
                  window_start AS ts FROM windowed),
-{scaled("keyed", "z", WINDOW_FEATURES, "window_id")},
-scores AS (SELECT window_id, -({" + ".join(f"{c} * {c}" for c in WINDOW_FEATURES)}) AS if_score FROM z),
+{scores},
 flagged AS (
   SELECT k.*, if_score, n_bytes AS flow_byts_s, n_packets AS flow_pkts_s, n_bytes AS fwd_bytes,
          failed_ratio AS rst_flag, n_dst_ports AS syn_flag, 0.0::DOUBLE AS flow_duration_s,
@@ -379,59 +395,43 @@ flagged AS (
 """
 
 
-def window_findings(spark, folder, contamination=0.02, window="1 hour"):
-    """Windowed features, the most unusual windows, and what kind of traffic they look like."""
-    features = windows.window_features(event_records(spark, folder), window).withColumnRenamed(
-        "window_start", "ts"
-    )
-    features = written(features, "windows")
-    flagged = detect.flag_scored(detect.squared_z(features, WINDOW_FEATURES), contamination)
-    flagged = flagged.withColumns(
-        {
-            "flow_byts_s": F.col("n_bytes"),
-            "flow_pkts_s": F.col("n_packets"),
-            "fwd_bytes": F.col("n_bytes"),
-            "rst_flag": F.col("failed_ratio"),
-            "syn_flag": F.col("n_dst_ports"),
-            "flow_duration_s": F.lit(0.0),
-            "total_pkts": F.col("n_packets"),
-        }
-    )
-    found = triage.classify_flagged(flagged, triage.baseline_stats(flagged))
-    return found.select(
-        "ts", F.col("src").alias("src_ip"), "type", "severity", "if_score", "n_bytes", "n_packets",
-        "n_dst_ports", "failed_ratio",
-    )
+RECORD = f"""strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", src AS src_ip, type, severity,
+           {r("if_score", digits=4)}, {r("failed_ratio", digits=4)},
+           CAST(trunc(n_bytes) AS BIGINT) AS n_bytes, n_packets, n_dst_ports"""
 
 
 @query(
     "a6_findings_document",
-    sql(WINDOW_FLAGS, body=f"""
+    sql(window_flags("5 minutes", FOREST_SCORES), body=f"""
     SELECT 'events' AS file, (SELECT count(*) FROM events) AS records,
            (SELECT strftime(min(ts), '%Y-%m-%d %H:%M') || ' – ' || strftime(max(ts), '%H:%M')
             FROM events) AS time_range,
-           count(*) OVER () AS total_anomalies,
-           strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", src AS src_ip, type, severity,
-           {r("if_score", digits=4)}, {r("failed_ratio", digits=4)},
-           CAST(trunc(n_bytes) AS BIGINT) AS n_bytes, n_packets, n_dst_ports FROM typed"""),
+           count(*) OVER () AS total_anomalies, {RECORD} FROM typed"""),
 )
 def findings_document(spark, folder):
     """The nested result, its findings spread out into columns for comparison."""
     events = event_records(spark, folder)
-    document = report.findings_document(window_findings(spark, folder), events, "events")
+    document = report.findings_document(detect.analyze(events), events, "events")
     return document.select("*", "anomaly.*").drop("anomaly")
 
 
+@query(
+    "a6_plain_findings",
+    sql(window_flags("1 hour", PLAIN_SCORES), body=f"SELECT {RECORD} FROM typed"),
+)
+def plain_findings(spark, folder):
+    """Hourly windows with the plain score."""
+    found = detect.analyze(event_records(spark, folder), "1 hour", forest=False)
+    return report.finding_records(found)
+
+
 @query(
     "a7_written_findings",
-    sql(WINDOW_FLAGS, body=f"""
-    SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", src AS src_ip, type, severity,
-           {r("if_score", digits=4)}, {r("failed_ratio", digits=4)},
-           CAST(trunc(n_bytes) AS BIGINT) AS n_bytes, n_packets, n_dst_ports FROM typed"""),
+    sql(window_flags("5 minutes", FOREST_SCORES), body=f"SELECT {RECORD} FROM typed"),
 )
 def written_findings(spark, folder):
     """Write the findings as JSON lines and read them back."""
-    records = report.finding_records(window_findings(spark, folder))
+    records = report.finding_records(detect.analyze(event_records(spark, folder)))
     path = scratch_path(spark, "findings")
     tables.write_findings(records, path)
     return tables.read_findings(spark, path, records.schema)

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import SEED
-from flowsieve.operators import ensemble, iforest, knowledge, lof, prep, recon, routing, stage2, triage
+from flowsieve.operators import ensemble, iforest, knowledge, lof, prep, recon, routing, stage2, triage, windows
 from flowsieve.session import written
 
 
+# What a window of traffic is scored on.
+WINDOW_FEATURES = ["n_bytes", "n_packets", "n_dst_ports", "failed_ratio"]
+
+
 def forest_scores(
     df: DataFrame,
     features: Sequence[str],
@@ -62,6 +66,43 @@ def ranked_findings(flagged: DataFrame, id_column: str, time: str = "ts") -> Dat
     return knowledge.enrich(triage.rank_findings(kept, [id_column], time=time))
 
 
+def analyze(
+    records: DataFrame,
+    window: str = "5 minutes",
+    contamination: float = 0.02,
+    time: str = "ts",
+    source: str = "src",
+    forest: bool = True,
+) -> DataFrame:
+    """Typed findings (ts, src_ip, type, severity, if_score and the features) of raw records.
+
+    Records become features per source and window; the ``contamination`` share of windows with the
+    lowest scores is flagged and typed. The score is the isolation forest's, or, without ``forest``,
+    minus the sum of squared z-scores.
+    """
+    features = windows.window_features(records, window, time, source)
+    features = features.withColumnsRenamed({"window_start": "ts", source: "src_ip"})
+    moment = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    features = written(features.withColumn("window_id", F.concat_ws("@", "src_ip", moment)), "windows")
+    if forest:
+        scored = forest_scores(features, WINDOW_FEATURES, "window_id")
+    else:
+        scored = squared_z(features, WINDOW_FEATURES)
+    flagged = flag_scored(scored, contamination).withColumns(
+        {
+            "flow_byts_s": F.col("n_bytes"),
+            "flow_pkts_s": F.col("n_packets"),
+            "fwd_bytes": F.col("n_bytes"),
+            "rst_flag": F.col("failed_ratio"),
+            "syn_flag": F.col("n_dst_ports"),
+            "flow_duration_s": F.lit(0.0),
+            "total_pkts": F.col("n_packets"),
+        }
+    )
+    found = triage.classify_flagged(flagged, triage.baseline_stats(flagged))
+    return found.select("ts", "src_ip", "type", "severity", "if_score", *WINDOW_FEATURES)
+
+
 @dataclass(frozen=True)
 class TwoStage:
     """Everything fitted on the training rows."""
