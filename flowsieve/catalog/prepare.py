@@ -138,7 +138,7 @@ SELECT flow_id, true_label FROM (
 
 @query("b1_sample_per_class", sql(ORDER_FLOWS, body=SAMPLE))
 def sample_per_class(spark, folder):
-    rows = order_flows(spark, folder).select("flow_id", "true_label")
+    rows = written(order_flows(spark, folder).select("flow_id", "true_label"), "flows")
     marked = ordering.hash_quota(rows, ["flow_id"], F.lit(6000), by=["true_label"])
     return marked.filter("taken").drop("taken")
 

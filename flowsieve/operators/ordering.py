@@ -360,15 +360,17 @@ def hash_quota(
 ) -> DataFrame:
     """Mark the first ``quota`` rows of the seeded shuffle, per group of ``by``.
 
-    ``quota`` may use ``group_rows``, the size of the group. Counting per hash bucket finds the one
-    bucket in which each group's quota ends. Rows before or after it are decided where they are;
-    only the rows of that bucket (one in 16 ** ``digits``) are shuffled and numbered.
+    ``ids`` identify a row, and ``quota`` may use ``group_rows``, the size of the group. Counting per
+    hash bucket finds the one bucket in which each group's quota ends; only its rows (one in
+    16 ** ``digits``) are shuffled and numbered, which gives the group's last hash. The rows
+    themselves are compared with that hash where they are. ``df`` is read three times and should be
+    a stored table.
     """
     digest = hash_key(ids, seed)
-    keyed = df.withColumn("_hash", digest).withColumn("_bucket", F.substring(digest, 1, digits))
     names = [f"_g{i}" for i in range(len(by))]
     group = [F.col(quoted(c)).alias(n) for c, n in zip(by, names)]
-    totals = keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    keyed = df.select(*group, digest.alias("_hash"), F.substring(digest, 1, digits).alias("_bucket"))
+    totals = keyed.groupBy(*names, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     running = W.partitionBy(*names).orderBy("_bucket")
     cuts = (
         totals.withColumn("_end", F.sum("_n").over(running))
@@ -380,23 +382,24 @@ def hash_quota(
             F.min(F.struct("_bucket", (F.col("_quota") - F.col("_end") + F.col("_n")).alias("rest")))
             .alias("_c")
         )
-        .select(*names, F.col("_c._bucket").alias("_cut"), F.col("_c.rest").alias("_rest"))
+        .select(*[F.col(n).alias(f"_of{n}") for n in names], F.col("_c._bucket").alias("_cut"), F.col("_c.rest").alias("_rest"))
     )
-    cuts = broadcast_if_small(cuts)
-    same = [F.col(quoted(c)).eqNullSafe(F.col(n)) for c, n in zip(by, names)] or [F.lit(True)]
-    # A group whose quota exceeds its size has no cut and is taken whole.
-    placed = keyed.join(cuts, reduce(lambda x, y: x & y, same), "left").drop(*names)
-    decided = placed.filter(F.col("_cut").isNull() | (F.col("_bucket") != F.col("_cut"))).withColumn(
-        name, F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut"))
+    cuts = broadcast_if_small(written(cuts, "cuts"))
+    same = [F.col(n).eqNullSafe(F.col(f"_of{n}")) for n in names]
+    edge = keyed.join(cuts, reduce(lambda x, y: x & y, same, F.col("_bucket") == F.col("_cut")))
+    place = F.row_number().over(W.partitionBy(*names).orderBy("_hash"))
+    last = edge.withColumn("_at", place).filter(F.col("_at") == F.col("_rest")).select(*names, F.col("_hash").alias("_last"))
+    # A cut without rows to take keeps the bucket's prefix, which is below every hash in it.
+    on = reduce(lambda x, y: x & y, same) if same else F.lit(True)
+    limits = cuts.join(last, on, "left").select(
+        *[f"_of{n}" for n in names], F.coalesce("_last", "_cut").alias("_limit")
     )
-    edge = W.partitionBy(*[quoted(c) for c in by], "_bucket").orderBy(
-        "_hash", *[quoted(i) for i in ids]
-    )
-    numbered = placed.filter(F.col("_bucket") == F.col("_cut")).withColumn(
-        name, F.row_number().over(edge) <= F.col("_rest")
-    )
-    extra = ("_hash", "_bucket", "_cut", "_rest")
-    return decided.drop(*extra).unionByName(numbered.drop(*extra))
+    limits = broadcast_if_small(written(limits, "limits"))
+    # A group whose quota exceeds its size has no limit and is taken whole.
+    held = [F.col(quoted(c)).eqNullSafe(F.col(f"_of{n}")) for c, n in zip(by, names)] or [F.lit(True)]
+    placed = df.join(limits, reduce(lambda x, y: x & y, held), "left")
+    taken = F.col("_limit").isNull() | (digest <= F.col("_limit"))
+    return placed.select(*[F.col(quoted(c)) for c in df.columns], taken.alias(name))
 
 
 def top_rows(
