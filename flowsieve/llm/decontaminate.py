@@ -34,17 +34,21 @@ def lowered(words: Column) -> Column:
     return F.transform(words, lambda w: F.translate(w, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def _pairs(words: Column) -> Column:
-    """Hash of each word and the next; the last word's is its own hash.
-
-    Full lower-casing is cheaper than lowering A-Z and joins no fewer places; words are compared later.
+def _join_words(text: Column) -> Column:
+    """Words as they are joined: fully lower-cased, which is cheaper than lowering A-Z and joins no
+    fewer places; they are compared exactly later. Capital sigma goes first, as the lower case of
+    that letter alone depends on its neighbours.
     """
-    following = F.slice(words, F.lit(2), F.size(words))
-    return F.zip_with(words, following, lambda a, b: F.xxhash64(F.lower(a), F.lower(b)))
+    return words_of(F.lower(F.replace(text, F.lit("\u03a3"), F.lit("\u03c3"))))
+
+
+def _pairs(words: Column) -> Column:
+    """Hash of each word and the next; the last word's is its own hash."""
+    return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
 
 
 def _singles(words: Column) -> Column:
-    return F.transform(words, lambda a: F.xxhash64(F.lower(a)))
+    return F.transform(words, lambda a: F.xxhash64(a))
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -65,30 +69,28 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def _tokens(docs: DataFrame, tokens) -> DataFrame:
     """(doc_id, text_key, n_words, at, token) of every shingle of every document."""
-    cut = docs.select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
+    cut = docs.select("doc_id", "text_key", _join_words(F.col("text")).alias("words"))
     cut = cut.select("doc_id", "text_key", F.size("words").alias("n_words"), tokens(F.col("words")).alias("t"))
-    return cut.select("doc_id", "text_key", "n_words", F.posexplode("t").alias("at", "token"))
+    # The outer form keeps Spark from testing the array in a filter below, which would build it twice.
+    return cut.select("doc_id", "text_key", "n_words", F.posexplode_outer("t").alias("at", "token"))
 
 
-def _candidates(docs: DataFrame, windows: DataFrame, tokens, held) -> DataFrame:
+def _candidates(docs: DataFrame, windows: DataFrame, tokens, single: bool) -> DataFrame:
     """Places (doc_id, text_key, start, words, items) where a window may stand."""
-    held_tokens = windows.select("window", "words", "items", F.posexplode(held).alias("offset", "token"))
-    held_tokens = written(held_tokens, "window-tokens")
-    distinct = held_tokens.select("token").distinct()
-    # Rarity comes from all documents; tokens that no window holds go before anything is counted.
-    counts = (
-        _tokens(docs, tokens)
-        .select("token")
-        .join(broadcast_if_small(distinct, PREFIX_ROWS), "token")
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = held_tokens.join(counts, "token")
-    # A window with a token that occurs nowhere is in no document: it is not in the inner join as often
-    # as it has tokens.
-    size = F.greatest(F.size("words") - 1, F.lit(1))
+    held = tokens(_join_words(F.array_join("words", " ")))
+    if not single:
+        held = F.slice(held, F.lit(1), F.size("words") - 1)
+    held = windows.select("window", "words", "items", F.posexplode(held).alias("offset", "token"))
+    held = written(held, "window-tokens")
+    distinct = broadcast_if_small(held.select("token").distinct(), PREFIX_ROWS)
+    # Texts are cut once: what no window holds goes at once, and rarity comes from all documents.
+    shared = written(_tokens(docs, tokens).join(distinct, "token"), "shared-tokens")
+    counts = shared.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # A window with a token that occurs nowhere is in no document: fewer of its tokens are counted.
+    size = F.lit(1) if single else F.size("words") - 1
     prefix = (
-        ranked.groupBy("window")
+        held.join(counts, "token")
+        .groupBy("window")
         .agg(
             F.count(F.lit(1)).alias("found"),
             F.min(F.struct("n", "token", "offset")).alias("rarest"),
@@ -100,8 +102,7 @@ def _candidates(docs: DataFrame, windows: DataFrame, tokens, held) -> DataFrame:
     )
     start = F.col("at") - F.col("offset")
     return (
-        _tokens(docs, tokens)
-        .join(broadcast_if_small(written(prefix, "window-prefixes"), PREFIX_ROWS), "token")
+        shared.join(broadcast_if_small(written(prefix, "window-prefixes"), PREFIX_ROWS), "token")
         .withColumn("start", start)
         .filter((start >= 0) & (start + F.size("words") <= F.col("n_words")))
         .select("doc_id", "text_key", "start", "words", "items")
@@ -126,10 +127,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     slim = keyed.select("doc_id", "text_key", "text")
     windows = written(benchmark_windows(benchmark, size), "windows")
     many, one = windows.filter(F.size("words") > 1), windows.filter(F.size("words") == 1)
-    held_pairs = F.slice(_pairs(F.col("words")), F.lit(1), F.size("words") - 1)
-    found = _candidates(slim, many, _pairs, held_pairs)
+    found = _candidates(slim, many, _pairs, False)
     if not one.isEmpty():
-        found = found.unionByName(_candidates(slim, one, _singles, _singles(F.col("words"))))
+        found = found.unionByName(_candidates(slim, one, _singles, True))
     places = found.groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("start", "words", "items")).alias("places")
     )
