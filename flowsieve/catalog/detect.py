@@ -21,9 +21,10 @@ from flowsieve.catalog.views import (
     staged_flows,
     walk_sql,
 )
-from flowsieve.operators import ensemble, iforest, lof, ordering, prep, recon, report, routing
+from flowsieve.operators import curves, ensemble, iforest, lof, ordering, prep, recon, report, routing
 from flowsieve.plans import detect
 from flowsieve.session import written
+from flowsieve.sources import tables
 from flowsieve.sources.flows import FEATURES, event_score_set, event_scores, order_flows, vectors
 
 QUERIES = {}
@@ -131,28 +132,54 @@ def decision_boundary(spark, folder):
     return rounded(named[0].unionByName(named[1]).unionByName(named[2]))
 
 
-@query(
-    "d5_local_outlier_factor",
-    f"""
-    WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings),
-    pairs AS (SELECT a.id, b.id AS other, list_distance(a.x, b.x) AS dist
+def lof_sql(source: str) -> str:
+    """Equal rows stand together: ties go by the lowest id of the rows that are equal to a neighbour."""
+    return f"""
+    WITH v AS (SELECT id, x, min(id) OVER (PARTITION BY x) AS rep FROM ({source})),
+    pairs AS (SELECT a.id, b.id AS other, b.rep, list_distance(a.x, b.x) AS dist
               FROM v a JOIN v b ON a.id <> b.id),
-    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS rn
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, rep, other) AS rn
                             FROM pairs) WHERE rn <= 20),
     reach AS (SELECT id, max(dist) AS k_dist FROM near GROUP BY id),
     density AS (SELECT near.id, 1 / (avg(greatest(reach.k_dist, near.dist)) + 1e-10) AS density
                 FROM near JOIN reach ON near.other = reach.id GROUP BY near.id)
     SELECT near.id, {r("avg(o.density) / max(d.density)", "lof")}
-    FROM near JOIN density o ON near.other = o.id JOIN density d ON near.id = d.id GROUP BY near.id""",
+    FROM near JOIN density o ON near.other = o.id JOIN density d ON near.id = d.id GROUP BY near.id"""
+
+
+@query(
+    "d5_local_outlier_factor", lof_sql("SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings")
 )
 def local_outlier_factor(spark, folder):
     return rounded(lof.local_outlier_factor(vectors(spark, folder), ["x"], "id"))
 
 
+@query(
+    "d5_local_outlier_factor_parts",
+    lof_sql("SELECT p_partkey AS id, [p_size::DOUBLE, floor(p_retailprice / 100)] AS x FROM part"),
+)
+def local_outlier_factor_parts(spark, folder):
+    """Two coarse dimensions, so that many rows coincide."""
+    parts = tables.table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.col("p_size").cast("double").alias("size"),
+        F.floor(F.col("p_retailprice") / 100).cast("double").alias("price"),
+    )
+    return rounded(lof.local_outlier_factor(parts, ["size", "price"], "id"))
+
+
+def vector_width(base) -> int:
+    """Dimensions of the vectors, which must all have the same number."""
+    row = base.agg(F.min(F.size("x")).alias("least"), F.max(F.size("x")).alias("most")).first()
+    if row.least != row.most:
+        raise ValueError(f"vectors have {row.least} to {row.most} dimensions")
+    return row.most
+
+
 def vector_errors(spark, folder):
     """Embedding dimensions as columns, with the error left by the components of the benign rows."""
     base = vectors(spark, folder)
-    size = len(base.select("x").first().x)
+    size = vector_width(base)
     names = [f"x{i}" for i in range(size)]
     wide = base.select("id", "y", *[F.col("x")[i].alias(c) for i, c in enumerate(names)])
     detector = recon.fit_reconstruction(wide.filter("y = 0"), names)
@@ -310,12 +337,28 @@ def confidence(spark, folder):
 @query("detector_comparison")
 def detector_comparison(spark, folder):
     """Forest, local outlier factor and reconstruction on the vectors, and their mean, by KS."""
-    from flowsieve.operators import curves
-
     base = vectors(spark, folder)
-    size = len(base.select("x").first().x)
+    size = vector_width(base)
     names = [f"x{i}" for i in range(size)]
     wide = base.select("id", "y", *[F.col("x")[i].alias(c) for i, c in enumerate(names)])
     scored = written(detect.detector_scores(wide, names, "id", "y"), "compared")
     measured = curves.separation(scored, ["if_score", "lof_score", "recon_score", "ensemble"])
     return rounded(curves.rank_detectors(measured, "if_score"))
+
+
+@query("detector_comparison_flows")
+def detector_comparison_flows(spark, folder):
+    """The same comparison on the flow table."""
+    flows = written(order_flows(spark, folder), "flows")
+    scored = written(detect.detector_scores(flows, FEATURES, "flow_id", "true_label"), "compared")
+    measured = curves.separation(
+        scored, ["if_score", "lof_score", "recon_score", "ensemble"], label="true_label"
+    )
+    return rounded(curves.rank_detectors(measured, "if_score"))
+
+
+@query("f24_fitted_two_stage")
+def fitted_two_stage(spark, folder):
+    """The summary of a run whose detector and second stage were fitted here."""
+    routed = run_two_stage(spark, folder, True, (), routing.CONFIDENCE, 200)
+    return rounded(report.two_stage_summary("flows", routed))

@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from flowsieve.session import drop_scratch  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -21,4 +23,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_scratch(session)
     session.stop()
