@@ -40,11 +40,18 @@ _ENDS = byte_class((0x0A, 0x0A), (0x0D, 0x0D), (0x21, 0x21), (0x2E, 0x2E), (0x3F
 
 @dataclass
 class Model:
-    """Weight per hashed word, and the margin of the leak."""
+    """The features with a weight, their weights, and the margin of the leak."""
 
+    features: np.ndarray
     weights: np.ndarray
     leak: float
 
+    def table(self) -> np.ndarray:
+        """Weights by feature."""
+        out = np.zeros(1 << BITS)
+        out[self.features] = self.weights
+        return out
+
 
 @dataclass
 class _Sentences:
@@ -123,20 +130,19 @@ def fit(documents: DataFrame, labels: DataFrame, learnt: Column, label: str = "t
     train = written(train.mapInArrow(bags, bags_schema), "toxicity-bags").repartition("block")
 
     def document_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, n = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
+        counts = np.zeros((2, 1 << BITS), np.int64)
         for frame in frames:
             for y, features in zip(frame.label, frame.features):
                 counts[int(y > 0), np.unique(features)] += 1
-                n[int(y > 0)] += 1
-        blobs = [counts[y].tobytes() for y in (0, 1)]
-        yield pd.DataFrame({"y": [0, 1], "n": n, "counts": blobs})
+        seen = np.flatnonzero(counts.any(0))
+        yield pd.DataFrame({"feature": seen, "clean": counts[0, seen], "toxic": counts[1, seen]})
 
-    counts, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
-    for row in train.mapInPandas(document_counts, "y int, n long, counts binary").collect():
-        counts[row.y] += np.frombuffer(row.counts, np.int32)
-        n[row.y] += row.n
-    allowed = screened(counts, n)
-    weights, leak = np.zeros(1 << BITS, np.float32), FIRST_LEAK
+    n = {r.y: r.n for r in train.groupBy((F.col("label") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = train.mapInPandas(document_counts, "feature int, clean long, toxic long").groupBy("feature")
+    counted = counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    screened = counted.filter(_stands_out(n.get(False, 0), n.get(True, 0)))
+    features = np.sort(np.array([r.feature for r in screened.select("feature").collect()], np.int64))
+    weights, leak = np.zeros(len(features)), FIRST_LEAK
 
     for _ in range(ROUNDS):
         start = spark.sparkContext.broadcast((weights, leak))
@@ -145,27 +151,28 @@ def fit(documents: DataFrame, labels: DataFrame, learnt: Column, label: str = "t
             held = list(frames)
             if held:
                 block = pd.concat(held, ignore_index=True)
-                w, c = _descended(block, *start.value, allowed)
-                blob = w.astype(np.float32).tobytes()
-                yield pd.DataFrame({"n": [len(block)], "leak": [c], "weights": [blob]})
+                w, c = _descended(block, *start.value, features)
+                yield pd.DataFrame({"n": [len(block)], "leak": [c], "weights": [w]})
 
-        # One row per block and at most BLOCKS blocks, whatever the corpus.
-        found = train.mapInPandas(descend, "n long, leak double, weights binary").collect()
+        # One row per block, with a number per feature that stands out.
+        found = train.mapInPandas(descend, "n long, leak double, weights array<double>").collect()
         if found:
             total = sum(r.n for r in found)
-            weights = sum(np.frombuffer(r.weights, np.float32) * (r.n / total) for r in found)
+            weights = sum(np.array(r.weights) * (r.n / total) for r in found)
             leak = sum(r.leak * r.n for r in found) / total
         start.unpersist()
-    return Model(np.asarray(weights, np.float32), float(leak))
+    return Model(features, np.asarray(weights, float), float(leak))
 
 
-def screened(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _stands_out(clean: int, toxic: int) -> Column:
     """Features that occur in toxic documents clearly more often than in others.
 
-    ``counts``: documents with each feature, by class; ``n``: documents by class.
+    ``clean`` and ``toxic``: training documents by class; the columns of these names count those with
+    the feature.
     """
-    expected = (counts[0] + 1) * n[1] / max(n[0], 1)
-    return (counts[1] >= LEAST_TOXIC) & (counts[1] - expected >= LEAST_DEVIATIONS * np.sqrt(expected))
+    expected = (F.col("clean") + 1) * F.lit(toxic / max(clean, 1))
+    enough = F.col("toxic") - expected >= F.lit(LEAST_DEVIATIONS) * F.sqrt(expected)
+    return (F.col("toxic") >= LEAST_TOXIC) & enough
 
 
 def _ends(sizes: np.ndarray) -> pa.Array:
@@ -173,20 +180,22 @@ def _ends(sizes: np.ndarray) -> pa.Array:
 
 
 def _descended(
-    block: pd.DataFrame, weights: np.ndarray, leak: float, allowed: np.ndarray
+    block: pd.DataFrame, weights: np.ndarray, leak: float, features: np.ndarray
 ) -> tuple[np.ndarray, float]:
     """Adaptive gradient steps on one block."""
     sizes = np.concatenate(block.sizes.to_list()).astype(np.int64)
     feature = np.concatenate(block.features.to_list()).astype(np.int64)
     sentence = np.repeat(np.arange(len(sizes)), sizes)
-    keep = allowed[feature]
-    used, feature = np.unique(feature[keep], return_inverse=True)
+    place = np.full(1 << BITS, -1)
+    place[features] = np.arange(len(features))
+    feature = place[feature]
+    keep = feature >= 0
     per_text = np.array([len(x) for x in block.sizes])
     text = np.repeat(np.arange(len(block)), per_text)
-    s = _Sentences(feature, sentence[keep], text, text, text)
+    s = _Sentences(feature[keep], sentence[keep], text, text, text)
     y = block.label.to_numpy() > 0
-    w, c = weights[used].astype(float), leak
-    scale_w, scale_c = np.full(len(used), 1e-9), 1e-9
+    w, c = weights.copy(), leak
+    scale_w, scale_c = np.full(len(w), 1e-9), 1e-9
     for _ in range(STEPS):
         z = _margins(w, s)
         p = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
@@ -194,19 +203,17 @@ def _descended(
         # Log loss by the margin of a sentence: p if its document is clean, else -p (1 - P) / P.
         factor = np.where(y, -clean / np.maximum(1 - clean, 1e-9), 1.0)
         g = factor[text] * p / len(block)
-        grad = np.bincount(feature, g[s.sentence], minlength=len(used)) + PENALTY * w
+        grad = np.bincount(s.feature, g[s.sentence], minlength=len(w)) + PENALTY * w
         scale_w += grad**2
         w -= RATE * grad / np.sqrt(scale_w)
         grad_c = factor.mean() / (1.0 + np.exp(-c))
         scale_c += grad_c**2
         c -= LEAK_RATE * grad_c / np.sqrt(scale_c)
-    out = weights.astype(float)
-    out[used] = w
-    return out, float(c)
+    return w, float(c)
 
 
 def _broadcast(documents: DataFrame, model: Model):
-    return documents.sparkSession.sparkContext.broadcast((model.weights, model.leak))
+    return documents.sparkSession.sparkContext.broadcast(model)
 
 
 def _scores(s: _Sentences, n: int, weights: np.ndarray, leak: float) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +227,8 @@ def without_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) ->
     held = _broadcast(documents, model)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, leak = held.value
+        model = held.value
+        weights, leak = model.table(), model.leak
         for batch in batches:
             for chunk in text_chunks(batch.column("text")):
                 n = len(chunk.ends)
@@ -240,7 +248,8 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     held = _broadcast(documents, model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, leak = held.value
+        model = held.value
+        weights, leak = model.table(), model.leak
         for batch in batches:
             for chunk in text_chunks(batch.column("text")):
                 s, n = _sentences(chunk), len(chunk.ends)
