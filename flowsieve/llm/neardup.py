@@ -5,28 +5,34 @@ its first place with a value below 1, its second with a value below 2, and so on
 shingle are thus different ones, which lowers the variance, and a text is done as soon as no later
 value can be a minimum: a text with many shingles needs few of them.
 
-Texts with equal shingle sets are one class. Classes that agree in a band are candidates. Inside a
-band's bucket every class is compared with a leader first, so that a large group of near copies costs
-one comparison each; only where a bucket still spans several components are its other pairs compared.
+Texts with equal shingle sets are one class. Classes that agree in a band are candidates, unless their
+signatures are too far apart. Inside a band's bucket every class is compared with a leader drawn anew for
+each band and round, so that a large group of near copies is connected by a few comparisons each; only
+where a bucket still spans several components are its other pairs compared.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.llm.components import components
+from flowsieve.llm.components import components, merged
 from flowsieve.llm.textbytes import NOT_SPACE, Chunk, distinct_per_text, mixed, shingles, text_chunks, words
 from flowsieve.session import written
 
 SHINGLE_WORDS, PERCENT = 5, 80
 # A pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 37, 4 in 10 million.
 BANDS, BAND_ROWS = 37, 5
-LEADER_ROUNDS = 2
+# Rounds of leaders at most; a round without a new link is the last.
+LEADER_ROUNDS = 6
+# Deviations by which a signature may underestimate the similarity asked for.
+DEVIATIONS = 5.0
 
 _STEP = np.uint32(1 << 24)
 
@@ -78,7 +84,11 @@ def _class_keys(text: np.ndarray, value: np.ndarray, counts: np.ndarray) -> list
 
 
 def fingerprints(documents: DataFrame, shingle_words: int, bands: int, band_rows: int) -> DataFrame:
-    """(doc_id, n_shingles, class, bands) of each document; ``bands`` is empty without shingles."""
+    """(doc_id, n_shingles, class, bands, sketch) of each document; ``bands`` is empty without shingles.
+
+    ``sketch`` has the signature's values at four bits each, sixteen to a number.
+    """
+    size = bands * band_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +96,11 @@ def fingerprints(documents: DataFrame, shingle_words: int, bands: int, band_rows
                 n = len(chunk.ends)
                 text, value = _sets(chunk, shingle_words)
                 counts = np.bincount(text, minlength=n)
-                signature = superminhash(text, value, n, bands * band_rows).reshape(n, bands, band_rows)
+                signature = superminhash(text, value, n, size)
+                nibbles = np.zeros((n, -(-size // 16) * 16), np.uint64)
+                nibbles[:, :size] = signature & np.uint32(15)
+                sketch = (nibbles.reshape(n, -1, 16) << np.arange(0, 64, 4, dtype=np.uint64)).sum(2, dtype=np.uint64)
+                signature = signature.reshape(n, bands, band_rows)
                 keys = np.tile(np.arange(bands, dtype=np.uint64), (n, 1))
                 for row in range(band_rows):
                     keys = mixed(keys * np.uint64(0xD6E8FEB86659FD93) + signature[:, :, row], row)
@@ -99,12 +113,15 @@ def fingerprints(documents: DataFrame, shingle_words: int, bands: int, band_rows
                         pa.array(counts, pa.int64()),
                         pa.array(_class_keys(text, value, counts), pa.binary()),
                         bands_column,
+                        pa.ListArray.from_arrays(
+                            pa.array(np.arange(n + 1) * sketch.shape[1], pa.int32()), pa.array(sketch.reshape(-1).view(np.int64))
+                        ),
                     ],
-                    names=["doc_id", "n_shingles", "class", "bands"],
+                    names=["doc_id", "n_shingles", "class", "bands", "sketch"],
                 )
 
     slim = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, class binary, bands array<long>")
+    return slim.mapInArrow(run, "doc_id long, n_shingles long, class binary, bands array<long>, sketch array<long>")
 
 
 def _class_texts(documents: DataFrame, representatives: DataFrame, shingle_words: int) -> DataFrame:
@@ -153,6 +170,17 @@ def _linked(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int
     return pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary")
 
 
+def _differing(x: Column, y: Column, numbers: int) -> Column:
+    """Places at which two sketches differ."""
+    total = F.lit(0)
+    for i in range(numbers):
+        bits = x[i].bitwiseXOR(y[i])
+        any_bit = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(any_bit, 2))
+        total = total + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
 def near_duplicates(
     documents: DataFrame,
     shingle_words: int = SHINGLE_WORDS,
@@ -178,13 +206,17 @@ def near_duplicates(
     shared = placed.groupBy("band").agg(F.min("class").alias("least"), F.max("class").alias("most"))
     shared = shared.filter("least <> most")
     # Classes of the bands that hold at least two.
-    members = written(placed.join(shared, "band").distinct(), "band-members")
+    members = written(placed.join(shared, "band").select("band", "class", "n").distinct(), "band-members")
+    sketches = classed.join(members.select("class"), "class", "left_semi").select("class", "sketch")
+    members = written(members.join(sketches.dropDuplicates(["class"]), "class"), "sketched-members")
     firsts = written(classed.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
     involved = members.select("class").distinct().join(firsts, "class")
     texts = written(_class_texts(documents, involved, shingle_words).dropDuplicates(["class"]), "class-texts")
 
-    compared, links, labels = None, None, None
-    for turn in range(LEADER_ROUNDS + 1):
+    size, share = bands * band_rows, percent / 100
+    most_apart = int(size * (1 - share) + DEVIATIONS * math.sqrt(size * share * (1 - share)))
+    compared, labels, leading = None, None, True
+    for turn in itertools.count():
         rows = members
         if labels is not None:
             named = labels.select(F.col("node").alias("class"), "component")
@@ -194,29 +226,33 @@ def near_duplicates(
             rows = rows.join(spans.filter("c0 <> c1").select("band"), "band")
         else:
             rows = rows.withColumn("component", F.col("class"))
-        if turn < LEADER_ROUNDS:
-            leads = F.struct("class", "n", "component")
-            leads = rows.groupBy("band").agg((F.min if turn == 0 else F.max)(leads).alias("l"))
+        leader = F.struct("class", "n", "component", "sketch")
+        if leading:
+            # One leader for all bands first, which connects most with few comparisons.
+            by = F.lit(0) if turn == 0 else F.col("band")
+            drawn = F.struct(F.xxhash64("class", by, F.lit(turn)), "class")
+            leads = rows.groupBy("band").agg(F.min_by(leader, drawn).alias("l"))
         else:
             # What is left: pairs of different components inside one bucket.
-            leads = rows.select("band", F.struct("class", "n", "component").alias("l"))
+            leads = rows.select("band", leader.alias("l"))
         close = (F.col("n") * 100 >= F.col("l.n") * percent) & (F.col("l.n") * 100 >= F.col("n") * percent)
         apart = (F.col("component") != F.col("l.component")) & (F.col("class") != F.col("l.class"))
-        pairs = rows.join(leads, "band").filter(close & apart)
+        if not leading:
+            apart = apart & (F.col("class") < F.col("l.class"))
+        alike = _differing(F.col("sketch"), F.col("l.sketch"), -(-size // 16)) <= most_apart
+        pairs = rows.join(leads, (rows.band == leads.band) & close & apart & alike)
         pairs = pairs.select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn < LEADER_ROUNDS:
-                continue
-            break
         compared = pairs if compared is None else compared.unionByName(pairs)
         found = written(_linked(pairs, texts, shingle_words, percent), "links")
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        news = not found.isEmpty()
+        if news:
+            labels = components(found) if labels is None else merged(labels, found)
+        if not leading:
+            break
+        leading = news and turn + 1 < LEADER_ROUNDS
 
     if labels is None:
         named = firsts.select("class", F.col("doc_id").alias("component_id"))
