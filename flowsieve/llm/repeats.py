@@ -195,7 +195,9 @@ def repeated_places(documents: DataFrame, length: int = LENGTH) -> tuple[DataFra
     # Groups of one class are settled: its copies are equal in all their bytes.
     kinds = classes.groupBy("digit").agg(F.count(F.lit(1)).alias("kinds"))
     classes = written(classes.join(kinds, "digit"), "classes")
-    settled = runs.join(classes.filter("kinds = 1").select("digit"), "digit").select(*_KEY, "first", "n")
+    settled = runs.join(classes.filter("kinds = 1").select("digit"), "digit")
+    # Written by itself, so that Spark may split the rows of a very common digit.
+    settled = written(settled.select(*_KEY, "first", "n"), "settled")
     mixed_classes = classes.filter("kinds > 1")
     pieces = written(_pieces_text(texts, mixed_classes, length), "pieces")
     open_parts = pieces.select("digit", "whole", "far", "n")
@@ -221,7 +223,8 @@ def repeated_places(documents: DataFrame, length: int = LENGTH) -> tuple[DataFra
     )
     open_runs = runs.join(parts, ["digit", "whole"]).select(*_KEY, "first", "far", F.explode("parts").alias("p"))
     place = (F.col("first") + F.col("far") - F.col("p.part_far")).alias("first")
-    return texts, settled.unionByName(open_runs.select(*_KEY, place, F.col("p.part_n").alias("n")))
+    open_runs = written(open_runs.select(*_KEY, place, F.col("p.part_n").alias("n")), "open-runs")
+    return texts, settled.unionByName(open_runs)
 
 
 def _without(text: str, first: np.ndarray, n: np.ndarray, length: int) -> tuple[int, int, int, str, bytes]:
