@@ -77,7 +77,9 @@ def fit(documents: DataFrame, labels: DataFrame, learnt: Column, label: str = "q
                 yield pa.RecordBatch.from_arrays([block, y, features], names=["block", "label", "features"])
 
     train = training_rows(documents, labels, label, learnt, rows)
-    train = written(train.mapInArrow(bags, "block int, label int, features array<int>"), "quality-bags")
+    bagged = train.mapInArrow(bags, "block int, label int, features array<int>")
+    # A block is written to one file by one task, so later passes need no shuffle.
+    train = written(bagged.repartition("block"), "quality-bags")
 
     def class_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, n = np.zeros((2, 1 << BITS)), np.zeros(2, np.int64)
@@ -90,7 +92,6 @@ def fit(documents: DataFrame, labels: DataFrame, learnt: Column, label: str = "q
                 yield pd.DataFrame({"y": [y], "n": [n[y]], "counts": [counts[y].astype(np.float32).tobytes()]})
 
     # The training rows are bounded, so are these: one row per task and class.
-    train = train.repartition("block")
     counts, n = np.full((2, 1 << BITS), SMOOTHING), np.zeros(2)
     for row in train.mapInPandas(class_counts, "y int, n long, counts binary").collect():
         counts[row.y] += np.frombuffer(row.counts, np.float32)

@@ -127,7 +127,8 @@ def fit(documents: DataFrame, labels: DataFrame, learnt: Column, label: str = "t
 
     train = training_rows(documents, labels, label, learnt, rows)
     bags_schema = "block int, label int, sizes array<int>, features array<int>"
-    train = written(train.mapInArrow(bags, bags_schema), "toxicity-bags").repartition("block")
+    # A block is written to one file by one task, so later passes need no shuffle.
+    train = written(train.mapInArrow(bags, bags_schema).repartition("block"), "toxicity-bags")
 
     def document_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((2, 1 << BITS), np.int64)
@@ -149,9 +150,8 @@ def fit(documents: DataFrame, labels: DataFrame, learnt: Column, label: str = "t
 
         def descend(frames: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
             held = list(frames)
-            if held:
-                block = pd.concat(held, ignore_index=True)
-                w, c = _descended(block, *start.value, features)
+            for _, block in pd.concat(held).groupby("block") if held else ():
+                w, c = _descended(block.reset_index(drop=True), *start.value, features)
                 yield pd.DataFrame({"n": [len(block)], "leak": [c], "weights": [w]})
 
         # One row per block, with a number per feature that stands out.
