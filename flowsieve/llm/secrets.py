@@ -19,6 +19,19 @@ EXAMPLE_OWNERS = 4
 EXAMPLE_REPOSITORIES = 8
 MARK = "[SECRET]"
 
+# A private key: header, attributes of an encrypted one, and the body with what sets it into code or
+# quotes, up to the END line; where that is missing, up to the body's last long piece and one short line
+# after it. Character classes are repeated, not groups, so that long bodies need no stack. Classes of the
+# body leave out the dash, so that no match runs into the next header.
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"(?:[\x20\t\r\nrn\\]*[A-Z][A-Za-z]*-[A-Z][A-Za-z]*:\x20?[A-Za-z0-9,-]+){0,8}"
+    r"""(?:[A-Za-z0-9+/=\x20\t\r\n\\"'`,;:>#*|]*"""
+    r"(?:-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|[A-Za-z0-9+/=]{24,}"
+    r"""(?:[\x20\t"'\\rn+,;]*(?:\r?\n|\\n)[\x20\t"'`>#*|+]*[A-Za-z0-9+/]{1,23}={0,2})?))?"""
+)
+
 # Kind, pattern, group with the value, its least length, and strings (lower case) one of
 # which every match contains; in the order in which spans with the same start are listed.
 KINDS = [
@@ -34,7 +47,7 @@ KINDS = [
     ("github", r"gh[opsur]_[A-Za-z0-9]{20,}", 0, 24, ["gho_", "ghp_", "ghs_", "ghu_", "ghr_"]),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15, ["xox"]),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29, ["eyj"]),
-    ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 27, ["private key-----"]),
+    ("pem", _PEM, 0, 27, ["private key-----"]),
 ]
 BASE_KINDS = ("assign", "access", "hex")
 
