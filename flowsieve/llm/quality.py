@@ -67,26 +67,29 @@ def fit(documents: DataFrame, labels: DataFrame, learnt: Column, label: str = "q
     """
     spark = documents.sparkSession
 
+    names = ["row", "block", "weight", "label"]
+
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column("text")):
                 text, feature = _features(chunk)
                 n = len(chunk.ends)
                 features = pa.ListArray.from_arrays(pa.array(_offsets(text, n), pa.int32()), pa.array(feature, pa.int32()))
-                block, y = (batch.column(c).slice(chunk.first, n) for c in ("block", "label"))
-                yield pa.RecordBatch.from_arrays([block, y, features], names=["block", "label", "features"])
+                kept = [batch.column(c).slice(chunk.first, n) for c in names]
+                yield pa.RecordBatch.from_arrays([*kept, features], names=[*names, "features"])
 
     train = training_rows(documents, labels, label, learnt, rows)
-    bagged = train.mapInArrow(bags, "block int, label int, features array<int>")
-    # A block is written to one file by one task, so later passes need no shuffle.
+    bagged = train.mapInArrow(bags, "row int, block int, weight long, label int, features array<int>")
+    # A block is written to one file by one task, so later passes need no shuffle. Where such a file is
+    # read in parts, each part is a block; dual variables belong to rows, so that parts may change.
     train = written(bagged.repartition("block"), "quality-bags")
 
     def class_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, n = np.zeros((2, 1 << BITS)), np.zeros(2, np.int64)
         for frame in frames:
-            for y, features in zip(frame.label, frame.features):
-                counts[int(y > 0), features] += 1
-                n[int(y > 0)] += 1
+            for y, weight, features in zip(frame.label, frame.weight, frame.features):
+                counts[int(y > 0), features] += weight
+                n[int(y > 0)] += weight
         for y in (0, 1):
             if n[y]:
                 yield pd.DataFrame({"y": [y], "n": [n[y]], "counts": [counts[y].astype(np.float32).tobytes()]})
@@ -102,41 +105,43 @@ def fit(documents: DataFrame, labels: DataFrame, learnt: Column, label: str = "q
         return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), float(np.sign(n[1] - n[0])))
 
     weights, bias = np.zeros(1 << BITS), 0.0
-    alphas: dict[int, np.ndarray] = {}
+    alphas = np.zeros(rows)
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((ratios, weights, bias, alphas))
 
         def descend(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             held = list(frames)
-            for block, part in pd.concat(held).groupby("block") if held else ():
-                # One order for all rounds; equal rows may change places.
-                order = sorted(range(len(part)), key=lambda i: (part.label.iloc[i], part.features.iloc[i].tobytes()))
-                part = part.iloc[order]
-                change, bias_change, alpha = _descended(part, *shared.value[:3], shared.value[3].get(block))
+            for _, part in pd.concat(held).groupby("block") if held else ():
+                # One order for all rounds.
+                part = part.sort_values("row")
+                change, bias_change, alpha = _descended(part, *shared.value)
                 yield pd.DataFrame(
-                    {"block": [block], "bias": [bias_change], "change": [change.astype(np.float32).tobytes()], "alpha": [alpha]}
+                    {"bias": [bias_change], "change": [change.astype(np.float32).tobytes()], "rows": [part.row.to_numpy()], "alpha": [alpha]}
                 )
 
-        found = train.mapInPandas(descend, "block int, bias double, change binary, alpha array<double>").collect()
+        found = train.mapInPandas(descend, "bias double, change binary, rows array<int>, alpha array<double>").collect()
         for row in found:
             weights = weights + np.frombuffer(row.change, np.float32) / len(found)
             bias += row.bias / len(found)
-            before = alphas.get(row.block, np.zeros(len(row.alpha)))
-            alphas[row.block] = before + (np.array(row.alpha) - before) / len(found)
+            alphas[row.rows] += (np.array(row.alpha) - alphas[row.rows]) / len(found)
         shared.unpersist()
     return Model(ratios, weights, bias)
 
 
 def _descended(
-    part: pd.DataFrame, ratios: np.ndarray, weights: np.ndarray, bias: float, alpha: np.ndarray | None
+    part: pd.DataFrame, ratios: np.ndarray, weights: np.ndarray, bias: float, alphas: np.ndarray
 ) -> tuple[np.ndarray, float, np.ndarray]:
-    """Changes of weights and bias, and new dual variables, after some epochs over one block."""
+    """Changes of weights and bias, and new dual variables, after some epochs over one block.
+
+    A row that stands for several copies costs as much as all of them.
+    """
     rows = []
     for features in part.features:
         x = ratios[features]
         rows.append((features, x / max(np.sqrt(x @ x), 1e-9)))
     y = np.where(part.label.to_numpy() > 0, 1.0, -1.0)
-    alpha = np.zeros(len(rows)) if alpha is None else np.array(alpha)
+    alpha = alphas[part.row.to_numpy()]
+    most = COST * part.weight.to_numpy()
     w, b = weights.copy(), bias
     squares = np.array([x @ x + 1.0 for _, x in rows])
     rng = np.random.default_rng(0)
@@ -144,7 +149,7 @@ def _descended(
         for i in rng.permutation(len(rows)):
             features, x = rows[i]
             gradient = y[i] * (w[features] @ x + b) - 1.0
-            new = min(max(alpha[i] - gradient / squares[i], 0.0), COST)
+            new = min(max(alpha[i] - gradient / squares[i], 0.0), most[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 w[features] += step * x

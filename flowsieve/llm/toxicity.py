@@ -110,9 +110,10 @@ def fit(documents: DataFrame, labels: DataFrame, learnt: Column, label: str = "t
     """
     spark = documents.sparkSession
 
+    names = ["block", "weight", "label"]
+
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, block = batch.column("label").to_numpy(), batch.column("block").to_numpy()
             for chunk in text_chunks(batch.column("text")):
                 s, n = _sentences(chunk), len(chunk.ends)
                 per_text = np.bincount(s.text, minlength=n)
@@ -120,25 +121,24 @@ def fit(documents: DataFrame, labels: DataFrame, learnt: Column, label: str = "t
                 texts = pa.ListArray.from_arrays(_ends(per_text), pa.array(per_sentence, pa.int32()))
                 word_count = np.bincount(s.text[s.sentence], minlength=n)
                 features = pa.ListArray.from_arrays(_ends(word_count), pa.array(s.feature, pa.int32()))
-                at = slice(chunk.first, chunk.first + n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block[at]), pa.array(label[at]), texts, features], names=["block", "label", "sizes", "features"]
-                )
+                kept = [batch.column(c).slice(chunk.first, n) for c in names]
+                yield pa.RecordBatch.from_arrays([*kept, texts, features], names=[*names, "sizes", "features"])
 
     train = training_rows(documents, labels, label, learnt, rows)
-    bags_schema = "block int, label int, sizes array<int>, features array<int>"
-    # A block is written to one file by one task, so later passes need no shuffle.
+    bags_schema = "block int, weight long, label int, sizes array<int>, features array<int>"
+    # A block is written to one file by one task, so later passes need no shuffle. Where such a file is
+    # read in parts, each part is a block.
     train = written(train.mapInArrow(bags, bags_schema).repartition("block"), "toxicity-bags")
 
     def document_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((2, 1 << BITS), np.int64)
         for frame in frames:
-            for y, features in zip(frame.label, frame.features):
-                counts[int(y > 0), np.unique(features)] += 1
+            for y, weight, features in zip(frame.label, frame.weight, frame.features):
+                counts[int(y > 0), np.unique(features)] += weight
         seen = np.flatnonzero(counts.any(0))
         yield pd.DataFrame({"feature": seen, "clean": counts[0, seen], "toxic": counts[1, seen]})
 
-    n = {r.y: r.n for r in train.groupBy((F.col("label") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = {r.y: r.n for r in train.groupBy((F.col("label") > 0).alias("y")).agg(F.sum("weight").alias("n")).collect()}
     counted = train.mapInPandas(document_counts, "feature int, clean long, toxic long").groupBy("feature")
     counted = counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     screened = counted.filter(_stands_out(n.get(False, 0), n.get(True, 0)))
@@ -152,7 +152,7 @@ def fit(documents: DataFrame, labels: DataFrame, learnt: Column, label: str = "t
             held = list(frames)
             for _, block in pd.concat(held).groupby("block") if held else ():
                 w, c = _descended(block.reset_index(drop=True), *start.value, features)
-                yield pd.DataFrame({"n": [len(block)], "leak": [c], "weights": [w]})
+                yield pd.DataFrame({"n": [block.weight.sum()], "leak": [c], "weights": [w]})
 
         # One row per block, with a number per feature that stands out.
         found = train.mapInPandas(descend, "n long, leak double, weights array<double>").collect()
@@ -182,7 +182,7 @@ def _ends(sizes: np.ndarray) -> pa.Array:
 def _descended(
     block: pd.DataFrame, weights: np.ndarray, leak: float, features: np.ndarray
 ) -> tuple[np.ndarray, float]:
-    """Adaptive gradient steps on one block."""
+    """Adaptive gradient steps on one block, in which a row counts by its weight."""
     sizes = np.concatenate(block.sizes.to_list()).astype(np.int64)
     feature = np.concatenate(block.features.to_list()).astype(np.int64)
     sentence = np.repeat(np.arange(len(sizes)), sizes)
@@ -194,6 +194,7 @@ def _descended(
     text = np.repeat(np.arange(len(block)), per_text)
     s = _Sentences(feature[keep], sentence[keep], text, text, text)
     y = block.label.to_numpy() > 0
+    share = block.weight.to_numpy() / block.weight.sum()
     w, c = weights.copy(), leak
     scale_w, scale_c = np.full(len(w), 1e-9), 1e-9
     for _ in range(STEPS):
@@ -201,12 +202,12 @@ def _descended(
         p = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
         clean = np.exp(-np.bincount(text, _softplus(z), minlength=len(block)) - _softplus(c))
         # Log loss by the margin of a sentence: p if its document is clean, else -p (1 - P) / P.
-        factor = np.where(y, -clean / np.maximum(1 - clean, 1e-9), 1.0)
-        g = factor[text] * p / len(block)
+        factor = np.where(y, -clean / np.maximum(1 - clean, 1e-9), 1.0) * share
+        g = factor[text] * p
         grad = np.bincount(s.feature, g[s.sentence], minlength=len(w)) + PENALTY * w
         scale_w += grad**2
         w -= RATE * grad / np.sqrt(scale_w)
-        grad_c = factor.mean() / (1.0 + np.exp(-c))
+        grad_c = factor.sum() / (1.0 + np.exp(-c))
         scale_c += grad_c**2
         c -= LEAK_RATE * grad_c / np.sqrt(scale_c)
     return w, float(c)
