@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm import decontaminate, neardup, packing, secrets, toxicity
@@ -13,6 +13,17 @@ from flowsieve.session import written
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _rest(docs: DataFrame) -> Column:
+    """All columns but the text as one, ``_rest``, so that no name of theirs meets one a stage adds."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("_rest")
+
+
+def _unpacked(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` from ``text`` and ``_rest``, but for those that are given."""
+    whole = {c: F.col("_rest").getField(c) for c in docs.columns} | {"text": F.col("text")} | changed
+    return [whole[c].alias(c) for c in docs.columns]
+
+
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go; every label is learnt from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -33,8 +44,8 @@ def near_duplicates_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def contaminated_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, benchmark)
-    return found.filter("not contaminated").select(*docs.columns)
+    found = decontaminate.contamination(docs.select("doc_id", "text", _rest(docs)), benchmark)
+    return found.filter("not contaminated").select(*_unpacked(docs))
 
 
 def secrets_are_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +60,9 @@ def secrets_are_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("text_key"))
     hit = F.col("_live").isNotNull()
     text = F.when(hit, secrets.redacted(F.col("text"), F.col("_live"))).otherwise(F.col("text"))
-    n_chars = F.when(hit, F.length("_text").cast("bigint")).otherwise(F.col("n_chars"))
-    joined = docs.join(masks, same, "left").withColumn("_text", text).withColumn("n_chars", n_chars)
-    return joined.withColumn("text", F.col("_text")).select(*docs.columns)
+    n_chars = F.when(hit, F.length("_text").cast("bigint")).otherwise(F.col("_rest.n_chars"))
+    joined = docs.select("doc_id", "text", _rest(docs)).join(masks, same, "left").withColumn("_text", text)
+    return joined.select(*_unpacked(docs, text=F.col("_text"), n_chars=n_chars))
 
 
 def documents_are_packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
