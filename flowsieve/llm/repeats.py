@@ -1,7 +1,8 @@
-"""Repeated byte strings by a depth-limited radix sort of suffixes, and their removal.
+"""Repeated byte strings by refining groups of suffixes to a limited depth, and their removal.
 
 Whether the ``length`` bytes from a place occur elsewhere is whether its suffix shares that depth with
-another one. The suffixes are sorted by most-significant-digit passes, and only to that depth:
+another one. Suffixes are not ordered byte by byte: they are grouped at anchors, and passes refine the
+groups by hashes of longer strings, called digits, only to that depth:
 
 * Suffixes travel in runs. The least hash of the first ``anchor_window`` eight-byte strings of a suffix
   names its anchor, which depends on those bytes alone, so equal suffixes have equal anchors at equal
