@@ -14,10 +14,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.session import broadcast_if_small, written
+from flowsieve.session import written
 
 WINDOW = 13
-# A window's rarest shingle is broadcast up to this many rows (some 100 MB); beyond it Spark shuffles.
+# Shingles, and a window's rarest one, have rows of fixed size (under 100 bytes) and are broadcast up to
+# this many rows; beyond it Spark shuffles.
 PREFIX_ROWS = 500_000
 
 # Letters in either case: A-Z are lowered after the text is cut, which gives the same words.
@@ -75,37 +76,42 @@ def _tokens(docs: DataFrame, tokens) -> DataFrame:
     return cut.select("doc_id", "text_key", "n_words", F.posexplode_outer("t").alias("at", "token"))
 
 
+def _broadcast_written(df: DataFrame, label: str) -> DataFrame:
+    """``df``, written, and marked for broadcast if it is small; no row becomes a Python object."""
+    df = written(df, label)
+    return F.broadcast(df) if df.count() <= PREFIX_ROWS else df
+
+
 def _candidates(docs: DataFrame, windows: DataFrame, tokens, single: bool) -> DataFrame:
-    """Places (doc_id, text_key, start, words, items) where a window may stand."""
+    """Places (doc_id, text_key, start, window) where a window may stand."""
     held = tokens(_join_words(F.array_join("words", " ")))
     if not single:
         held = F.slice(held, F.lit(1), F.size("words") - 1)
-    held = windows.select("window", "words", "items", F.posexplode(held).alias("offset", "token"))
+    held = windows.select("window", F.size("words").alias("size"), F.posexplode(held).alias("offset", "token"))
     held = written(held, "window-tokens")
-    distinct = broadcast_if_small(held.select("token").distinct(), PREFIX_ROWS)
+    distinct = _broadcast_written(held.select("token").distinct(), "window-token-set")
     # Texts are cut once: what no window holds goes at once, and rarity comes from all documents.
     shared = written(_tokens(docs, tokens).join(distinct, "token"), "shared-tokens")
     counts = shared.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     # A window with a token that occurs nowhere is in no document: fewer of its tokens are counted.
-    size = F.lit(1) if single else F.size("words") - 1
+    size = F.lit(1) if single else F.col("size") - 1
     prefix = (
         held.join(counts, "token")
         .groupBy("window")
         .agg(
             F.count(F.lit(1)).alias("found"),
             F.min(F.struct("n", "token", "offset")).alias("rarest"),
-            F.first("words").alias("words"),
-            F.first("items").alias("items"),
+            F.first("size").alias("size"),
         )
         .filter(F.col("found") == size)
-        .select("rarest.token", "rarest.offset", "words", "items")
+        .select("rarest.token", "rarest.offset", "window", "size")
     )
     start = F.col("at") - F.col("offset")
     return (
-        shared.join(broadcast_if_small(written(prefix, "window-prefixes"), PREFIX_ROWS), "token")
+        shared.join(_broadcast_written(prefix, "window-prefixes"), "token")
         .withColumn("start", start)
-        .filter((start >= 0) & (start + F.size("words") <= F.col("n_words")))
-        .select("doc_id", "text_key", "start", "words", "items")
+        .filter((start >= 0) & (start + F.col("size") <= F.col("n_words")))
+        .select("doc_id", "text_key", "start", "window")
     )
 
 
@@ -130,6 +136,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     found = _candidates(slim, many, _pairs, False)
     if not one.isEmpty():
         found = found.unionByName(_candidates(slim, one, _singles, True))
+    # Words and items have no bound in bytes, so Spark decides how they are joined.
+    found = found.join(windows, "window")
     places = found.groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("start", "words", "items")).alias("places")
     )
