@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm import (
+    alignment,
     chat,
     decontaminate,
+    languages,
     neardup,
     packing,
     quality,
     repeats,
     secrets,
+    spelling,
     topk,
     toxicity,
     warc,
@@ -144,6 +147,23 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.counted_links(table(spark, folder, "documents"))
+
+
+def op12_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose id has remainder 2 are held out."""
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    documents = table(spark, folder, "documents")
+    return languages.predict(documents, languages.fit(documents, ~held_out)).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages")
+    )
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_repeats": op2_repeats,
@@ -155,4 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
+    "op11_alignment": op11_alignment,
+    "op12_languages": op12_languages,
+    "op13_spelling": op13_spelling,
 }

@@ -192,6 +192,54 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM docs LEFT JOIN covered USING (row) LEFT JOIN found USING (row)
 """
 
+# The crc32 of a string is folded bit by bit over its bytes: 0xEDB88320 is the polynomial.
+OP13 = """
+WITH RECURSIVE runs AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+    WHERE length(run) >= 7
+), counted AS (
+    SELECT doc_id, run, count(*) AS times, hex(encode(concat(doc_id, ':', run))) AS digits
+    FROM runs GROUP BY doc_id, run
+), hashed AS (
+    SELECT run, times, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(range(length(digits) // 2),
+            lambda i: CAST('0x' || substr(digits, 2 * i + 1, 2) AS BIGINT))),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+            lambda x, k: CASE WHEN x & 1 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END))) AS h
+    FROM counted
+), typed AS (
+    SELECT times, CASE WHEN h % 31 = 0
+        THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+        ELSE run END AS word
+    FROM hashed
+), words AS (
+    SELECT word, CAST(sum(times) AS BIGINT) AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), places AS (
+    SELECT word, i, substr(word, 1, i - 1) AS before, substr(word, i + 1) AS after
+    FROM words, unnest(range(1, length(word) + 1)) AS t(i)
+), removed AS (
+    SELECT DISTINCT p.word AS a, w.word AS b FROM places p JOIN words w ON w.word = p.before || p.after
+), near AS (
+    SELECT x.word AS a, y.word AS b FROM places x JOIN places y USING (i, before, after) WHERE x.word <> y.word
+    UNION SELECT a, b FROM removed
+    UNION SELECT b, a FROM removed
+), best AS (
+    SELECT a, count(*) AS n_near, max(w.n) AS most, arg_min(b, (-w.n, b)) AS b
+    FROM near JOIN words w ON w.word = b GROUP BY a
+), forms AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near,
+           CASE WHEN most >= 10 * n THEN b END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n
+    FROM words LEFT JOIN best ON a = word
+), followed AS (
+    SELECT word, word AS at, form FROM forms
+    UNION ALL
+    SELECT f.word, g.word, g.form FROM followed f JOIN forms g ON g.word = f.form
+)
+SELECT word, forms.form, at AS root, n, n_near, form_n
+FROM forms JOIN followed USING (word) WHERE followed.form IS NULL
+"""
+
 SQL: dict[str, str] = {
     "op3_exact_top_k": OP3,
     "op4_near_duplicates": OP4,
@@ -199,4 +247,5 @@ SQL: dict[str, str] = {
     "op7_warc": OP7,
     "op8_secrets": OP8,
     "op9_decontamination": OP9,
+    "op13_spelling": OP13,
 }
