@@ -232,11 +232,11 @@ WITH RECURSIVE runs AS (
            CASE WHEN most >= 10 * n THEN b END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n
     FROM words LEFT JOIN best ON a = word
 ), followed AS (
-    SELECT word, word AS at, form FROM forms
+    SELECT word, word AS reached, form FROM forms
     UNION ALL
     SELECT f.word, g.word, g.form FROM followed f JOIN forms g ON g.word = f.form
 )
-SELECT word, forms.form, at AS root, n, n_near, form_n
+SELECT word, forms.form, reached AS root, n, n_near, form_n
 FROM forms JOIN followed USING (word) WHERE followed.form IS NULL
 """
 
