@@ -37,8 +37,8 @@ FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Bytes of text whose distinct pieces and pairs are numbered together, pieces encoded in one call, and
 # links of documents that are counted at once.
-CHUNK_BYTES = 32_000_000
-ENCODED_AT_ONCE = 20_000
+CHUNK_BYTES = 12_000_000
+ENCODED_AT_ONCE = 10_000
 LINKS_AT_ONCE = 2_000_000
 # Ids of the second tokenizer are below this.
 ID_SPACE = 1 << 24
@@ -182,10 +182,11 @@ class Aligned:
 
 def align(pieces: list[str], tokenizers: Tokenizers) -> Aligned:
     """Encode each piece, with a space before it, by both tokenizers, and group and link its tokens."""
-    a_ids, b_ids, n_a, n_b, whole = [], [], [], [], []
+    parts_a, parts_b, n_a, n_b, whole = [], [], [], [], []
     a_bytes, b_bytes = tokenizers.a_bytes, tokenizers.b_bytes
     for at in range(0, len(pieces), ENCODED_AT_ONCE):
         some = pieces[at : at + ENCODED_AT_ONCE]
+        a_ids, b_ids = [], []
         for piece, a, b in zip(some, tokenizers.encode_a(some), tokenizers.encode_b(some)):
             data = b" " + piece.encode()
             good = data == b"".join([a_bytes[i] for i in a]) == b"".join([b_bytes[i] for i in b])
@@ -195,7 +196,11 @@ def align(pieces: list[str], tokenizers: Tokenizers) -> Aligned:
             if good:
                 a_ids += a
                 b_ids += b
-    a_ids, b_ids = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        # Lists of Python's numbers are several times as large as arrays.
+        parts_a.append(np.array(a_ids, np.int64))
+        parts_b.append(np.array(b_ids, np.int64))
+    none = np.zeros(0, np.int64)
+    a_ids, b_ids = np.concatenate([none, *parts_a]), np.concatenate([none, *parts_b])
     n_a, n_b = np.array(n_a, np.int64), np.array(n_b, np.int64)
     a_ends = np.cumsum(np.array([len(t) for t in a_bytes])[a_ids])
     b_ends = np.cumsum(np.array([len(t) for t in b_bytes])[b_ids])
