@@ -1,8 +1,8 @@
 """The registered queries and the SQL that checks them."""
 
-from flowsieve.catalog import all_columns, detect, evaluate, prepare, respond, small_fits, split_paths
+from flowsieve.catalog import all_columns, detect, evaluate, prepare, respond, small_fits, split_paths, stored
 
-SECTIONS = (prepare, detect, respond, evaluate, small_fits, split_paths, all_columns)
+SECTIONS = (prepare, detect, respond, evaluate, small_fits, split_paths, all_columns, stored)
 
 
 def queries() -> dict:

@@ -249,6 +249,34 @@ def flag_top(spark, folder):
     return ensemble.flag_top(event_scores(spark, folder), "score", "id", 0.40).select("id", "flag")
 
 
+TEXT_IDS = """
+    SELECT name, kind, CASE WHEN row_number() OVER (ORDER BY step DESC, {order})
+                              <= floor(0.40 * count(*) OVER ()) THEN 1 ELSE 0 END AS flag
+    FROM (SELECT 'event-' || event_id AS name, event_type AS kind, floor(value / 40) AS step FROM events)"""
+
+
+def stepped_events(spark, folder):
+    """Events with a text for an id, and so few different scores that ids decide."""
+    return tables.table(spark, folder, "events").select(
+        F.concat(F.lit("event-"), F.col("event_id")).alias("name"),
+        F.col("event_type").alias("kind"),
+        F.floor(F.col("value") / 40).alias("step"),
+    )
+
+
+@query("d10_flag_top_text_ids", TEXT_IDS.format(order="name"))
+def flag_top_text_ids(spark, folder):
+    df = written(stepped_events(spark, folder), "stepped")
+    return ensemble.flag_top(df, "step", "name", 0.40).select("name", "kind", "flag")
+
+
+@query("d10_flag_top_two_ids", TEXT_IDS.format(order="kind, name"))
+def flag_top_two_ids(spark, folder):
+    """Ids of two columns, compared one after the other."""
+    df = written(stepped_events(spark, folder), "stepped")
+    return ensemble.flag_top(df, "step", ["kind", "name"], 0.40).select("name", "kind", "flag")
+
+
 @query(
     "d11_trace_paths",
     sql(FOREST, walk_sql("[0]", FEATURES), "steps AS (" + " UNION ALL ".join(

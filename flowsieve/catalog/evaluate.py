@@ -374,12 +374,40 @@ caught AS (SELECT if_score AS a, lof_score AS b, recon_score AS c FROM flags WHE
             "all": "a AND b AND c", "any": "a OR b OR c"}.items())),
 )
 def detector_overlap(spark, folder):
-    df = event_score_set(spark, folder)
-    for c in DETECTORS:
-        df = ensemble.flag_top(df, c, "id", 0.40, c.removesuffix("_score"))
+    df = written(event_score_set(spark, folder), "score-set")
+    df = ensemble.flag_top_of(df, {c: c.removesuffix("_score") for c in DETECTORS}, "id", 0.40)
     return ensemble.detector_overlap(df, ["if", "lof", "recon"])
 
 
+FIVE = {
+    "high": "score", "low": "-score", "middle": "-abs(score - 50)",
+    "late": "CAST(id AS DOUBLE)", "mixed": "score + CAST(id % 7 AS DOUBLE)",
+}
+
+
+@query(
+    "f20_five_detectors",
+    sql(EVENT_SCORES, f"""
+    flags AS (SELECT y, {", ".join(
+        f"CASE WHEN row_number() OVER (ORDER BY {rule} DESC, id) <= floor(0.10 * count(*) OVER ()) THEN {1 << i} ELSE 0 END AS {c}"
+        for i, (c, rule) in enumerate(FIVE.items()))} FROM event_scores),
+    masks AS (SELECT {" + ".join(FIVE)} AS mask FROM flags WHERE y = 1),
+    names AS (SELECT * FROM (VALUES {", ".join(f"({1 << i}, '{c}')" for i, c in enumerate(FIVE))}) AS t(bit, detector)),
+    regions AS (SELECT mask, CASE WHEN mask = 31 THEN 'all' WHEN count(*) = 1 THEN 'only ' || any_value(detector)
+                                  ELSE string_agg(detector, '+' ORDER BY bit) END AS region
+                FROM unnest(range(1, 32)) AS t(mask) JOIN names ON mask & bit <> 0 GROUP BY mask)""",
+    body="""
+    SELECT region, (SELECT count(*) FROM masks WHERE masks.mask = regions.mask) AS caught FROM regions
+    UNION ALL SELECT 'any', count(*) FROM masks WHERE mask > 0"""),
+)
+def five_detectors(spark, folder):
+    """Thirty-one combinations of five rankings of the events, from one selection and one count."""
+    df = event_scores(spark, folder)
+    df = written(df.select("id", "y", *[F.expr(rule).alias(c) for c, rule in FIVE.items()]), "five")
+    return ensemble.detector_overlap(ensemble.flag_top_of(df, {c: f"{c} top" for c in FIVE}, "id", 0.10)
+                                     .select("y", *[F.col(f"{c} top").alias(c) for c in FIVE]), list(FIVE))
+
+
 def separation_sql(column: str) -> str:
     return f"""
     SELECT '{column}' AS detector, max(abs(tp / positives::DOUBLE - fp / negatives::DOUBLE)) AS ks,

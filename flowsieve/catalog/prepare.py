@@ -427,6 +427,18 @@ def winsorise(spark, folder):
     return rounded(prep.winsorise(flows.event_scores(spark, folder), ["score"], by="y"))
 
 
+@query(
+    "c12_winsorise_users",
+    f"""SELECT event_id AS id, user_id, {r("least(value, quantile_cont(value, 0.9) OVER (PARTITION BY user_id))", "score")}
+        FROM events""",
+)
+def winsorise_users(spark, folder):
+    """A cut of its own for every user."""
+    events = tables.table(spark, folder, "events")
+    events = events.select(F.col("event_id").alias("id"), "user_id", F.col("value").alias("score"))
+    return rounded(prep.winsorise(events, ["score"], 0.9, by="user_id"))
+
+
 @query(
     "c13_trim_names",
     "SELECT o_orderkey, trim(concat('  ', o_orderpriority, ' ')) AS category FROM orders",
@@ -448,3 +460,12 @@ def encode_labels(spark, folder):
     )
     encoded = prep.encode_labels(rows, "category")
     return prep.decode_labels(encoded, "class_id", encoded, "category", "decoded")
+
+
+@query(
+    "c14_encode_names",
+    """SELECT c_custkey, c_name, dense_rank() OVER (ORDER BY c_name) - 1 AS name_id FROM customer""",
+)
+def encode_names(spark, folder):
+    """As many different texts as rows."""
+    return prep.encode_labels(tables.table(spark, folder, "customer").select("c_custkey", "c_name"), "c_name", "name_id")

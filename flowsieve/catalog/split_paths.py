@@ -18,11 +18,13 @@ QUERIES = {}
 SQL = {}
 
 AS_THEY_ARE = {
-    prepare: ["c5_median_impute", "c6_own_medians", "c12_winsorise"],
-    detect: ["d3_flag_fraction", "d7_benign_percentile_flag"],
+    prepare: ["c5_median_impute", "c6_own_medians", "c12_winsorise", "c12_winsorise_users", "c14_encode_names"],
+    detect: [
+        "d3_flag_fraction", "d7_benign_percentile_flag", "d10_flag_top_text_ids", "d10_flag_top_two_ids",
+    ],
     evaluate: [
         "f5_roc_auc", "f7_average_precision", "f9_ks_distance", "f11_cdf_grid", "f15_threshold_sweep",
-        "f18_class_summary", "f19_box_summary", "f20_detector_overlap", "f21_rank_detectors",
+        "f18_class_summary", "f19_box_summary", "f20_detector_overlap", "f20_five_detectors", "f21_rank_detectors",
     ],
     respond: ["e3_finding_types"],
 }

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.functions.columns import count_where, quoted, total_of
-from flowsieve.operators.ordering import top_rows
+from flowsieve.functions.columns import quoted, total_of
+from flowsieve.operators.ordering import top_rows_of
 
 
 def normalise(df: DataFrame, scores: Sequence[str], suffix: str = "_norm") -> DataFrame:
@@ -35,32 +35,46 @@ def mean_score(df: DataFrame, scores: Sequence[str], name: str = "ensemble") ->
     return scaled.select(*[quoted(c) for c in df.columns], mean.alias(name))
 
 
-def flag_top(df: DataFrame, score: str, id_column: str, share: float, name: str = "flag") -> DataFrame:
-    """Flag the ``int(n * share)`` rows with the highest score, lower id first on ties.
+def flag_top(
+    df: DataFrame, score: str, id_column: str | Sequence[str], share: float, name: str = "flag"
+) -> DataFrame:
+    """Flag the ``int(n * share)`` rows with the highest score, lower id (of any types) first on ties.
 
     ``n`` counts rows with a score; rows without one are not flagged.
     """
-    count = int(df.filter(F.col(score).isNotNull()).count() * share)
-    top = F.coalesce(top_rows(df, score, id_column, count), F.lit(False))
-    return df.withColumn(name, top.cast("int"))
+    return flag_top_of(df, {score: name}, id_column, share)
+
+
+def flag_top_of(
+    df: DataFrame, names: dict[str, str], id_column: str | Sequence[str], share: float
+) -> DataFrame:
+    """``flag_top`` for several scores in the same passes; ``names`` gives the flag of each score."""
+    row = df.agg(*[F.count(F.col(quoted(c))).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    counts = {c: int(row[f"n{i}"] * share) for i, c in enumerate(names)}
+    top = top_rows_of(df, counts, id_column)
+    return df.withColumns({names[c]: F.coalesce(top[c], F.lit(False)).cast("int") for c in names})
 
 
 def detector_overlap(df: DataFrame, flags: Sequence[str], label: str = "y") -> DataFrame:
-    """Positives caught by each combination of three detectors, by all, and by any."""
-    a, b, c = ((F.col(f) == 1) & (F.col(label) == 1) for f in flags)
-    first, second, third = flags
-    regions = {
-        f"only {first}": a & ~b & ~c,
-        f"only {second}": b & ~a & ~c,
-        f"only {third}": c & ~a & ~b,
-        f"{first}+{second}": a & b & ~c,
-        f"{first}+{third}": a & c & ~b,
-        f"{second}+{third}": b & c & ~a,
-        "all": a & b & c,
-        "any": a | b | c,
-    }
-    entries = [
-        F.struct(F.lit(name).alias("region"), count_where(hit).alias("caught"))
-        for name, hit in regions.items()
-    ]
-    return df.agg(F.array(*entries).alias("_e")).select(F.explode("_e").alias("_e")).select("_e.*")
+    """(region, caught): positives caught by each combination of any number of detectors, and by any.
+
+    A row's flags are the bits of one number, and rows are counted per number: one pass, and no more
+    than ``2 ** len(flags)`` counts. A region is ``only`` a detector, several joined by ``+``, or
+    ``all``; those that caught nothing are listed with 0.
+    """
+    bits = [F.when(F.col(quoted(f)) == 1, F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(flags)]
+    mask = total_of(bits).cast("bigint").alias("mask")
+    counted = df.filter(F.col(quoted(label)) == 1).groupBy(mask).agg(F.count(F.lit(1)).alias("caught"))
+    every = (1 << len(flags)) - 1
+    regions = df.sparkSession.range(1, every + 1).withColumnRenamed("id", "mask")
+    regions = regions.join(F.broadcast(counted), "mask", "left")
+    held = [F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.lit(f)) for i, f in enumerate(flags)]
+    names = F.array_compact(F.array(*held))
+    region = (
+        F.when(F.col("mask") == every, F.lit("all"))
+        .when(F.size(names) == 1, F.concat(F.lit("only "), names[0]))
+        .otherwise(F.array_join(names, "+"))
+    )
+    listed = regions.select(region.alias("region"), F.coalesce("caught", F.lit(0)).cast("bigint").alias("caught"))
+    caught = counted.filter("mask > 0").agg(F.coalesce(F.sum("caught"), F.lit(0)).cast("bigint").alias("caught"))
+    return listed.unionByName(caught.select(F.lit("any").alias("region"), "caught"))

@@ -1,19 +1,24 @@
 """Local outlier factor (Breunig et al. 2000) with exact nearest neighbours.
 
-Neighbours are found by a pivot join (Lu et al. 2012): rows go to the cell of their nearest pivot;
-the triangle inequality tells which cells can hold one of a row's k nearest neighbours, and the row
-visits only those. No candidate is dropped that could count, so the result is exact.
+Neighbours are found by a pivot join (Lu et al. 2012) in two phases. Rows go to the cell of their
+nearest pivot and look for k neighbours there first. The distance of the k-th is a bound: the triangle
+inequality tells which other cells can hold a closer row, and only those are visited. No candidate
+is dropped that could count, so the result is exact.
 
 * Identical rows are folded into one with a weight, whatever their number.
+* The number of cells follows the number of rows. Beyond ``FIRST_LEVEL`` of them pivots form a tree of
+  two levels: rows choose among the square root of their number, and then among the pivots of
+  that group, which are met by joining groups, not broadcast.
 * A cell, or the visitors of a cell, beyond ``block_rows`` are split into blocks. A task meets two
-  blocks at a time and passes on k neighbours per visitor, never the pairs.
-* Pivots and cell summaries are bounded by ``MAX_PIVOTS`` (times k), not by the data.
+  blocks at a time and passes on k neighbours per visitor, never the pairs. Visits are
+  pairs of a row's id and a cell; vectors are joined to them afterwards.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,10 +28,10 @@ from pyspark.sql import Window as W
 
 from flowsieve.functions.columns import SEED, quoted
 from flowsieve.operators.ordering import hash_quota
-from flowsieve.session import written
+from flowsieve.session import broadcast_if_small, written
 
 NEIGHBOURS = 20
-MAX_PIVOTS = 4096
+FIRST_LEVEL = 256
 BLOCK_ROWS = 2048
 VISIT_ROWS = 512
 DENSITY_FLOOR = 1e-10
@@ -40,6 +45,7 @@ def local_outlier_factor(
     pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
     seed: int = SEED,
+    first_level: int = FIRST_LEVEL,
 ) -> DataFrame:
     """(id, lof) per row, higher = more anomalous. One feature may be an array column."""
     points = df.select(F.col(quoted(id_column)).alias("_id"), _as_vector(df, features).alias("_x"))
@@ -53,7 +59,7 @@ def local_outlier_factor(
         raise ValueError("at least two rows are needed")
     # Cells of about a quarter block, so that few of them need splitting.
     pivots = pivots or math.ceil(4 * sizes.kinds / block_rows)
-    nearest = nearest_neighbours(folded, k, pivots, block_rows, seed)
+    nearest = nearest_neighbours(folded, k, pivots, block_rows, seed, first_level)
     factors = density_ratios(nearest, k)
     if sizes.kinds == sizes.rows:
         return factors.withColumnRenamed("rep", id_column)
@@ -62,39 +68,141 @@ def local_outlier_factor(
 
 
 def nearest_neighbours(
-    folded: DataFrame, k: int, pivots: int, block_rows: int, seed: int
+    folded: DataFrame, k: int, pivots: int, block_rows: int, seed: int, first_level: int = FIRST_LEVEL
 ) -> DataFrame:
     """(rep, other, dist, take): the k nearest rows of each kind of row, ``take`` copies each.
 
     Ties go to the lower id. ``folded`` has (rep, _x, weight).
     """
-    count = max(1, min(pivots, MAX_PIVOTS))
-    chosen = hash_quota(folded.select("rep", "_x"), ["rep"], F.lit(count), seed=f"pivot:{seed}")
+    placed, groups, second = into_cells(folded, k, pivots, block_rows, seed, first_level)
+    home = placed.select("rep", "cell", F.lit(None).cast("double").alias("bound"))
+    near_home = written(_met(home, placed, k, block_rows), "lof-home")
+    bounds = _nearest(near_home, k).groupBy("rep").agg(F.sum("take").alias("n"), F.max("dist").alias("bound"))
+    bounds = bounds.filter(F.col("n") == k).select("rep", "bound")
+    visits = written(cells_to_visit(placed, groups, second, bounds, k, block_rows), "lof-visits")
+    return _nearest(near_home.unionByName(_met(visits, placed, k, block_rows)), k)
+
+
+@dataclass(frozen=True)
+class Groups:
+    """The first level of pivots, bounded by the square root of the number of cells: centres, radius,
+    and the k + 1 distances to the rows nearest to each, with their weights."""
+
+    ids: np.ndarray
+    centres: np.ndarray
+    radius: np.ndarray
+    close: np.ndarray
+    weight: np.ndarray
+
+
+def into_cells(
+    folded: DataFrame, k: int, pivots: int, block_rows: int, seed: int, first_level: int
+) -> tuple[DataFrame, Groups, DataFrame | None]:
+    """Rows with their group, cell and distance to the cell's pivot (written), and both levels of pivots.
+
+    The second level is (group, cell, _y, radius); None where each group is one cell.
+    """
+    first = pivots if pivots <= first_level else math.ceil(math.sqrt(pivots))
+    chosen = hash_quota(folded.select("rep", "_x"), ["rep"], F.lit(first), seed=f"pivot:{seed}")
     centres = np.array([r._x for r in chosen.filter("taken").orderBy("rep").select("_x").collect()])
-    placed = written(
-        folded.withColumn("_p", _nearest_pivot(centres)("_x")).select(
-            "rep", "_x", "weight", F.col("_p.cell").alias("cell"), F.col("_p.dist").alias("to_pivot")
-        ),
-        "lof-cells",
+    grouped = folded.withColumn("_p", _nearest_pivot(centres)("_x")).select(
+        "rep", "_x", "weight", F.col("_p.cell").cast("bigint").alias("group"), F.col("_p.dist").alias("to_group")
     )
-    inner = W.partitionBy("cell").orderBy("to_pivot", "rep")
+    grouped = written(grouped, "lof-groups")
+    inner = W.partitionBy("group").orderBy("to_group", "rep")
     close = (
-        placed.select("cell", "rep", "to_pivot", "weight")
+        grouped.select("group", "rep", "to_group", "weight")
         .withColumn("_r", F.row_number().over(inner))
         .filter(F.col("_r") <= k + 1)
-        .groupBy("cell")
-        .agg(F.array_sort(F.collect_list(F.struct("to_pivot", "weight"))).alias("close"))
+        .groupBy("group")
+        .agg(F.array_sort(F.collect_list(F.struct("to_group", "weight"))).alias("close"))
     )
-    summary = (
-        placed.groupBy("cell")
-        .agg(F.max("to_pivot").alias("radius"), F.count(F.lit(1)).alias("members"))
-        .join(close, "cell")
-        .collect()
+    found = grouped.groupBy("group").agg(F.max("to_group").alias("radius")).join(close, "group").collect()
+    ids = np.array([r.group for r in found])
+    distances, weights = np.full((len(found), k + 1), np.inf), np.zeros((len(found), k + 1))
+    for i, r in enumerate(found):
+        distances[i, : len(r.close)] = [c.to_group for c in r.close]
+        weights[i, : len(r.close)] = [c.weight for c in r.close]
+    radius = np.array([r.radius for r in found])
+    if first == pivots:
+        placed = grouped.withColumns({"cell": F.col("group"), "to_pivot": F.col("to_group")})
+        return placed, Groups(ids, centres[ids], radius, distances, weights), None
+
+    # Every group gets pivots in proportion to its rows.
+    quota = F.ceil(F.col("group_rows") * 4 / F.lit(block_rows))
+    second = hash_quota(grouped.select("rep", "_x", "group"), ["rep"], quota, by=["group"], seed=f"second:{seed}")
+    numbered = F.row_number().over(W.partitionBy("group").orderBy("rep")) - 1
+    second = second.filter("taken").select(
+        "group", (F.col("group") * F.lit(1 << 32) + numbered).alias("cell"), F.col("_x").alias("_y")
+    )
+    second = written(second, "lof-pivots")
+    placed = _with_pivots(
+        grouped.select("group", "rep", "_x", "weight", "to_group"), second, block_rows,
+        _nearest_second, "rep long, _x array<double>, weight long, group long, to_group double, cell long, to_pivot double",
     )
-    visits = placed.select(
-        "rep", "_x", F.explode(_cells_to_visit(centres, summary, k)("_x")).alias("cell")
+    placed = written(placed, "lof-cells")
+    reach = placed.groupBy("cell").agg(F.max("to_pivot").alias("radius"))
+    second = written(second.join(reach, "cell"), "lof-reach")
+    return placed, Groups(ids, centres[ids], radius, distances, weights), second
+
+
+def cells_to_visit(
+    placed: DataFrame, groups: Groups, second: DataFrame | None, bounds: DataFrame, k: int, block_rows: int
+) -> DataFrame:
+    """(rep, cell, bound): the cells besides its own in which a row may have one of its k nearest.
+
+    ``bounds`` has a distance within which k rows are known, for rows that have found them at home.
+    """
+    known = placed.select("rep", "_x", "cell").join(bounds, "rep", "left")
+    seen = known.select("rep", "_x", "cell", _groups_to_visit(groups, k)("_x", "bound").alias("v"))
+    visits = seen.select(
+        "rep", "_x", F.col("cell").alias("home"), F.col("v.bound").alias("bound"), F.explode("v.groups").alias("group")
     )
-    visits = written(visits, "lof-visits")
+    if second is None:
+        visits = visits.select("rep", "home", "bound", F.col("group").alias("cell"))
+    else:
+        visits = _with_pivots(
+            visits, second, block_rows, _second_to_visit, "rep long, home long, bound double, cell long"
+        )
+    return visits.filter(F.col("cell") != F.col("home")).select("rep", "cell", "bound")
+
+
+def _with_pivots(rows: DataFrame, second: DataFrame, block_rows: int, meet: Callable, schema: str) -> DataFrame:
+    """Rows of each group, in blocks, next to the pivots of the group."""
+    blocks = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / (8 * block_rows)).cast("int").alias("blocks"))
+    blocks = broadcast_if_small(written(blocks, "lof-blocks"))
+    part = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("bigint")).cast("int")
+    left = rows.join(blocks, "group").withColumn("block", part).drop("blocks")
+    right = second.join(blocks, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return left.groupBy("group", "block").cogroup(right.drop("blocks").groupBy("group", "block")).applyInPandas(meet, schema)
+
+
+def _nearest_second(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    points = np.stack(rows["_x"].to_numpy()) if len(rows) else np.zeros((0, 1))
+    cell, best = np.zeros(len(rows), np.int64), np.full(len(rows), np.inf)
+    for name, pivot in zip(pivots["cell"], pivots["_y"]):
+        dist = _distances(points, pivot)
+        closer = dist < best
+        cell[closer], best[closer] = name, dist[closer]
+    kept = rows[["rep", "_x", "weight", "group", "to_group"]]
+    return kept.assign(cell=cell, to_pivot=best)
+
+
+def _second_to_visit(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    columns = ["rep", "home", "bound", "cell"]
+    if not len(rows) or not len(pivots):
+        return pd.DataFrame({c: [] for c in columns})
+    points, bound, found = np.stack(rows["_x"].to_numpy()), rows["bound"].to_numpy(), []
+    for name, pivot, radius in zip(pivots["cell"], pivots["_y"], pivots["radius"]):
+        near = _distances(points, pivot) - radius <= bound
+        found.append(rows.loc[near, ["rep", "home", "bound"]].assign(cell=name))
+    return pd.concat(found)[columns]
+
+
+def _met(visits: DataFrame, placed: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(rep, other, dist, weight): for each visit of (rep, cell, bound) up to k + 1 of the cell's rows."""
+    # Both sides come from one table; new names tell the members' columns from the visitors'.
+    members = placed.select(*[F.col(c).alias(c) for c in ("rep", "_x", "weight", "cell")])
     blocks = (
         visits.groupBy("cell")
         .agg(F.count(F.lit(1)).alias("visitors"))
@@ -105,22 +213,20 @@ def nearest_neighbours(
             F.ceil(F.col("members") / block_rows).cast("int").alias("member_blocks"),
         )
     )
+    blocks = broadcast_if_small(written(blocks, "lof-blocks"))
     keys = ["cell", "vb", "mb"]
-    left = _into_blocks(visits, blocks, "vb", "visitor_blocks", "mb", "member_blocks")
-    right = _into_blocks(
-        placed.select("rep", "_x", "weight", "cell"), blocks, "mb", "member_blocks", "vb", "visitor_blocks"
-    )
-    best = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(
-            _block_neighbours(k), "rep bigint, other bigint, dist double, weight bigint"
-        )
+    left = visits.join(placed.select("rep", "_x"), "rep")
+    left = _into_blocks(left, blocks, "vb", "visitor_blocks", "mb", "member_blocks")
+    right = _into_blocks(members, blocks, "mb", "member_blocks", "vb", "visitor_blocks")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        _block_neighbours(k), "rep bigint, other bigint, dist double, weight bigint"
     )
+
+
+def _nearest(best: DataFrame, k: int) -> DataFrame:
+    """The first k copies of each row's neighbours, the nearest first, lower ids first on ties."""
     order = W.partitionBy("rep").orderBy("dist", "other")
-    before = F.coalesce(
-        F.sum("weight").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-    )
+    before = F.coalesce(F.sum("weight").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return (
         best.withColumn("_before", before)
         .filter(F.col("_before") < k)
@@ -169,7 +275,7 @@ def _into_blocks(
     """Hash rows into their side's blocks of the cell, once for every block of the other side."""
     part = F.pmod(F.xxhash64("rep"), F.col(own_blocks).cast("bigint")).cast("int")
     return (
-        df.join(F.broadcast(blocks), "cell")
+        df.join(blocks, "cell")
         .withColumn(own, part)
         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)))
         .drop(own_blocks, other_blocks)
@@ -195,43 +301,35 @@ def _nearest_pivot(centres: np.ndarray) -> Callable:
     return place
 
 
-def _cells_to_visit(centres: np.ndarray, summary: list, k: int) -> Callable:
-    """Cells that may hold one of a row's k nearest neighbours, given the cell summaries."""
-    cells = np.array([r.cell for r in summary])
-    radius = np.array([r.radius for r in summary])
-    close = np.full((len(summary), k + 1), np.inf)
-    weight = np.zeros((len(summary), k + 1))
-    for i, r in enumerate(summary):
-        close[i, : len(r.close)] = [c.to_pivot for c in r.close]
-        weight[i, : len(r.close)] = [c.weight for c in r.close]
-    centres = centres[cells]
-    few = min(4, len(cells))
-
-    @F.pandas_udf("array<int>")
-    def visit(x: pd.Series) -> pd.Series:
+def _groups_to_visit(groups: Groups, k: int) -> Callable:
+    """A row's bound, and the groups that may hold one of its k nearest neighbours."""
+    few = min(4, len(groups.ids))
+
+    @F.pandas_udf("bound double, groups array<long>")
+    def visit(x: pd.Series, bound: pd.Series) -> pd.DataFrame:
         # Rows times pivots distances are held at a time, so batches are cut up.
-        parts = [x.iloc[i : i + VISIT_ROWS] for i in range(0, len(x), VISIT_ROWS)]
-        return pd.Series([cells for part in parts for cells in visits(part)])
+        parts = [slice(at, at + VISIT_ROWS) for at in range(0, len(x), VISIT_ROWS)]
+        found = [visits(x.iloc[part], bound.iloc[part].to_numpy(dtype=float, na_value=np.nan)) for part in parts]
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"bound": [], "groups": []})
 
-    def visits(x: pd.Series) -> list:
+    def visits(x: pd.Series, known: np.ndarray) -> pd.DataFrame:
         rows = np.stack(x.to_numpy())
-        dist = np.stack([_distances(rows, c) for c in centres], axis=1)
+        dist = np.stack([_distances(rows, c) for c in groups.centres], axis=1)
         near = np.argsort(dist, axis=1)[:, :few]
-        # Through the pivot: at least k rows besides the own one lie within this distance.
-        at_most = (np.take_along_axis(dist, near, 1)[:, :, None] + close[near]).reshape(len(rows), -1)
+        # Through a pivot: at least k rows besides the own one lie within this distance.
+        at_most = (np.take_along_axis(dist, near, 1)[:, :, None] + groups.close[near]).reshape(len(rows), -1)
         order = np.argsort(at_most, axis=1)
-        known = np.cumsum(np.take_along_axis(weight[near].reshape(len(rows), -1), order, 1), axis=1)
-        bound = np.full(len(rows), np.inf)
-        enough = known[:, -1] >= k + 1
-        first = (known >= k + 1).argmax(axis=1)
-        sorted_bounds = np.take_along_axis(at_most, order, 1)
-        bound[enough] = sorted_bounds[enough, first[enough]]
-        # Both bounds are lower bounds on the distance to any row of the cell; the slack covers
-        # rounding.
-        slack = bound * (1 + 1e-9) + 1e-12
+        weight = np.cumsum(np.take_along_axis(groups.weight[near].reshape(len(rows), -1), order, 1), axis=1)
+        through = np.full(len(rows), np.inf)
+        enough = weight[:, -1] >= k + 1
+        first = (weight >= k + 1).argmax(axis=1)
+        through[enough] = np.take_along_axis(at_most, order, 1)[enough, first[enough]]
+        # The slack covers rounding.
+        bound = np.fmin(known, through) * (1 + 1e-9) + 1e-12
+        # Both are lower bounds on the distance to any row of the group.
         nearest = dist.min(axis=1)
-        least = np.maximum(dist - radius[None, :], (dist - nearest[:, None]) / 2)
-        return [cells[keep].tolist() for keep in least <= slack[:, None]]
+        least = np.maximum(dist - groups.radius[None, :], (dist - nearest[:, None]) / 2)
+        return pd.DataFrame({"bound": bound, "groups": [groups.ids[kept].tolist() for kept in least <= bound[:, None]]})
 
     return visit
 
@@ -244,12 +342,15 @@ def _block_neighbours(k: int) -> Callable:
         ids, rows = members["rep"].to_numpy(), np.stack(members["_x"].to_numpy())
         weights = members["weight"].to_numpy()
         reps, points = visitors["rep"].to_numpy(), np.stack(visitors["_x"].to_numpy())
+        bounds = visitors["bound"].to_numpy(dtype=float, na_value=np.nan)
         found, few = [], min(k + 1, len(rows))
         for at in range(0, len(reps), VISIT_ROWS):
             part = slice(at, at + VISIT_ROWS)
             dist = np.stack([_distances(points[part], row) for row in rows], axis=1)
             # Everything up to the last of the nearest, so that ties at the end go by id as well.
             last = np.partition(dist, few - 1, axis=1)[:, few - 1 : few]
+            # What is farther than k rows that are known cannot count.
+            last = np.fmin(last, bounds[part, None])
             visitor, member = np.nonzero(dist <= last)
             near = dist[visitor, member]
             order = np.lexsort((member, near, visitor))

@@ -14,10 +14,10 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DataType, DatetimeType, NumericType, StructType
 
 from flowsieve.functions.columns import SEED, as_column, count_where, hash_key, quoted
 from flowsieve import session
@@ -25,6 +25,11 @@ from flowsieve.session import broadcast_if_small, written
 
 SKETCH_ACCURACY = 10_000
 HEX_DIGITS = 4
+# Values drawn at once to choose splitters from, and splitters counted in one pass.
+SPLITTER_SAMPLE, SPLITTERS = 4_096, 64
+# Size of a group's sketch, how far its ranks are trusted (a rank beyond is found without it), and the
+# rows up to which a group needs none.
+GROUP_SKETCH, GROUP_SLACK, SMALL_GROUP = 800, 0.007, 1_000
 
 
 def running_sums(
@@ -37,43 +42,35 @@ def running_sums(
 ) -> DataFrame:
     """Add ``cum_<name>`` for each of ``sums``, running along ``key``, which is unique in its group of ``by``.
 
-    The keys are cut into as many buckets as keep each below ``task_rows`` rows, at approximate
-    quantiles of every group. Bucket totals are broadcast; one bucket needs none. NULL keys are a bucket of their own, first
-    in ascending and last in descending order; NaN is the highest key.
+    Keys are of any type that can be ordered. As long as the largest group has no more than
+    ``task_rows`` rows, each group is summed up in one task. Beyond that, rows are range-partitioned by
+    group and key into buckets of about that size and summed up inside buckets. Only a group that
+    continues from one bucket to the next needs the totals before it, so there are at most two totals
+    a bucket, however many groups there are; these are broadcast. NULL keys come first in ascending
+    and last in descending order; NaN is the highest key.
     """
     limit = task_rows or session.task_rows(df.sparkSession)
     # The input is often an aggregation of a much larger table; several passes over it follow.
     df = written(df, "keys")
-    order = F.col(key).desc() if descending else F.col(key).asc()
+    order = F.col(quoted(key)).desc() if descending else F.col(quoted(key)).asc()
     groups = [quoted(c) for c in by]
-    largest = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    wanted = -(-largest // limit)
-    if wanted <= 1:
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    if (sizes.most or 0) <= limit:
         window = W.partitionBy(*groups).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.select("*", *[F.sum(s).over(window).alias(f"cum_{s}") for s in sums])
 
-    number = F.col(key).cast("double")
-    shares = [i / wanted for i in range(1, wanted)]
-    sketch = F.percentile_approx(number, shares, max(SKETCH_ACCURACY, 10 * wanted))
-    found = df.filter(~F.isnan(number)).groupBy(*groups).agg(sketch.alias("cuts")).collect()
-    cuts = sorted({c for row in found for c in row.cuts or () if math.isfinite(c)})
-    if cuts:
-        bucketed = Bucketizer(
-            splits=[-math.inf, *cuts, math.inf],
-            inputCol="_number",
-            outputCol="_bucket",
-            handleInvalid="keep",
-        ).transform(df.withColumn("_number", number))
-    else:
-        bucketed = df.withColumn("_bucket", F.lit(0.0))
-    bucketed = bucketed.withColumn("_bucket", F.when(F.col(key).isNull(), -1.0).otherwise(F.col("_bucket")))
+    # Edges are sampled, so half the size is asked for; written, so that rows stay in their bucket.
+    buckets = -(-2 * sizes.all // limit)
+    ranged = df.repartitionByRange(buckets, *[F.col(c).asc() for c in groups], order)
+    ranged = written(ranged.withColumn("_bucket", F.spark_partition_id()), "ranges")
     names = [f"_g{i}" for i in range(len(by))]
     group = [F.col(c).alias(n) for c, n in zip(groups, names)]
-    totals = bucketed.groupBy(*group, F.col("_bucket").alias("_at")).agg(
-        *[F.sum(s).alias(f"_t_{s}") for s in sums]
-    )
-    bucket_order = F.col("_at").desc() if descending else F.col("_at").asc()
-    before = W.partitionBy(*names).orderBy(bucket_order).rowsBetween(W.unboundedPreceding, -1)
+    totals = ranged.groupBy(*group, F.col("_bucket").alias("_at")).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    if names:
+        inside = F.struct(*names)
+        ends = totals.groupBy("_at").agg(F.min(inside).alias("_first"), F.max(inside).alias("_last"))
+        totals = totals.join(F.broadcast(ends), "_at").filter((inside == F.col("_first")) | (inside == F.col("_last")))
+    before = W.partitionBy(*names).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *names,
         "_at",
@@ -84,11 +81,11 @@ def running_sums(
         [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(groups, names)],
         F.col("_bucket") == F.col("_at"),
     )
-    inside = W.partitionBy(*groups, "_bucket").orderBy(order)
-    inside = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return bucketed.join(F.broadcast(offsets), same).select(
+    along = W.partitionBy(*groups, "_bucket").orderBy(order)
+    along = along.rowsBetween(W.unboundedPreceding, W.currentRow)
+    return ranged.join(F.broadcast(offsets), same, "left").select(
         *[F.col(quoted(c)) for c in df.columns],
-        *[(F.sum(s).over(inside) + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums],
+        *[(F.sum(s).over(along) + F.coalesce(F.col(f"_o_{s}"), F.lit(0))).alias(f"cum_{s}") for s in sums],
     )
 
 
@@ -102,7 +99,8 @@ def order_values(
 
     Up to ``task_rows`` values, distinct values are counted and ranked as they are. Beyond that,
     sketches of all columns bracket each rank in one pass; a second pass counts what lies below
-    each bracket, and only the few rows inside brackets are counted and ranked.
+    each bracket, and only the few rows inside brackets are counted and ranked. Texts, structs and
+    other columns that are no numbers or times have no such sketches: ``narrowed_values`` finds theirs.
 
     ``sizes``, the number of non-NULL values per column, saves a pass where it is known.
     """
@@ -117,6 +115,14 @@ def order_values(
     if max((sizes[c] for c in columns), default=0) <= task_rows:
         return {c: _ranked_values(_value_counts(df, c), ranks[c]) for c in columns}
 
+    found = {
+        c: narrowed_values(df, c, ranks[c], sizes[c], task_rows)
+        for c in columns
+        if not isinstance(df.select(as_column(c)).schema[0].dataType, (NumericType, DatetimeType))
+    }
+    columns = [c for c in columns if c not in found]
+    if not columns:
+        return found
     brackets = _brackets(df, {c: ranks[c] for c in columns}, sizes)
     # One pass finds the values inside any bracket of their column. Columns share a type.
     entries = [
@@ -129,7 +135,65 @@ def order_values(
     kept = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
     counted = kept.groupBy(F.col("e.c").alias("_c"), F.col("e.v").alias("_v"))
     counted = written(counted.agg(F.count(F.lit(1)).alias("_n")), "brackets")
-    return _bracketed_values(counted, columns, ranks, brackets, task_rows)
+    return found | _bracketed_values(counted, columns, ranks, brackets, task_rows)
+
+
+def narrowed_values(
+    df: DataFrame, column: str, ranks: Sequence[int], size: int, task_rows: int
+) -> list:
+    """Exact values at ``ranks`` of a column of any type that can be ordered.
+
+    Splitters are drawn from the values themselves, by hash, so that they follow their distribution.
+    One pass counts the values below each; a rank lies between two neighbours, and from round to round
+    only what is between them is read. ``size`` is the number of non-NULL values.
+    """
+    field = df.select(as_column(column).alias("_v")).schema[0]
+    rows = df.select(as_column(column).alias("_v")).filter(F.col("_v").isNotNull())
+    v = F.col("_v")
+
+    def between(lo, hi) -> Column:
+        above = F.lit(True) if lo is None else v >= literal(lo, field.dataType)
+        return above if hi is None else above & (v < literal(hi, field.dataType))
+
+    # Per rank: from, up to (not included), values below, values inside.
+    held = {k: (None, None, 0, size) for k in ranks}
+    wide = {place for place in held.values() if place[3] > task_rows}
+    while wide:
+        narrower = {}
+        for place in wide:
+            lo, hi, below, inside = place
+            part = -(-inside // SPLITTER_SAMPLE)
+            sample = rows.filter(between(lo, hi) & (F.pmod(F.xxhash64("_v"), F.lit(part)) == 0))
+            drawn = [r[0] for r in sample.distinct().orderBy("_v").collect()]
+            step = max(len(drawn) // SPLITTERS, 1)
+            splitters = [x for x in drawn[step // 2 :: step] if x != lo]
+            if not splitters:
+                # Many rows, but hardly any different values.
+                continue
+            counts = rows.filter(between(lo, hi)).agg(*[count_where(v < literal(x, field.dataType)) for x in splitters]).first()
+            edges = [(lo, 0), *zip(splitters, counts), (hi, inside)]
+            narrower[place] = [(f, t, below + n, m - n) for (f, n), (t, m) in zip(edges, edges[1:])]
+        wide = set()
+        for k, place in held.items():
+            for f, t, below, inside in narrower.get(place, ()):
+                if below <= k < below + inside:
+                    held[k] = (f, t, below, inside)
+                    if task_rows < inside < place[3]:
+                        wide.add(held[k])
+    out = {}
+    for place in set(held.values()):
+        lo, hi, below, _ = place
+        inside = [k for k in held if held[k] == place]
+        counted = rows.filter(between(lo, hi)).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+        out |= zip(inside, _ranked_values(counted, [k - below for k in inside]))
+    return [out[k] for k in ranks]
+
+
+def literal(value, kind: DataType) -> Column:
+    """A value fetched from a column of type ``kind`` as a column again; structs field by field."""
+    if isinstance(kind, StructType) and value is not None:
+        return F.struct(*[literal(value[f.name], f.dataType).alias(f.name) for f in kind])
+    return F.lit(value).cast(kind)
 
 
 def _value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -291,33 +355,93 @@ def grouped_quantile(
 ) -> DataFrame:
     """(``by``, one column per name): exact, linearly interpolated quantile of each group.
 
-    Values are counted per group, and running counts along them tell which lie at the two middle
-    ranks; any number of groups, and groups of any size, take the same passes.
+    A mergeable sketch per group and column brackets the two middle ranks. The brackets are joined to
+    the rows, never fetched: values below a bracket are counted, those inside it are counted by value,
+    those above it end there. A group that its bracket misses is counted whole. Any number of groups,
+    and groups of any size, take the same passes; ``df`` is read twice and should be a stored table.
+    NaN is the highest value; a group without values has NULL.
     """
-    result = df.select(F.col(quoted(by)).alias(by)).distinct()
-    for column in columns:
-        value = as_column(column).cast("double")
-        counts = (
-            df.filter(value.isNotNull())
-            .groupBy(F.col(quoted(by)).alias("_by"), value.alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_n"))
-        )
-        placed = running_sums(counts, "_v", ["_n"], task_rows=task_rows, by=["_by"])
-        sizes = placed.groupBy("_by").agg(F.max("cum__n").alias("_size"))
-        ranked = placed.join(
-            sizes.withColumnRenamed("_by", "_of"), F.col("_by").eqNullSafe(F.col("_of"))
-        ).withColumn("_at", (F.col("_size") - 1) * F.lit(share))
-        ends = ranked.groupBy("_by", "_at").agg(
-            F.min(F.when(F.col("cum__n") > F.floor("_at"), F.col("_v"))).alias("_lo"),
-            F.min(F.when(F.col("cum__n") > F.ceil("_at"), F.col("_v"))).alias("_hi"),
-        )
-        part = F.col("_at") - F.floor("_at")
-        between = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
-            F.col("_lo") * (1 - part) + F.col("_hi") * part
+    values = [as_column(c).cast("double") for c in columns]
+    rows = df.select(F.col(quoted(by)).alias("_by"), *[v.alias(f"_v{i}") for i, v in enumerate(values)])
+    sketched = rows.groupBy("_by").agg(
+        *[F.count(f"_v{i}").alias(f"_n{i}") for i in range(len(columns))],
+        *[count_where(~F.isnan(f"_v{i}")).alias(f"_m{i}") for i in range(len(columns))],
+        *[
+            F.kll_sketch_agg_double(F.when(~F.isnan(f"_v{i}"), F.col(f"_v{i}")), GROUP_SKETCH).alias(f"_s{i}")
+            for i in range(len(columns))
+        ],
+    )
+    brackets = written(sketched.select("_by", *[_bracket(i, share) for i in range(len(columns))]), "group-brackets")
+    picked = written(_picked(rows, brackets, len(columns), share, task_rows), "group-ranks")
+    missed = picked.filter("not held").select("_by", "_c")
+    if not missed.isEmpty():
+        # Brackets of the missed groups are opened, all others have nothing to find.
+        open_ = missed.groupBy("_by").agg(F.collect_set("_c").alias("_cs")).withColumnRenamed("_by", "_of")
+        whole = brackets.join(open_, F.col("_by").eqNullSafe(F.col("_of")))
+        whole = whole.select(
+            "_by",
+            *[
+                F.when(
+                    F.array_contains("_cs", i),
+                    F.struct(f"_b{i}.n", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")),
+                ).alias(f"_b{i}")
+                for i in range(len(columns))
+            ],
         )
-        found = ends.select("_by", between.alias(column))
-        result = result.join(found, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
-    return result
+        again = _picked(rows, written(whole, "open-brackets"), len(columns), share, task_rows)
+        picked = picked.filter("held").unionByName(again)
+    found = picked.groupBy("_by").agg(*[F.max(F.when(F.col("_c") == i, F.col("value"))).alias(c) for i, c in enumerate(columns)])
+    groups = brackets.select(F.col("_by").alias(by))
+    return groups.join(found, F.col(quoted(by)).eqNullSafe(F.col("_by")), "left").drop("_by")
+
+
+def _bracket(i: int, share: float) -> Column:
+    """(n, lo, hi): values of a group, and bounds around its two middle ranks; NULL is no bound.
+
+    Small groups, which are counted whole at no cost, have none.
+    """
+    n, m = F.col(f"_n{i}"), F.col(f"_m{i}")
+
+    def bound(part: float) -> Column:
+        if not 0 < part < 1:
+            return F.lit(None).cast("double")
+        return F.when(m > SMALL_GROUP, F.kll_sketch_get_quantile_double(f"_s{i}", F.lit(part)))
+
+    return F.when(n > 0, F.struct(n.alias("n"), bound(share - GROUP_SLACK).alias("lo"), bound(share + GROUP_SLACK).alias("hi"))).alias(f"_b{i}")
+
+
+def _picked(rows: DataFrame, brackets: DataFrame, columns: int, share: float, task_rows: int | None) -> DataFrame:
+    """(_by, _c, value, held): each group's quantile, and whether its ranks lie in its bracket."""
+    sides = brackets.withColumnRenamed("_by", "_of")
+    # An aggregation's size is unknown to the planner; below a checked size no row is shuffled.
+    joined = rows.join(broadcast_if_small(sides), F.col("_by").eqNullSafe(F.col("_of")))
+    entries = []
+    for i in range(columns):
+        v, b = F.col(f"_v{i}"), F.col(f"_b{i}")
+        below = F.coalesce(v < b["lo"], F.lit(False))
+        above = F.coalesce(v > b["hi"], F.lit(False))
+        # What is below has no value of its own: one count per group.
+        entry = F.struct(F.lit(i).alias("c"), F.when(~below, v).alias("v"))
+        entries.append(F.when(v.isNotNull() & b.isNotNull() & ~above, entry))
+    kept = joined.select("_by", F.explode(F.array_compact(F.array(*entries))).alias("_e"))
+    counted = kept.groupBy("_by", F.col("_e.c").alias("_c"), F.col("_e.v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_sums(counted, "_v", ["_n"], task_rows=task_rows, by=["_by", "_c"])
+    sizes = brackets.select(
+        F.col("_by").alias("_of"),
+        F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"_b{i}.n").alias("n")) for i in range(columns)])).alias("_e"),
+    ).filter("_e.n is not null")
+    at = (F.col("_e.n") - 1) * F.lit(share)
+    sizes = broadcast_if_small(sizes.select("_of", F.col("_e.c").alias("_k"), at.alias("_at")))
+    ranked = placed.join(sizes, F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_c") == F.col("_k")))
+
+    # The first value that reaches a rank; below the bracket there is none, beyond it no entry.
+    reached = ranked.groupBy("_by", "_c", "_at").agg(
+        F.min(F.when(F.col("cum__n") > F.floor("_at"), F.struct("cum__n", "_v"))).alias("_lo"),
+        F.min(F.when(F.col("cum__n") > F.ceil("_at"), F.struct("cum__n", "_v"))).alias("_hi"),
+    )
+    lo, hi, part = F.col("_lo._v"), F.col("_hi._v"), F.col("_at") - F.floor("_at")
+    between = F.when(lo == hi, lo).otherwise(lo * (1 - part) + hi * part)
+    return reached.select("_by", "_c", between.alias("value"), (lo.isNotNull() & hi.isNotNull()).alias("held"))
 
 
 def hash_positions(
@@ -403,26 +527,49 @@ def hash_quota(
 
 
 def top_rows(
-    df: DataFrame, score: str, id_column: str, count: int, task_rows: int | None = None
+    df: DataFrame, score: str, id_column: str | Sequence[str], count: int, task_rows: int | None = None
 ) -> Column:
-    """Condition that holds for exactly ``count`` rows: the highest scores, lower ids first on ties.
+    """Condition that holds for exactly ``count`` rows: the highest scores, lower ids first on ties."""
+    return top_rows_of(df, {score: count}, id_column, task_rows)[score]
+
 
-    Two order statistics are looked up (the cut score, and the cut id among rows that share it), so
-    applying the condition needs no sort and no shuffle.
+def top_rows_of(
+    df: DataFrame, counts: dict[str, int], id_column: str | Sequence[str], task_rows: int | None = None
+) -> dict[str, Column]:
+    """For each score, the condition that holds for exactly its count of rows: the highest, lower ids
+    first on ties.
+
+    An id is a column of any type that can be ordered, or several that are compared in turn. Two order
+    statistics per score are looked up, those of all scores in the same passes (the cut score, and the
+    cut id among rows that share it), so applying the conditions needs no sort and no shuffle.
     """
-    if count <= 0:
-        return F.lit(False)
-    n = df.agg(F.count(score)).first()[0]
-    if count >= n:
-        return F.col(score).isNotNull()
-    cut = F.lit(order_values(df, {score: [n - count]}, task_rows, {score: n})[score][0])
-    above = F.col(score) > cut
+    scores = list(counts)
+    row = df.agg(*[F.count(F.col(quoted(c))).alias(f"n{i}") for i, c in enumerate(scores)]).first()
+    sizes = {c: row[f"n{i}"] for i, c in enumerate(scores)}
+    out = {c: F.lit(False) if counts[c] <= 0 else F.col(quoted(c)).isNotNull() for c in scores}
+    ranks = {c: [sizes[c] - counts[c]] for c in scores if 0 < counts[c] < sizes[c]}
+    if not ranks:
+        return out
+    cuts = {c: F.lit(found[0]) for c, found in order_values(df, ranks, task_rows, sizes).items()}
     row = df.agg(
-        count_where(above).alias("above"), count_where(F.col(score) == cut).alias("level")
+        *[count_where(F.col(quoted(c)) > cuts[c]).alias(f"above{i}") for i, c in enumerate(ranks)],
+        *[count_where(F.col(quoted(c)) == cuts[c]).alias(f"level{i}") for i, c in enumerate(ranks)],
     ).first()
-    if row.above + row.level == count:
-        return F.col(score) >= cut
-    level = df.filter(F.col(score) == cut)
-    rank = count - row.above - 1
-    last = order_values(level, {id_column: [rank]}, task_rows, {id_column: row.level})[id_column][0]
-    return above | ((F.col(score) == cut) & (F.col(id_column) <= F.lit(last)))
+    names = [id_column] if isinstance(id_column, str) else list(id_column)
+    key = F.col(quoted(names[0])) if len(names) == 1 else F.struct(*[quoted(c) for c in names])
+    level, id_ranks, id_sizes = {}, {}, {}
+    for i, c in enumerate(ranks):
+        if row[f"above{i}"] + row[f"level{i}"] == counts[c]:
+            out[c] = F.col(quoted(c)) >= cuts[c]
+            continue
+        level[c] = F.when(F.col(quoted(c)) == cuts[c], key).alias(f"_id{i}")
+        id_ranks[f"_id{i}"] = [counts[c] - row[f"above{i}"] - 1]
+        id_sizes[f"_id{i}"] = row[f"level{i}"]
+    if level:
+        ids = df.select(*level.values())
+        last = order_values(ids, id_ranks, task_rows, id_sizes)
+        for i, c in enumerate(ranks):
+            if c in level:
+                limit = literal(last[f"_id{i}"][0], ids.schema[f"_id{i}"].dataType)
+                out[c] = (F.col(quoted(c)) > cuts[c]) | ((F.col(quoted(c)) == cuts[c]) & (key <= limit))
+    return out

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from flowsieve.functions.columns import (
     finite_or_null,
@@ -17,8 +16,8 @@ from flowsieve.functions.columns import (
     number_or_zero,
     quoted,
 )
-from flowsieve.operators.ordering import grouped_quantile, hash_positions, quantiles
-from flowsieve.session import broadcast_if_small
+from flowsieve.operators.ordering import grouped_quantile, hash_positions, quantiles, running_sums
+from flowsieve.session import broadcast_if_small, written
 
 DAY_MICROSECONDS = 24 * 3600 * 1_000_000
 
@@ -197,14 +196,22 @@ def winsorise(
     )
 
 
+def label_codes(df: DataFrame, column: str, name: str = "class_id") -> DataFrame:
+    """(``column``, id from 0): the distinct non-NULL values in order.
+
+    Any number of them: beyond what one task may sort they are range-partitioned, numbered inside their
+    range, and shifted by the counts of the ranges before.
+    """
+    kinds = df.select(F.col(quoted(column)).alias("_class")).filter(F.col("_class").isNotNull()).distinct()
+    placed = running_sums(kinds.withColumn("_one", F.lit(1).cast("bigint")), "_class", ["_one"])
+    return placed.select(F.col("_class").alias(column), (F.col("cum__one") - 1).alias(name))
+
+
 def encode_labels(df: DataFrame, column: str, name: str = "class_id") -> DataFrame:
     """Class names to ids from 0 in alphabetical order."""
-    codes = df.select(column).filter(F.col(column).isNotNull()).distinct().select(
-        F.col(column).alias("_class"),
-        (F.dense_rank().over(W.orderBy(column)) - 1).cast("bigint").alias(name),
-    )
+    codes = written(label_codes(df, column, name), "codes").withColumnRenamed(column, "_class")
     codes = broadcast_if_small(codes)
-    return df.join(codes, F.col(column) == F.col("_class"), "left").drop("_class")
+    return df.join(codes, F.col(quoted(column)) == F.col("_class"), "left").drop("_class")
 
 
 def decode_labels(df: DataFrame, ids: str, codes: DataFrame, column: str, name: str) -> DataFrame:

@@ -167,9 +167,11 @@ def findings_document(
 
     entries = written(finding_records(findings, time), "findings")
     header, total = time_range(records, time).first(), entries.count()
-    nested = entries.select(F.struct("*").alias("anomaly"))
+    # Without an else the field can be NULL, in a run with findings too.
+    nested = entries.select(F.when(F.lit(True), F.struct("*")).alias("anomaly"))
     if not total:
-        nested = entries.sparkSession.createDataFrame([(None,)], nested.schema)
+        kind = nested.schema["anomaly"].dataType
+        nested = entries.sparkSession.range(1).select(F.lit(None).cast(kind).alias("anomaly"))
     return nested.select(
         F.lit(file).alias("file"),
         F.lit(header.records).cast("bigint").alias("records"),

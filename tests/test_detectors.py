@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowsieve.operators import ensemble, iforest, recon
+from flowsieve.operators import ensemble, iforest, lof, recon
 from flowsieve.operators.lof import local_outlier_factor
 
 # The thirteen-point table, ten ordinary rows and three planted outliers.
@@ -170,3 +170,41 @@ def test_rows_without_a_score_are_not_flagged(spark):
     flags = {r.id: r.flag for r in ensemble.flag_top(df, "s", "id", 0.4).collect()}
     assert flags == {i: int(i >= 10) for i in range(14)}
     assert {r[0] for r in df.select(recon.flag_above(9.5, "s")).collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("pivots, first_level, block_rows", [(30, 4, 64), (16, 1, 32)])
+def test_lof_with_two_levels_of_pivots(spark, pivots, first_level, block_rows):
+    rng = np.random.default_rng(6)
+    points = np.vstack([rng.normal(c, 0.3, size=(90, 2)).round(2) for c in (0, 5, 5.5, 40)])
+    points = np.vstack([points, np.tile(points[:1], (100, 1))])
+    first = {}
+    owner = [first.setdefault(tuple(p), i) for i, p in enumerate(points)]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id bigint, a double, b double")
+    found = local_outlier_factor(
+        df, ["a", "b"], "id", neighbours=10, pivots=pivots, block_rows=block_rows, first_level=first_level
+    ).orderBy("id").toPandas()
+    assert np.allclose(found["lof"], brute_lof(points, owner, 10), rtol=1e-9)
+
+
+@pytest.mark.parametrize("first_level", [256, 4])
+def test_the_bound_from_home_saves_visits(spark, first_level):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in p], 1) for i, p in enumerate(rng.uniform(size=(1500, 3)))]
+    folded = spark.createDataFrame(rows, "rep long, _x array<double>, weight long")
+    k, pivots, block_rows = 5, 40, 150
+    placed, groups, second = lof.into_cells(folded, k, pivots, block_rows, 42, first_level)
+    none = spark.createDataFrame([], "rep long, bound double")
+    through_pivots = lof.cells_to_visit(placed, groups, second, none, k, block_rows).count()
+    home = placed.select("rep", "cell", F.lit(None).cast("double").alias("bound"))
+    near = lof._nearest(lof._met(home, placed, k, block_rows), k)
+    bounds = near.groupBy("rep").agg(F.max("dist").alias("bound"), F.sum("take").alias("n")).filter(F.col("n") == k)
+    visits = lof.cells_to_visit(placed, groups, second, bounds.select("rep", "bound"), k, block_rows)
+    assert "_x" not in visits.columns
+    assert visits.count() < 0.7 * through_pivots
+
+
+def test_cells_follow_the_rows(spark):
+    rows = [(i, [float(i % 97), float(i // 97)], 1) for i in range(3000)]
+    folded = spark.createDataFrame(rows, "rep long, _x array<double>, weight long")
+    placed, groups, _ = lof.into_cells(folded, 3, 120, 100, 1, first_level=8)
+    assert len(groups.ids) <= 11 and placed.select("cell").distinct().count() > 100

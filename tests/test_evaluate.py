@@ -1,8 +1,10 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowsieve.operators import curves, distributions, report
+from flowsieve.operators import curves, distributions, ensemble, report
 from flowsieve.sources.flows import event_records, event_scores
 from flowsieve.operators.windows import window_features
 from flowsieve.streaming.windows import stream_window_features
@@ -113,3 +115,46 @@ def test_constant_scores(spark):
     empty = df.limit(0)
     assert distributions.histogram(empty, "score", "y", 4).count() == 0
     assert distributions.cdf_grid(empty, points=5).count() == 5
+
+
+@pytest.mark.parametrize("flags", [["a"], ["a", "b"], ["a", "b", "c", "d"]])
+def test_overlap_of_any_number_of_detectors(spark, flags):
+    rows = [(i % 3 % 2, *[int((i >> k) % 3 == 0) for k in range(4)]) for i in range(200)] + [(1, None, 1, None, 0), (None, 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "y int, a int, b int, c int, d int")
+    found = {r.region: r.caught for r in ensemble.detector_overlap(df, flags).collect()}
+    expected = Counter()
+    for y, *hits in rows:
+        caught = [f for f, h in zip("abcd", hits) if f in flags and h == 1] if y == 1 else []
+        if caught:
+            name = "all" if caught == flags else f"only {caught[0]}" if len(caught) == 1 else "+".join(caught)
+            expected[name] += 1
+            expected["any"] += 1
+    assert len(found) == 2 ** len(flags)
+    assert {name: n for name, n in found.items() if n} == dict(expected)
+
+
+def direct_density(values, points):
+    lo, hi, h = values.min(), values.max(), values.std(ddof=1) * 0.15
+    at = lo + np.arange(points) * (hi - lo) / (points - 1)
+    return np.exp(-0.5 * ((at[:, None] - values) / h) ** 2).mean(1) / (h * np.sqrt(2 * np.pi)), h
+
+
+@pytest.mark.parametrize("shape", ["normal", "long tail", "two lumps"])
+def test_density_error_is_bounded(spark, shape):
+    rng = np.random.default_rng(3)
+    values = {
+        "normal": rng.normal(size=2000),
+        "long tail": rng.pareto(1.1, 2000),
+        "two lumps": np.concatenate([rng.normal(0, 1e-3, 500), rng.normal(1e6, 10, 500)]),
+    }[shape]
+    df = spark.createDataFrame([(1, float(v)) for v in values] + [(1, None), (None, 2.0), (None, 5.0)], "y int, score double")
+    found = [r for r in distributions.kernel_density(df, points=60).collect() if r["class"] == 1]
+    expected, h = direct_density(values, 60)
+    height = 1 / (h * np.sqrt(2 * np.pi))
+    assert np.abs(np.array([r.density for r in sorted(found, key=lambda r: r.point)]) - expected).max() < 1e-9 * height
+
+
+def test_density_costs_by_boxes_not_by_scores(spark):
+    df = spark.range(40_000).select(F.lit("k").alias("g"), F.rand(5).alias("z"))
+    boxes = distributions.box_moments(df, F.col("z") * 10, ["g"])
+    assert boxes.count() <= 10 / distributions.GAUSS_BOX + 1

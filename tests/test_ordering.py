@@ -122,3 +122,101 @@ def test_grouped_quantile_matches_numpy(spark):
         found = {r.g: r.v for r in grouped_quantile(df, ["v"], 0.9, "g", limit).collect()}
         for g in ("a", "b", None):
             assert found[g] == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], 0.9))
+
+
+def cumulated(rows, descending=False):
+    out, total = {}, {}
+    for g, k, n in sorted(rows, key=lambda r: (r[0], r[1]), reverse=descending):
+        total[g] = total.get(g, 0) + n
+        out[g, k] = total[g]
+    return out
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_over_text_keys_and_groups_of_all_sizes(spark, descending):
+    """Most groups have a row or two, one has half of them, so that it goes on over many ranges."""
+    rng = np.random.default_rng(4)
+    rows = {(f"g{int(rng.integers(400))}" if i % 2 else "large", f"key-{i:05d}", i % 7) for i in range(3000)}
+    df = spark.createDataFrame(sorted(rows), "g string, k string, n long").repartition(5)
+    found = running_sums(df, "k", ["n"], descending, task_rows=100, by=["g"])
+    assert {(r.g, r.k): r.cum_n for r in found.collect()} == cumulated(rows, descending)
+
+
+def test_running_sums_broadcast_no_more_than_two_totals_a_range(spark):
+    rows = [(i, 0, 1) for i in range(5000)] + [(-1, k, 1) for k in range(5000)]
+    df = spark.createDataFrame(rows, "g long, k long, n long")
+    found = running_sums(df, "k", ["n"], task_rows=500, by=["g"])
+    assert {(r.g, r.k): r.cum_n for r in found.collect()} == cumulated(rows)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SinglePartition" not in text
+
+
+def test_hundred_thousand_groups_one_beyond_the_limit(spark):
+    """Quantiles of many small groups and one large, with nothing per group in the driver."""
+    small = spark.range(100_000).select(F.col("id").alias("g"), F.explode(F.sequence(F.lit(0), F.col("id") % 4)).alias("j"))
+    small = small.select("g", ((F.col("g") * 31 + F.col("j") * 17) % 1009).cast("double").alias("v"))
+    large = spark.range(20_000).select(F.lit(-1).cast("long").alias("g"), ((F.col("id") * 7919) % 20_011).cast("double").alias("v"))
+    df = small.unionByName(large)
+    found = {r.g: r.v for r in grouped_quantile(df, ["v"], 0.9, "g", task_rows=5_000).collect()}
+    assert len(found) == 100_001
+    expected = df.toPandas().groupby("g").v.quantile(0.9)
+    assert np.allclose([found[g] for g in expected.index], expected.to_numpy())
+
+
+@pytest.mark.parametrize("slack", [0.007, -0.2])
+def test_grouped_quantile_is_exact_when_brackets_miss(spark, monkeypatch, slack):
+    from flowsieve.operators import ordering
+
+    monkeypatch.setattr(ordering, "GROUP_SLACK", slack)
+    rng = np.random.default_rng(8)
+    rows = [(g, float(v), float(-v)) for g in ("a", "b") for v in rng.exponential(3, 1500).round(2)]
+    rows += [("none", None, 1.0), ("nan", float("nan"), 2.0), ("nan", 3.0, None), (None, 5.0, 6.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    found = {r.g: r for r in grouped_quantile(df, ["x", "y"], 0.3, "g").collect()}
+    for g in ("a", "b"):
+        for c, at in (("x", 1), ("y", 2)):
+            assert found[g][c] == pytest.approx(np.quantile([r[at] for r in rows if r[0] == g], 0.3))
+    assert found["none"].x is None and found["none"].y == 1.0
+    assert np.isnan(found["nan"].x) and found["nan"].y == 2.0
+    assert (found[None].x, found[None].y) == (5.0, 6.0)
+
+
+@pytest.mark.parametrize("task_rows", [20, 500, 1_000_000])
+def test_order_values_of_texts_and_structs(spark, task_rows):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcé"), int(rng.integers(1, 6)))) for _ in range(3000)]
+    words[::3] = ["hot"] * 1000
+    rows = [(w, int(n), bool(n % 2)) for w, n in zip(words, rng.integers(0, 50, 3000))] + [(None, 1, None)]
+    df = spark.createDataFrame(rows, "w string, n int, b boolean").repartition(4)
+    df = df.withColumn("both", F.when(F.col("w").isNotNull(), F.struct("w", "n")))
+    ranks = [0, 5, 1234, 1500, 2999]
+    found = order_values(df, {"w": ranks, "n": ranks, "both": ranks, "b": [0, 2999]}, task_rows)
+    texts = sorted(words, key=lambda w: w.encode())
+    pairs = sorted(((w, n) for w, n, _ in rows if w is not None), key=lambda p: (p[0].encode(), p[1]))
+    assert found["w"] == [texts[k] for k in ranks]
+    assert [tuple(v) for v in found["both"]] == [pairs[k] for k in ranks]
+    assert found["n"] == [sorted(n for _, n, _ in rows)[k] for k in ranks]
+    assert found["b"] == [False, True]
+
+
+@pytest.mark.parametrize("task_rows", [10, 1_000_000])
+@pytest.mark.parametrize("count", [1, 700, 1500])
+def test_top_rows_with_text_ids(numbers, count, task_rows):
+    named = numbers.select(F.concat(F.lit("n"), "id").alias("name"), (F.col("id") % 3).alias("kind"), "a")
+    pdf = named.toPandas()
+    chosen = named.filter(top_rows(named, "a", "name", count, task_rows)).toPandas()
+    assert set(chosen["name"]) == set(pdf.sort_values(["a", "name"], ascending=[False, True])["name"].head(count))
+    chosen = named.filter(top_rows(named, "a", ["kind", "name"], count, task_rows)).toPandas()
+    ordered = pdf.sort_values(["a", "kind", "name"], ascending=[False, True, True])
+    assert set(chosen["name"]) == set(ordered["name"].head(count))
+
+
+def test_top_rows_of_several_scores_take_the_same_passes(numbers):
+    from flowsieve.operators.ordering import top_rows_of
+
+    found = top_rows_of(numbers, {"a": 700, "b": 40}, "id", 10)
+    for c, n in (("a", 700), ("b", 40)):
+        assert numbers.filter(found[c]).count() == n
+        assert {r.id for r in numbers.filter(found[c]).collect()} == {
+            r.id for r in numbers.filter(top_rows(numbers, c, "id", n, 10)).collect()
+        }

@@ -113,3 +113,20 @@ def test_label_codes_are_alphabetical(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("a",)], "k string")
     found = {r.k: r.class_id for r in prep.encode_labels(df, "k").collect()}
     assert found == {"a": 0, "b": 1, "c": 2, None: None}
+
+
+@pytest.mark.parametrize("limit", ["7", "1000000"])
+def test_encode_texts_without_one_task(spark, limit):
+    names = sorted({f"name {i * 37 % 101}" for i in range(90)} | {"É", "", "zz"}, key=lambda w: w.encode())
+    rows = [(i, names[i % len(names)]) for i in range(300)] + [(300, None)]
+    df = spark.createDataFrame(rows, "id long, `a class` string").repartition(3)
+    spark.conf.set("flowsieve.taskRows", limit)
+    try:
+        codes = prep.label_codes(df, "a class", "n")
+        text = codes._jdf.queryExecution().executedPlan().toString()
+        found = prep.encode_labels(df, "a class", "n").collect()
+    finally:
+        spark.conf.unset("flowsieve.taskRows")
+    assert {r.id: r.n for r in found} == {i: None if w is None else names.index(w) for i, w in rows}
+    # Only the ranges' totals, which are broadcast, are summed up in one task.
+    assert limit != "7" or "SinglePartition" not in text.split("BroadcastExchange")[0]

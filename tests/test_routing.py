@@ -46,9 +46,12 @@ def test_queue(routed):
 
 def test_by_class_and_hidden(routed):
     by_class = {r.category: tuple(r)[1:] for r in routing.routing_by_class(routed, ["Worms"]).collect()}
-    assert by_class == {"DoS": (2, 1, 0, 1), "Worms": (3, 0, 2, 1)}
+    assert by_class == {
+        "DoS": (2, 1, 0, 1, 50.0, 0.0),
+        "Worms": (3, 0, 2, 1, 0.0, pytest.approx(200 / 3)),
+    }
     seen = {r.category: tuple(r)[1:] for r in routing.routing_by_class(routed).collect()}
-    assert seen["Worms"] == (3, 1, 2, 0)
+    assert seen["Worms"][:4] == (3, 1, 2, 0)
     hidden = {r.category: r for r in routing.hidden_detection(routed, ["Worms", "Shellcode"]).collect()}
     assert (hidden["Worms"].total, hidden["Worms"].flagged, hidden["Worms"].queued) == (3, 3, 2)
     assert (hidden["Shellcode"].total, hidden["Shellcode"].queued_pct) == (0, 0.0)
@@ -68,8 +71,8 @@ def test_class_hold_out(routed):
     assert sorted(r.id for r in kept.collect()) == [3, 4, 5, 6]
 
 
-@pytest.mark.parametrize("names", [["a", "b"], ["a", "b", "c"]])
-def test_stage2_learns_and_gives_probabilities(spark, names):
+def striped(spark, names):
+    """300 rows whose class can be read off one feature."""
     n = len(names)
     df = spark.range(300).select(
         "id",
@@ -77,10 +80,32 @@ def test_stage2_learns_and_gives_probabilities(spark, names):
         F.rand(2).alias("x2"),
         F.get(F.array(*[F.lit(c) for c in names]), (F.col("id") % n).cast("int")).alias("k"),
     )
-    df = spark.createDataFrame(df.toPandas())
-    model = stage2.fit_stage2(df, ["x 1", "x2"], "k", rounds=20, depth=3)
+    return spark.createDataFrame(df.toPandas())
+
+
+@pytest.mark.parametrize("names", [["a", "b"], ["a", "b", "c"]])
+@pytest.mark.parametrize("kind", ["boosting", "forest"])
+def test_stage2_learns_and_gives_probabilities(spark, names, kind):
+    n, df = len(names), striped(spark, names)
+    model = stage2.fit_stage2(df, ["x 1", "x2"], "k", rounds=10, depth=3, kind=kind)
     assert model.classes == tuple(names)
     found = model.predict(df.drop("k").join(df.select("id", F.col("k").alias("truth")), "id"))
     assert found.filter("predicted = truth").count() >= 285
     assert found.filter(F.size("probabilities") == n).count() == 300
     assert found.filter("confidence < 1.0 / 3 or confidence > 1").count() == 0
+    total = F.aggregate("probabilities", F.lit(0.0), lambda x, y: x + y)
+    assert found.filter(F.abs(total - 1) > 1e-9).count() == 0
+
+
+def test_stage2_of_one_class_is_certain(spark):
+    df = striped(spark, ["only"])
+    found = stage2.fit_stage2(df, ["x2"], "k", rounds=2).predict(df.drop("k")).first()
+    assert (found.predicted, found.confidence, list(found.probabilities)) == ("only", 1.0, [1.0])
+
+
+def test_stage2_needs_rows_and_known_kinds(spark):
+    df = striped(spark, ["a", "b"])
+    with pytest.raises(ValueError, match="no labelled rows"):
+        stage2.fit_stage2(df.filter("id < 0"), ["x2"], "k")
+    with pytest.raises(ValueError, match="kind"):
+        stage2.fit_stage2(df, ["x2"], "k", kind="linear")
