@@ -191,6 +191,16 @@ def reconstruction_error(spark, folder):
     return rounded(vector_errors(spark, folder))
 
 
+@query("d6_curved_reconstruction")
+def curved_reconstruction(spark, folder):
+    """Errors of the curved form on the flow table, fitted on its benign rows."""
+    df = order_flows(spark, folder)
+    fitted = prep.fit_prep(df, FEATURES)
+    matrix = written(fitted.transform(df, ["flow_id", "true_label"]), "matrix")
+    detector = recon.fit_curved_reconstruction(matrix.filter("true_label = 0"), fitted.kept)
+    return rounded(detector.score(matrix).select("flow_id", "true_label", "recon_error"))
+
+
 @query(
     "d7_benign_percentile_flag",
     sql(EVENT_SCORES, body="""

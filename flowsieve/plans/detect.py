@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import SEED
 from flowsieve.operators import ensemble, iforest, knowledge, lof, prep, recon, routing, stage2, triage, windows
+from flowsieve.operators.ordering import quantiles
 from flowsieve.session import written
 
 
@@ -44,6 +45,31 @@ def forest_scores(
     return scored.withColumn("if_score", -F.col("anomaly_score")).drop("mean_path", "anomaly_score")
 
 
+@dataclass(frozen=True)
+class FittedForest:
+    """A preparation, a forest and the score below which rows are flagged, all fitted beforehand."""
+
+    prepared: prep.Prep
+    forest: iforest.Forest
+    cut: float
+
+    def run(self, df: DataFrame) -> DataFrame:
+        """Add ``if_score``, lower = more anomalous, and ``flag``, where the rows are."""
+        scored = self.forest.score(df, inputs=[self.prepared.scaled(c) for c in self.prepared.kept])
+        scored = scored.withColumn("if_score", -F.col("anomaly_score")).drop("mean_path", "anomaly_score")
+        return scored.withColumn("flag", F.coalesce(F.col("if_score") < F.lit(self.cut), F.lit(False)).cast("int"))
+
+
+def fit_forest_detector(
+    df: DataFrame, features: Sequence[str], id_column: str, contamination: float, trees: int = iforest.TREES, seed: int = SEED
+) -> FittedForest:
+    """Fit on a stored table; the cut is the ``contamination`` quantile of its own scores."""
+    fitted = prep.fit_prep(df, features, two_sided=False, impute="zero", drop_constant=False, log_skewed=False)
+    forest = iforest.fit_forest(fitted.transform(df, [id_column]), fitted.kept, [id_column], trees=trees, seed=seed)
+    scores = written(FittedForest(fitted, forest, 0.0).run(df).select("if_score"), "forest-scores")
+    return FittedForest(fitted, forest, quantiles(scores, ["if_score"], [contamination])["if_score"][0])
+
+
 def squared_z(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Add ``if_score``: minus the sum of squared z-scores. A deterministic score for checks."""
     fitted = prep.fit_prep(df, features, drop_constant=True, log_skewed=False)

@@ -208,3 +208,53 @@ def test_cells_follow_the_rows(spark):
     folded = spark.createDataFrame(rows, "rep long, _x array<double>, weight long")
     placed, groups, _ = lof.into_cells(folded, 3, 120, 100, 1, first_level=8)
     assert len(groups.ids) <= 11 and placed.select("cell").distinct().count() > 100
+
+
+def curved_set(seed, n):
+    """Benign rows on a ring, with a third feature that follows from the first two; in planted rows it
+    has the other sign, so that every feature by itself and every two look the same."""
+    rng = np.random.default_rng(seed)
+    angle = rng.uniform(0, 2 * np.pi, n + n // 10)
+    rows = np.stack([3 * np.cos(angle), 3 * np.sin(angle), np.cos(2 * angle)], axis=1) + rng.normal(0, 0.03, (len(angle), 3))
+    rows[n:, 2] *= -1
+    return [(i, int(i >= n), *map(float, r)) for i, r in enumerate(rows)]
+
+
+def test_curved_reconstruction_finds_what_the_linear_one_cannot(spark):
+    columns = ["a", "b 1", "c"]
+    df = spark.createDataFrame(curved_set(1, 1000), "id bigint, y int, a double, `b 1` double, c double").repartition(4)
+    benign = df.filter("y = 0")
+    linear = recon.fit_reconstruction(benign, columns, 2).score(df)
+    curved = recon.fit_curved_reconstruction(benign, columns).score(df)
+
+    def caught(scored):
+        limit = recon.boundary(scored.filter("y = 0"))
+        return scored.filter((F.col("y") == 1) & (recon.flag_above(limit) == 1)).count() / 100
+
+    assert caught(linear) < 0.2 and caught(curved) > 0.8
+
+
+def test_curved_reconstruction_matches_numpy(spark):
+    rows = curved_set(2, 300)
+    columns = ["a", "b", "c"]
+    df = spark.createDataFrame(rows, "id bigint, y int, a double, b double, c double").repartition(3)
+    fitted = recon.fit_curved_reconstruction(df.filter("y = 0"), columns, components=4, cosine_count=20)
+    points = np.array([r[2:] for r in rows])
+    benign = points[[r[1] == 0 for r in rows]]
+    scaled = (benign - benign.mean(0)) / benign.std(0)
+    mapped = np.cos(scaled @ fitted.projections.T + fitted.shifts)
+    held = (mapped - mapped.mean(0)) @ np.linalg.svd(mapped - mapped.mean(0))[2][:4].T
+    inputs = np.hstack([held, np.ones((len(held), 1))])
+    expected = ((scaled - inputs @ np.linalg.lstsq(inputs, scaled, rcond=None)[0]) ** 2).mean(1)
+    found = {r.id: r.recon_error for r in fitted.score(df).collect()}
+    assert np.allclose([found[r[0]] for r in rows if r[1] == 0], expected, rtol=1e-4, atol=1e-9)
+
+
+def test_curved_reconstruction_edges(spark):
+    df = spark.createDataFrame([(i, float(i % 5), 2.0, None if i == 3 else 1.0 * i) for i in range(30)], "id bigint, a double, flat double, c double")
+    fitted = recon.fit_curved_reconstruction(df, ["a", "flat", "c"])
+    found = {r.id: r.recon_error for r in fitted.score(df).collect()}
+    assert found[3] is None and all(v is not None and v >= 0 for i, v in found.items() if i != 3)
+    assert fitted.score(df.limit(0)).collect() == []
+    with pytest.raises(ValueError, match="no benign rows"):
+        recon.fit_curved_reconstruction(df.limit(0), ["a"])

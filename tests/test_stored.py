@@ -93,3 +93,8 @@ def test_two_stages_in_another_application(spark, rows, tmp_path):
     )
     line = next(x for x in done.stdout.splitlines() if x.startswith("FOUND "))
     assert json.loads(line[6:]) == [[r.id, r.route, r.final, r.recon_error] for r in expected]
+
+
+def test_curved_reconstruction(spark, rows):
+    fitted = recon.fit_curved_reconstruction(rows, COLUMNS)
+    assert again(spark, fitted).score(rows).orderBy("id").collect() == fitted.score(rows).orderBy("id").collect()
