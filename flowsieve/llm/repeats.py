@@ -32,6 +32,9 @@ from flowsieve.llm.textbytes import Chunk, mixed, text_chunks
 from flowsieve.session import written
 
 LENGTH = 400
+# Bytes of text whose suffixes are cut to runs at once (several numbers are held per byte), and bytes
+# that a task gathers before it passes them on.
+RUN_BYTES, PASSED_ON = 500_000, 4_000_000
 
 _KEY = ["doc_id", "text_key"]
 _RUN = "doc_id long, text_key long, first int, n int, far int, digit long, whole long"
@@ -105,7 +108,7 @@ def _first_digits(documents: DataFrame, length: int, whole: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in _KEY)
-            for chunk in text_chunks(batch.column("text")):
+            for chunk in text_chunks(batch.column("text"), RUN_BYTES):
                 runs, data = _runs(chunk, length), memoryview(chunk.data)
                 if not whole:
                     digits = [
@@ -137,13 +140,18 @@ def _pieces_text(texts: DataFrame, classes: DataFrame, length: int) -> DataFrame
     """(digit, whole, n, far, copies, bytes): all bytes that a class's suffixes reach, from one of its texts."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["digit", "whole", "n", "far", "copies", "bytes"]
         for frame in frames:
-            rows = []
+            rows, held = [], 0
             for text, runs in zip(frame.text, frame.runs):
                 data = (text or "").encode()
                 for r in runs:
                     rows.append((r["digit"], r["whole"], r["n"], r["far"], r["copies"], data[r["first"] : r["first"] + r["n"] - 1 + length]))
-            yield pd.DataFrame(rows, columns=["digit", "whole", "n", "far", "copies", "bytes"])
+                    held += r["n"] - 1 + length
+                    if held >= PASSED_ON:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     run = F.struct(F.col("at.first").alias("first"), "n", "far", "digit", "whole", "copies")
     wanted = classes.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key"))
@@ -266,10 +274,11 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, with_kept: bool =
             rows = []
             for doc_id, key, text, runs in zip(frame.doc_id, frame.text_key, frame.text, frame.runs):
                 first, n = (np.array([r[c] for r in runs], np.int64) for c in ("first", "n"))
-                rows.append((doc_id, key, *_without(text, first, n, length)[1:]))
-            out = pd.DataFrame(rows, columns=[*_KEY, "n_removed", "n_spans", "kept_sha256", "kept"])
-            yield out if with_kept else out.drop(columns="kept")
+                found = _without(text, first, n, length)[1:]
+                rows.append((doc_id, key, *(found if with_kept else found[:-1])))
+            yield pd.DataFrame(rows, columns=columns)
 
+    columns = [*_KEY, "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])]
     schema = "doc_id long, text_key long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept binary" if with_kept else ""
     changed = texts.join(lists, _KEY).mapInPandas(cut, schema).withColumnRenamed("doc_id", "key")
