@@ -115,6 +115,18 @@ def _candidates(docs: DataFrame, windows: DataFrame, tokens, single: bool) -> Da
     )
 
 
+def candidate_places(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Distinct (doc_id, text_key, start, window) where a window may stand.
+
+    Equal rows have the same places: each is listed once, however often the row repeats.
+    """
+    many, one = windows.filter(F.size("words") > 1), windows.filter(F.size("words") == 1)
+    found = _candidates(docs, many, _pairs, False)
+    if not one.isEmpty():
+        found = found.unionByName(_candidates(docs, one, _singles, True))
+    return found.distinct()
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """``documents`` with n_words, hits, n_hit, items, contaminated.
 
@@ -132,12 +144,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     keyed = documents.withColumn("text_key", F.xxhash64("text"))
     slim = keyed.select("doc_id", "text_key", "text")
     windows = written(benchmark_windows(benchmark, size), "windows")
-    many, one = windows.filter(F.size("words") > 1), windows.filter(F.size("words") == 1)
-    found = _candidates(slim, many, _pairs, False)
-    if not one.isEmpty():
-        found = found.unionByName(_candidates(slim, one, _singles, True))
     # Words and items have no bound in bytes, so Spark decides how they are joined.
-    found = found.join(windows, "window")
+    found = candidate_places(slim, windows).join(windows, "window")
     places = found.groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("start", "words", "items")).alias("places")
     )

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from flowsieve.llm import decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -64,3 +66,15 @@ def test_no_python_in_the_plan(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert "Python" not in decontaminate.contamination(d, b)._jdf.queryExecution().toString().split("Physical")[-1]
+
+
+def test_a_repeated_row_has_the_places_of_one(spark):
+    """A row that stands 2,000 times lists each place once, so the work is in proportion to the rows."""
+    item = " ".join(f"w{k}" for k in range(60))
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    windows = decontaminate.benchmark_windows(b)
+    for times in (1, 2000):
+        docs = [(1, "before " + item + " after")] * times + [(2, "other words")]
+        d = spark.createDataFrame(docs, "doc_id long, text string")
+        assert decontaminate.candidate_places(d.withColumn("text_key", F.xxhash64("text")), windows).count() == 48
+        assert decontaminate.contamination(d, b).filter("contaminated").count() == times
