@@ -14,13 +14,13 @@ WITH usable AS (
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), vectors AS (
-    SELECT id, min(v) AS v FROM usable GROUP BY id
+    SELECT id, v, row_number() OVER () AS row FROM usable
 ), scored AS (
-    SELECT q.id AS query_id, c.id AS vec_id,
+    SELECT q.id AS query_id, q.row, c.id AS vec_id,
            CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-    FROM vectors q JOIN vectors c ON q.id % 100 = 0 AND c.id <> q.id
+    FROM vectors q JOIN vectors c ON q.id % 100 = 0 AND c.row <> q.row
 ), ranked AS (
-    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank
     FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10

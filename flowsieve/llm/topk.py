@@ -41,31 +41,36 @@ def usable(vector: Column) -> Column:
 
 
 def prepared(df: DataFrame, id_column: str, vector: str, scale: int = 1024) -> DataFrame:
-    """(id, v): one usable vector per id. Of repeated ids the smallest vector counts."""
+    """(id, row, v): every row with an id and a usable vector; ``row`` tells rows of one id apart.
+
+    Row numbers are given as rows are read, so the table has to be written before it is used.
+    """
     v = F.col(vector)
     rows = df.filter(F.col(id_column).isNotNull() & usable(v))
-    rows = rows.select(F.col(id_column).cast("bigint").alias("id"), quantised(v, scale).alias("v"))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select(
+        F.col(id_column).cast("bigint").alias("id"), F.monotonically_increasing_id().alias("row"), quantised(v, scale).alias("v")
+    )
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` best rows for each row that satisfies ``queries``, as (query_id, rank, vec_id, score).
 
-    ``vectors`` is (id, v) as from :func:`prepared`, written beforehand, as each pass reads it.
+    ``vectors`` is (id, row, v) as from :func:`prepared`, written beforehand, as each pass reads it.
     Score: inner product of the integer vectors, a shorter one continued with zeros. A query does
-    not find itself. Fewer than ``k`` other rows: all of them. Ties go to the smaller id. No rows,
-    or no queries: no result rows.
+    not find its own row; other rows of its id are candidates like any, and queries of their own.
+    Fewer than ``k`` other rows: all of them. Ties go to the smaller id. No rows, or no queries: no
+    result rows.
     """
     spark = vectors.sparkSession
     # Blocks of consecutive ids, cut at exact places of the ordered query ids.
     chosen = written(vectors.filter(queries), "topk-queries")
     total = chosen.count()
     parts: list[DataFrame] = []
-    after: int | None = None
+    rest = chosen
     for _ in range(-(-total // query_block)):
-        rest = chosen if after is None else chosen.filter(F.col("id") > after)
-        block = rest.orderBy("id").limit(query_block).collect()
-        after = block[-1].id
+        block = rest.orderBy("id", "row").limit(query_block).collect()
+        last = block[-1]
+        rest = chosen.filter((F.col("id") > last.id) | ((F.col("id") == last.id) & (F.col("row") > last.row)))
         parts.append(written(_block_top_k(vectors, block, k), "topk-found"))
     if not parts:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
@@ -78,9 +83,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int, query_block: int = QUERY_
 class _Scorer:
     """Scores of a block of queries against batches of candidates."""
 
-    def __init__(self, ids: list[int], rows: list[list[int]]):
-        self.ids = np.array(ids, np.int64)
-        self.matrix = _matrix(rows, max((len(r) for r in rows), default=0))
+    def __init__(self, queries: list):
+        self.ids, self.rows = (np.array([q[c] for q in queries], np.int64) for c in ("id", "row"))
+        self.matrix = _matrix([q.v for q in queries], max((len(q.v) for q in queries), default=0))
+        self.floats = self.matrix.astype(float)
         self.largest = int(np.abs(self.matrix).max(initial=0))
 
     def batches(self, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -88,15 +94,15 @@ class _Scorer:
         for frame in frames:
             for at in range(0, len(frame), ROWS):
                 part = frame.iloc[at : at + ROWS]
-                ids = part["id"].to_numpy(np.int64)
+                ids, own = part["id"].to_numpy(np.int64), part["row"].to_numpy(np.int64)
                 width = self.matrix.shape[1]
                 rows = _matrix([r[:width] for r in part["v"]], width)
                 bound = self.largest * int(np.abs(rows).max(initial=0)) * max(width, 1)
                 if bound < EXACT:
-                    scores = (self.matrix.astype(float) @ rows.T.astype(float)).astype(np.int64)
+                    scores = (self.floats @ rows.T.astype(float)).astype(np.int64)
                 else:
                     scores = self.matrix @ rows.T
-                yield ids, scores, ids[None, :] != self.ids[:, None]
+                yield ids, scores, own[None, :] != self.rows[:, None]
 
 
 def _matrix(rows, width: int) -> np.ndarray:
@@ -116,7 +122,7 @@ def _best(found: np.ndarray, k: int) -> np.ndarray:
 
 
 def _block_top_k(vectors: DataFrame, block: list, k: int) -> DataFrame:
-    scorer = _Scorer([r.id for r in block], [r.v for r in block])
+    scorer = _Scorer(block)
     n = len(block)
 
     def extremes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,11 +183,13 @@ def _block_top_k(vectors: DataFrame, block: list, k: int) -> DataFrame:
         for ids, scores, other in scorer.batches(frames):
             q, c = np.nonzero(other & (scores >= cut[:, None]) & (high >= low)[:, None])
             best = _best(np.concatenate([best, [q, ids[c], scores[q, c]]], axis=1), k)
-        yield pd.DataFrame({"query_id": scorer.ids[best[0]], "vec_id": best[1], "score": best[2]})
+        yield pd.DataFrame(
+            {"query_id": scorer.ids[best[0]], "query_row": scorer.rows[best[0]], "vec_id": best[1], "score": best[2]}
+        )
 
-    ordered = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ordered = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return (
-        vectors.mapInPandas(kept, "query_id long, vec_id long, score long")
+        vectors.mapInPandas(kept, "query_id long, query_row long, vec_id long, score long")
         .withColumn("rank", F.row_number().over(ordered))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")

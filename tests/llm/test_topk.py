@@ -8,17 +8,16 @@ from flowsieve.session import written
 
 
 def brute(rows, k, every):
-    vectors = {}
+    vectors = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        q = [math.floor(1024 * x) for x in v]
-        vectors[i] = min(vectors.get(i, q), q)
+        vectors.append((i, [math.floor(1024 * x) for x in v]))
     found = []
-    for i, v in vectors.items():
+    for own, (i, v) in enumerate(vectors):
         if i % every:
             continue
-        scored = [(-sum(a * b for a, b in zip(v, w)), j) for j, w in vectors.items() if j != i]
+        scored = [(-sum(a * b for a, b in zip(v, w)), j) for at, (j, w) in enumerate(vectors) if at != own]
         found += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scored)[:k])]
     return sorted(found)
 
@@ -47,3 +46,12 @@ def test_few_rows_and_large_numbers(spark):
     assert run(spark, rows, 10, 100) == brute([r[:2] for r in rows], 10, 100)
     assert run(spark, [], 10, 100) == []
     assert run(spark, [(0, [1.0], 0)], 10, 100) == []
+
+
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    """An id with two different vectors, as a query and as a candidate."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [4.0, 0.0]), (1, [0.0, 4.0]), (2, [3.0, 3.0])]
+    found = run(spark, [(i, v, 0) for i, v in rows], 3, 100)
+    assert found == brute(rows, 3, 100) and len(found) == 9
+    assert [r for r in found if r[1] == 1] == [(0, 1, 1, 4 * 1024 * 1024)] * 3
+    assert run(spark, [(i, v, 0) for i, v in rows], 3, 100, block=1) == found
