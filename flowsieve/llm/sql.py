@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.llm.secrets import BASE_KINDS, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, KINDS
+from flowsieve.llm.secrets import EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, KINDS
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -119,9 +119,19 @@ FROM coded
 """
 
 
+# The base kinds as they are asked for (group with the value, its least length); the further
+# kinds are the operator's own.
+_BASE_KINDS = {
+    "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    "access": (r"AKIA[A-Z0-9]+", 0, 20),
+    "hex": (r"[0-9a-f]+", 0, 24),
+}
+
+
 def _kind_sql(place: int) -> str:
     """Matches of one kind with their places: what lies between matches gives them."""
     kind, pattern, group, least, _ = KINDS[place]
+    pattern, group, least = _BASE_KINDS.get(kind, (pattern, group, least))
     p = pattern.replace("'", "''")
     return f"""
     SELECT row, source, lang, {place} AS place, '{kind}' AS kind, start, start + length(m) AS stop, v AS value
@@ -137,7 +147,7 @@ def _kind_sql(place: int) -> str:
     ) WHERE length(v) >= {least}"""
 
 
-_BASE = ", ".join(f"'{kind}'" for kind in BASE_KINDS)
+_BASE = ", ".join(f"'{kind}'" for kind in _BASE_KINDS)
 _LISTED = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place)"
 
 OP8 = f"""

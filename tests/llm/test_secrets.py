@@ -11,12 +11,19 @@ NASTY = [
     "ghp_abcdefghijklmnopqrstuvwxyz0123", "ÄÖ𝒳", "secret  :  é", "secret=", "ſecret=longvalue", "toKen=longvalue", "passwd='x", "\n", " ", "xoxb-1234567890-ab",
 ]
 
+# The base kinds as they are asked for, with the group whose length counts.
+BASE = {
+    "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2),
+    "access": (r"AKIA[A-Z0-9]+", 0),
+    "hex": (r"[0-9a-f]+", 0),
+}
+
 
 def brute(text):
     found = []
     for place, (kind, pattern, group, least, _) in enumerate(secrets.KINDS):
-        base = {"access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}.get(kind, pattern)
-        for m in re.finditer(base, text or "", re.ASCII):
+        pattern, group = BASE.get(kind, (pattern, group))
+        for m in re.finditer(pattern, text or "", re.ASCII):
             if len(m[group]) >= least:
                 found.append((m.start(), place, kind, m.end()))
     return sorted(found)
