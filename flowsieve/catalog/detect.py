@@ -59,7 +59,7 @@ paths AS (
 
 def flow_matrix(spark, folder):
     """The ten features, infinities and gaps as 0, standardised; written, as a fit reads it often."""
-    df = order_flows(spark, folder)
+    df = written(order_flows(spark, folder).select("flow_id", "true_label", *FEATURES), "flows")
     fitted = prep.fit_prep(df, FEATURES, impute="zero", drop_constant=False, log_skewed=False)
     return written(fitted.transform(df, ["flow_id", "true_label"]), "matrix")
 
@@ -194,7 +194,7 @@ def reconstruction_error(spark, folder):
 @query("d6_curved_reconstruction")
 def curved_reconstruction(spark, folder):
     """Errors of the curved form on the flow table, fitted on its benign rows."""
-    df = order_flows(spark, folder)
+    df = written(order_flows(spark, folder).select("flow_id", "true_label", *FEATURES), "flows")
     fitted = prep.fit_prep(df, FEATURES)
     matrix = written(fitted.transform(df, ["flow_id", "true_label"]), "matrix")
     detector = recon.fit_curved_reconstruction(matrix.filter("true_label = 0"), fitted.kept)

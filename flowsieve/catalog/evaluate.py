@@ -350,7 +350,8 @@ BOXES = ["fwd_bytes", "flow_pkts_s", "rst_flag", "syn_flag"]
     FROM logged JOIN quarts USING (feature, "class") GROUP BY feature, "class\""""),
 )
 def box_summary(spark, folder):
-    return rounded(distributions.box_summary(order_flows(spark, folder), BOXES))
+    flows = written(order_flows(spark, folder).select("true_label", *BOXES), "flows")
+    return rounded(distributions.box_summary(flows, BOXES))
 
 
 DETECTORS = ["if_score", "lof_score", "recon_score"]

@@ -281,7 +281,7 @@ FINITE = f"finite AS (SELECT flow_id, true_label, {finite('flow_byts_s')} AS rat
     SELECT flow_id, {r("coalesce(rate, (SELECT median(rate) FROM finite))", "flow_byts_s")} FROM finite"""),
 )
 def median_impute(spark, folder):
-    df = order_flows(spark, folder).select("flow_id", "flow_byts_s")
+    df = written(order_flows(spark, folder).select("flow_id", "flow_byts_s"), "flows")
     fill = prep.fit_medians(df, ["flow_byts_s"])["flow_byts_s"]
     value = F.coalesce(finite_or_null("flow_byts_s"), F.lit(fill))
     return rounded(df.select("flow_id", value.alias("flow_byts_s")))
@@ -312,7 +312,7 @@ def own_medians(spark, folder):
 )
 def drop_constant(spark, folder):
     columns = ["fwd_bytes", "rst_flag", "const_col", "flow_duration_s"]
-    fitted = prep.fit_prep(order_flows(spark, folder), columns)
+    fitted = prep.fit_prep(written(order_flows(spark, folder).select(*columns), "flows"), columns)
     return rounded(
         fitted.table(spark).select(
             "feature", F.sqrt("variance").alias("sd"), F.col("kept").cast("int").alias("kept")
@@ -389,7 +389,7 @@ def log_skewed(spark, folder):
         body=f"SELECT flow_id, {', '.join(r(c) for c in FEATURES)} FROM z"),
 )
 def standardise(spark, folder):
-    df = order_flows(spark, folder)
+    df = written(order_flows(spark, folder).select("flow_id", *FEATURES), "flows")
     fitted = prep.fit_prep(df, FEATURES, impute="zero", drop_constant=False, log_skewed=False)
     return rounded(fitted.transform(df, ["flow_id"]))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import quoted
 from flowsieve.operators import iforest
-from flowsieve.plans.detect import flag_scored, squared_z
+from flowsieve.plans.detect import squared_z
 from flowsieve.session import written
 from flowsieve.sources.flows import FEATURES, event_scores, order_flows
 
@@ -210,8 +210,10 @@ def event_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 def flagged_flows(spark: SparkSession, folder: str) -> DataFrame:
     """Order flows with the deterministic score and the lowest-scored fraction flagged."""
-    flows = written(order_flows(spark, folder), "flows")
-    return flag_scored(squared_z(flows, FEATURES), CONTAMINATION)
+    scored = squared_z(written(order_flows(spark, folder), "flows"), FEATURES)
+    # The cut needs the scores alone; they follow from the row, so that no row is written again.
+    low = iforest.flag_lowest(written(scored.select("if_score"), "scores"), "if_score", CONTAMINATION)
+    return scored.withColumn("flag", F.coalesce(low, F.lit(False)).cast("int"))
 
 
 def staged_flows(spark: SparkSession, folder: str) -> DataFrame:
