@@ -331,6 +331,10 @@ def flow_split(spark, folder, category: bool):
     return marked.filter("not is_test"), marked.filter("is_test")
 
 
+# Rounds for each class where there are more than two: with six classes these are 300 trees.
+CLASS_ROUNDS = 50
+
+
 def run_two_stage(spark, folder, category, hidden, limit, rounds):
     train, test = flow_split(spark, folder, category)
     model = detect.fit_two_stage(train, FEATURES, "y", "attack_cat", hidden, rounds=rounds)
@@ -347,15 +351,15 @@ def two_class_stage(spark, folder):
 
 @query("d15_many_class_stage")
 def many_class_stage(spark, folder):
-    """The same with all attack classes and a random forest."""
-    routed = run_two_stage(spark, folder, True, (), routing.CONFIDENCE, 200)
+    """The same with all attack classes, each boosted against the rest."""
+    routed = run_two_stage(spark, folder, True, (), routing.CONFIDENCE, CLASS_ROUNDS)
     return rounded(routed.select("flow_id", "y", "category", "flag", "predicted", "confidence", "route", "final"))
 
 
 @query("d15_class_hold_out_run")
 def class_hold_out_run(spark, folder):
     """Stage 2 never sees the hidden classes; how many of their rows reach the review queue."""
-    routed = run_two_stage(spark, folder, True, HIDDEN, routing.HOLD_OUT_CONFIDENCE, 200)
+    routed = run_two_stage(spark, folder, True, HIDDEN, routing.HOLD_OUT_CONFIDENCE, CLASS_ROUNDS)
     return rounded(routing.hidden_detection(routed, HIDDEN))
 
 
@@ -398,5 +402,5 @@ def detector_comparison_flows(spark, folder):
 @query("f24_fitted_two_stage")
 def fitted_two_stage(spark, folder):
     """The summary of a run whose detector and second stage were fitted here."""
-    routed = run_two_stage(spark, folder, True, (), routing.CONFIDENCE, 200)
+    routed = run_two_stage(spark, folder, True, (), routing.CONFIDENCE, CLASS_ROUNDS)
     return rounded(report.two_stage_summary("flows", routed))
