@@ -5,8 +5,10 @@ its first place with a value below 1, its second with a value below 2, and so on
 shingle are thus different ones, which lowers the variance, and a text is done as soon as no later
 value can be a minimum: a text with many shingles needs few of them.
 
-Texts with equal shingle sets are one class. Classes that agree in a band are candidates, unless their
-signatures are too far apart. Inside a band's bucket every class is compared with a leader drawn anew for
+Texts with equal shingle sets are one class. Classes that agree in a band are candidates, unless the
+counts of their shingles by cells show that they have too few in common: the sum of the lesser counts
+is never less than what is shared, so no link is lost. (Large sets, for which cells say little, are
+compared.) Inside a band's bucket every class is compared with a leader drawn anew for
 each band and round, so that a large group of near copies is connected by a few comparisons each; only
 where a bucket still spans several components are its other pairs compared.
 """
@@ -14,7 +16,6 @@ where a bucket still spans several components are its other pairs compared.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,11 @@ SHINGLE_WORDS, PERCENT = 5, 80
 # A pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 37, 4 in 10 million.
 BANDS, BAND_ROWS = 37, 5
 # Rounds of leaders at most; a round without a new link is the last.
-LEADER_ROUNDS = 6
-# Deviations by which a signature may underestimate the similarity asked for.
-DEVIATIONS = 5.0
+LEADER_ROUNDS = 2
+# A set is summed up by cells: how many shingles fall into each, counted to a depth. Sets with more
+# than so many shingles overfill them and are not told apart before they are compared.
+CELLS, DEPTH, CELLED = 256, 3, 512
+_NUMBERS = CELLS * DEPTH // 64
 
 _STEP = np.uint32(1 << 24)
 
@@ -86,7 +89,8 @@ def _class_keys(text: np.ndarray, value: np.ndarray, counts: np.ndarray) -> list
 def fingerprints(documents: DataFrame, shingle_words: int, bands: int, band_rows: int) -> DataFrame:
     """(doc_id, n_shingles, class, bands, sketch) of each document; ``bands`` is empty without shingles.
 
-    ``sketch`` has the signature's values at four bits each, sixteen to a number.
+    ``sketch`` has a bit per cell that holds at least one of the shingles, then a bit per cell that holds at
+    least two, and so on.
     """
     size = bands * band_rows
 
@@ -97,9 +101,7 @@ def fingerprints(documents: DataFrame, shingle_words: int, bands: int, band_rows
                 text, value = _sets(chunk, shingle_words)
                 counts = np.bincount(text, minlength=n)
                 signature = superminhash(text, value, n, size)
-                nibbles = np.zeros((n, -(-size // 16) * 16), np.uint64)
-                nibbles[:, :size] = signature & np.uint32(15)
-                sketch = (nibbles.reshape(n, -1, 16) << np.arange(0, 64, 4, dtype=np.uint64)).sum(2, dtype=np.uint64)
+                sketch = _cells(text, value, n)
                 signature = signature.reshape(n, bands, band_rows)
                 keys = np.tile(np.arange(bands, dtype=np.uint64), (n, 1))
                 for row in range(band_rows):
@@ -124,6 +126,14 @@ def fingerprints(documents: DataFrame, shingle_words: int, bands: int, band_rows
     return slim.mapInArrow(run, "doc_id long, n_shingles long, class binary, bands array<long>, sketch array<long>")
 
 
+def _cells(text: np.ndarray, value: np.ndarray, texts: int) -> np.ndarray:
+    """Per text, the bits of the cells of its distinct shingle hashes, 64 to a number."""
+    held = np.zeros((texts, CELLS), np.int64)
+    np.add.at(held, (text, (mixed(value, 71) % np.uint64(CELLS)).astype(np.int64)), 1)
+    bits = [np.packbits(held >= depth, axis=1, bitorder="little") for depth in range(1, DEPTH + 1)]
+    return np.ascontiguousarray(np.concatenate(bits, axis=1)).view(np.uint64)
+
+
 def _class_texts(documents: DataFrame, representatives: DataFrame, shingle_words: int) -> DataFrame:
     """(class, text): one text of each class in ``representatives`` (class, doc_id)."""
 
@@ -170,15 +180,27 @@ def _linked(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int
     return pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary")
 
 
-def _differing(x: Column, y: Column, numbers: int) -> Column:
-    """Places at which two sketches differ."""
-    total = F.lit(0)
-    for i in range(numbers):
-        bits = x[i].bitwiseXOR(y[i])
-        any_bit = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
-        any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(any_bit, 2))
-        total = total + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
+def with_cells(df: DataFrame) -> DataFrame:
+    """``df`` with the numbers of ``sketch`` as columns s0, s1, ..., and ``held``, the shingles they count."""
+    numbers = [F.col("sketch")[i] for i in range(_NUMBERS)]
+    held = sum((F.bit_count(x) for x in numbers), F.lit(0))
+    return df.select("*", *[x.alias(f"s{i}") for i, x in enumerate(numbers)], held.alias("held")).drop("sketch")
+
+
+CELL_COLUMNS = [*[f"s{i}" for i in range(_NUMBERS)], "held"]
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """False for two sets that cannot be as similar as asked; ``x`` and ``y`` are what stands before the
+    names of their columns (n and ``CELL_COLUMNS``).
+
+    They share at most what their cells share, and what the cells of either did not count. The expression
+    is kept short: it is evaluated for every two sets of a bucket.
+    """
+    n_x, n_y = F.col(f"{x}n"), F.col(f"{y}n")
+    shared = sum((F.bit_count(F.col(f"{x}s{i}").bitwiseAND(F.col(f"{y}s{i}"))) for i in range(_NUMBERS)), F.lit(0))
+    most = shared + F.least(n_x - F.col(f"{x}held"), n_y - F.col(f"{y}held"))
+    return (F.greatest(n_x, n_y) > CELLED) | (most * (100 + percent) >= percent * (n_x + n_y))
 
 
 def near_duplicates(
@@ -208,13 +230,11 @@ def near_duplicates(
     # Classes of the bands that hold at least two.
     members = written(placed.join(shared, "band").select("band", "class", "n").distinct(), "band-members")
     sketches = classed.join(members.select("class"), "class", "left_semi").select("class", "sketch")
-    members = written(members.join(sketches.dropDuplicates(["class"]), "class"), "sketched-members")
+    members = written(members.join(with_cells(sketches.dropDuplicates(["class"])), "class"), "sketched-members")
     firsts = written(classed.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
     involved = members.select("class").distinct().join(firsts, "class")
     texts = written(_class_texts(documents, involved, shingle_words).dropDuplicates(["class"]), "class-texts")
 
-    size, share = bands * band_rows, percent / 100
-    most_apart = int(size * (1 - share) + DEVIATIONS * math.sqrt(size * share * (1 - share)))
     compared, labels, leading = None, None, True
     for turn in itertools.count():
         rows = members
@@ -226,7 +246,7 @@ def near_duplicates(
             rows = rows.join(spans.filter("c0 <> c1").select("band"), "band")
         else:
             rows = rows.withColumn("component", F.col("class"))
-        leader = F.struct("class", "n", "component", "sketch")
+        leader = F.struct("class", "n", "component", *CELL_COLUMNS)
         if leading:
             # One leader for all bands first, which connects most with few comparisons.
             by = F.lit(0) if turn == 0 else F.col("band")
@@ -239,7 +259,7 @@ def near_duplicates(
         apart = (F.col("component") != F.col("l.component")) & (F.col("class") != F.col("l.class"))
         if not leading:
             apart = apart & (F.col("class") < F.col("l.class"))
-        alike = _differing(F.col("sketch"), F.col("l.sketch"), -(-size // 16)) <= most_apart
+        alike = may_link("", "l.", percent)
         pairs = rows.join(leads, (rows.band == leads.band) & close & apart & alike)
         pairs = pairs.select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b")).distinct()
         if compared is not None:

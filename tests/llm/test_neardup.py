@@ -102,3 +102,29 @@ def test_components(spark):
     found = components(spark.createDataFrame(links, "a long, b long")).collect()
     expected = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 180)} | {300: 300, 400: 400, 401: 400}
     assert {r.node: r.component for r in found} == expected
+
+
+@pytest.mark.parametrize("words", [8, 120, 500, 530, 900])
+def test_the_filter_loses_no_link_and_refutes_most_others(spark, words):
+    """Copies with ever more changes, some of them larger than the sets that are counted by cells."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(words)
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    docs = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(0, max(words // 12, 1))):
+            copy[rng.randrange(words)] = f"x{rng.randrange(5000)}"
+        docs.append((i, " ".join(copy)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    prints = neardup.fingerprints(df, 4, neardup.BANDS, neardup.BAND_ROWS).select("doc_id", "n_shingles", "sketch")
+    cells = neardup.with_cells(prints.withColumnRenamed("n_shingles", "n"))
+    x, y = (cells.select([F.col(c).alias(f"{k}{c}") for c in cells.columns]) for k in "xy")
+    pairs = x.join(y, F.col("xdoc_id") < F.col("ydoc_id")).filter(neardup.may_link("x", "y", 80))
+    passed = {(r.xdoc_id, r.ydoc_id) for r in pairs.select("xdoc_id", "ydoc_id").collect()}
+    sets = [shingle_set(t) for _, t in docs]
+    linked = {(i, j) for j in range(60) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    far = {(i, j) for j in range(60) for i in range(j) if 100 * len(sets[i] & sets[j]) < 70 * len(sets[i] | sets[j])}
+    assert linked <= passed
+    assert words > 200 or len(far & passed) <= len(far) / 10
