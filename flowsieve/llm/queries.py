@@ -40,9 +40,10 @@ def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
-    captures = warc.write_archives(table(spark, folder, "pages"))
-    index = written(warc.build_index(captures), "warc-index")
-    return warc.read_archives(index).select(
+    """Every page's record is found by its URL: directory, block, byte range."""
+    pages = table(spark, folder, "pages")
+    index = written(warc.build_index(warc.write_archives(pages)), "warc-index")
+    return warc.look_up(index, pages.select("url")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 

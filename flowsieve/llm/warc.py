@@ -7,7 +7,8 @@ Index: captures are sorted by their reversed-host URL key and stored in compress
 a sparse directory holds the first key and the place of each block. A look-up searches the directory
 for the block, searches the block's lines for the key, and reads only the record's byte range.
 
-Archives are written and range-read through ``pyarrow.fs``, so the folder may be in any shared store.
+Archives are written and range-read through ``pyarrow.fs``, under the folder's full address as Hadoop
+names it, so the folder may be in any shared store that both know.
 Every attempt of a task writes a file under a name of its own, and only the rows of the attempt that
 ended well name it: a lost executor leaves an unused file, never a broken one.
 """
@@ -26,7 +27,7 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +35,8 @@ from flowsieve.session import scratch_path, written
 
 BLOCK_LINES = 1_000
 FILE_BYTES = 256 * 2**20
+# Bytes of records that one task reads back, about.
+READ_BYTES = 16 * 2**20
 CAPTURE_DATE = "2024-01-01T00:00:00Z"
 
 _RENDERED = "page_id long, url string, digest string, payload_bytes long, record binary"
@@ -120,6 +123,13 @@ def _parsed(member: bytes) -> tuple:
     )
 
 
+def full_address(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme: one without names the default store to Hadoop, but the local disk to others."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return re.sub("^file:/(?!/)", "file:///", found)
+
+
 def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write (page_id, url, html) as archives; returns their captures (key, page_id, file, offset, length).
 
@@ -157,7 +167,7 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, file_bytes: int
         F.col("first"),
     )
     placed = rendered.join(firsts, "digest", "left").withColumn("refers_to", refers).drop("first")
-    folder = scratch_path(pages.sparkSession, "warc")
+    folder = full_address(pages.sparkSession, scratch_path(pages.sparkSession, "warc"))
 
     def store(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filesystem, path = fs.FileSystem.from_uri(folder)
@@ -190,25 +200,27 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, file_bytes: int
 
 
 def build_index(captures: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Blocks of sorted captures: (first_key, last_key, lines, block), about ``block_lines`` lines each.
+    """Blocks of sorted captures: (first_key, last_key, lines, bytes, block), about ``block_lines`` lines
+    each; ``bytes`` are those of the records that the block names.
 
     Keys are cut into ranges by Spark's range partitioning, with the page id as second key, so that
     a URL with any number of captures is spread over blocks.
     """
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[str, str]] = []
+        held: list[tuple[str, str, int]] = []
 
-        def block(lines: list[tuple[str, str]]) -> pd.DataFrame:
-            body = zlib.compress("\n".join(f"{k}\t{r}" for k, r in lines).encode(), 6)
+        def block(lines: list[tuple[str, str, int]]) -> pd.DataFrame:
+            body = zlib.compress("\n".join(f"{k}\t{r}" for k, r, _ in lines).encode(), 6)
+            size = sum(n for _, _, n in lines)
             return pd.DataFrame(
-                {"first_key": [lines[0][0]], "last_key": [lines[-1][0]], "lines": [len(lines)], "block": [body]}
+                {"first_key": [lines[0][0]], "last_key": [lines[-1][0]], "lines": [len(lines)], "bytes": [size], "block": [body]}
             )
 
         for frame in frames:
             for key, page_id, file, offset, length in frame.itertuples(index=False):
                 page_id = "" if pd.isna(page_id) else int(page_id)
-                held.append((key, f"{page_id}\t{file}\t{offset}\t{length}"))
+                held.append((key, f"{page_id}\t{file}\t{offset}\t{length}", int(length)))
                 if len(held) == block_lines:
                     yield block(held)
                     held = []
@@ -219,7 +231,7 @@ def build_index(captures: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
     return (
         captures.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .mapInPandas(blocks, "first_key string, last_key string, lines long, block binary")
+        .mapInPandas(blocks, "first_key string, last_key string, lines long, bytes long, block binary")
     )
 
 
@@ -253,19 +265,27 @@ def _read(frames: Iterator[pd.DataFrame], wanted=None) -> Iterator[pd.DataFrame]
         handle.close()
 
 
+def _spread(blocks: DataFrame, key: str) -> DataFrame:
+    """Blocks dealt to as many tasks as their records' bytes ask for; the blocks themselves are small."""
+    total = blocks.agg(F.sum("bytes")).first()[0] or 0
+    return blocks.repartition(max(-(-total // READ_BYTES), 1), key)
+
+
 def read_archives(index: DataFrame) -> DataFrame:
     """Every record the index names, read back from the archives by byte ranges."""
-    return index.select("block").mapInPandas(_read, _RECORD)
+    return _spread(index, "first_key").select("block").mapInPandas(_read, _RECORD)
 
 
 def look_up(index: DataFrame, urls: DataFrame, directory_rows: int = 100_000) -> DataFrame:
     """Records of the given ``urls`` (column url): sparse directory, block, line, byte range.
 
     The directory (one row per block) is searched on every executor, ``directory_rows`` rows at a
-    time. URLs that are not archived, or null, give no rows; repeated URLs are looked up once.
+    time. A URL that is not archived gives no rows; repeated URLs are looked up once. Records without
+    a URL are filed under the empty one, and a null URL asks for these.
     """
-    key = F.udf(url_key, T.StringType())
-    wanted = written(urls.filter("url is not null").select(key("url").alias("key")).distinct(), "warc-keys")
+    key = F.pandas_udf(lambda urls: urls.map(url_key), T.StringType())
+    wanted = urls.select(F.coalesce("url", F.lit("")).alias("url")).distinct()
+    wanted = written(wanted.select(key("url").alias("key")).distinct(), "warc-keys")
     blocks = written(index.withColumn("block_id", F.monotonically_increasing_id()), "warc-directory")
     hits = wanted.select("key", F.lit(0).cast("bigint").alias("block_id")).limit(0)
     after = None
@@ -282,8 +302,8 @@ def look_up(index: DataFrame, urls: DataFrame, directory_rows: int = 100_000) ->
         after = (part[-1].first_key, part[-1].block_id)
         hits = hits.unionByName(wanted.select("key", F.explode(_search(part)("key")).alias("block_id")))
     asked = hits.groupBy("block_id").agg(F.collect_set("key").alias("keys"))
-    found = blocks.join(asked, "block_id").select("block", "keys")
-    return found.mapInPandas(lambda frames: _read(frames, lambda f, i: sorted(f["keys"].iloc[i])), _RECORD)
+    found = written(blocks.join(asked, "block_id").select("block_id", "bytes", "block", "keys"), "warc-asked")
+    return _spread(found, "block_id").select("block", "keys").mapInPandas(lambda frames: _read(frames, lambda f, i: sorted(f["keys"].iloc[i])), _RECORD)
 
 
 def _search(directory: list):

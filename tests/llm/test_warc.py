@@ -57,12 +57,37 @@ def test_small_payloads_are_responses(spark):
 
 @pytest.mark.parametrize("slice_rows", [1, 100])
 def test_look_up_by_url(spark, index, slice_rows):
-    urls = ["http://b.com/x", "http://a.org/again", "http://nowhere.com", None, "http://b.com/x"]
+    urls = ["http://b.com/x", "http://a.org/again", "http://nowhere.com", "http://b.com/x"]
     asked = spark.createDataFrame([(u,) for u in urls], "url string")
     found = rows(warc.look_up(index, asked, slice_rows))
     assert [r[0] for r in sorted(found, key=lambda r: r[0])] == [3, 5, 9]
 
 
+@pytest.mark.parametrize("slice_rows", [1, 100])
+def test_every_record_is_found_by_its_url(spark, index, slice_rows):
+    asked = spark.createDataFrame([(u,) for _, u, _ in PAGES], "url string")
+    assert rows(warc.look_up(index, asked, slice_rows)) == expected(PAGES)
+
+
+def test_a_third_of_the_pages_have_one_url(spark):
+    pages = [(i, "http://hot.com/" if i % 3 == 0 else f"http://h{i}.com/", f"page {i}") for i in range(600)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = written(warc.build_index(warc.write_archives(df), block_lines=20), "test-index")
+    assert rows(warc.look_up(found, df.select("url"))) == expected(pages)
+    assert len(warc.look_up(found, df.filter("page_id = 0").select("url")).collect()) == 200
+
+
+def test_reading_is_spread_by_bytes(index, monkeypatch):
+    total = sum(r.bytes for r in index.collect())
+    monkeypatch.setattr(warc, "READ_BYTES", total // 4)
+    assert warc.read_archives(index).rdd.getNumPartitions() >= 4
+
+
+def test_addresses_have_a_scheme(spark):
+    assert warc.full_address(spark, "/tmp/some where/x") == "file:///tmp/some where/x"
+    assert warc.full_address(spark, "file:///tmp/x") == "file:///tmp/x"
+
+
 def test_keys():
     assert warc.url_key("http://www.a.com/b?c#d") == "com,a)/b?c"
     assert warc.url_key(None) == ")"
