@@ -25,6 +25,8 @@ from flowsieve.session import broadcast_if_small, written
 
 SKETCH_ACCURACY = 10_000
 HEX_DIGITS = 4
+# Buckets that a low limit on a task's rows is met by. More are made only to keep them to ``TASK_ROWS``.
+BUCKETS = 256
 # Values drawn at once to choose splitters from, and splitters counted in one pass.
 SPLITTER_SAMPLE, SPLITTERS = 4_096, 64
 # Size of a group's sketch, how far its ranks are trusted (a rank beyond is found without it), and the
@@ -44,7 +46,9 @@ def running_sums(
 
     Keys are of any type that can be ordered. As long as the largest group has no more than
     ``task_rows`` rows, each group is summed up in one task. Beyond that, rows are range-partitioned by
-    group and key into buckets of about that size and summed up inside buckets. Only a group that
+    group and key into buckets of about that size and summed up inside buckets. A limit so low that this
+    takes more than ``BUCKETS`` of them, each a task of its own, is exceeded up to the usual one: edges,
+    tasks and what they send to the driver do not grow with rows over a tiny limit. Only a group that
     continues from one bucket to the next needs the totals before it, so there are at most two totals
     a bucket, however many groups there are; these are broadcast. NULL keys come first in ascending
     and last in descending order; NaN is the highest key.
@@ -60,7 +64,7 @@ def running_sums(
         return df.select("*", *[F.sum(s).over(window).alias(f"cum_{s}") for s in sums])
 
     # Edges are sampled, so half the size is asked for; written, so that rows stay in their bucket.
-    buckets = -(-2 * sizes.all // limit)
+    buckets = min(-(-2 * sizes.all // limit), max(BUCKETS, -(-2 * sizes.all // session.TASK_ROWS)))
     ranged = df.repartitionByRange(buckets, *[F.col(c).asc() for c in groups], order)
     ranged = written(ranged.withColumn("_bucket", F.spark_partition_id()), "ranges")
     names = [f"_g{i}" for i in range(len(by))]

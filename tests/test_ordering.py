@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowsieve.operators import ordering
 from flowsieve.operators.ordering import (
     grouped_quantile,
     hash_positions,
@@ -13,6 +14,7 @@ from flowsieve.operators.ordering import (
     running_sums,
     top_rows,
 )
+from flowsieve.session import written
 
 
 @pytest.fixture(scope="module")
@@ -142,6 +144,22 @@ def test_running_sums_over_text_keys_and_groups_of_all_sizes(spark, descending):
     assert {(r.g, r.k): r.cum_n for r in found.collect()} == cumulated(rows, descending)
 
 
+def test_running_sums_over_a_tiny_limit_keep_the_number_of_ranges(spark, monkeypatch):
+    """Each range is a task and a file; 3,000 rows over a limit of 5 took 1,200 of them."""
+    kept = {}
+
+    def recorded(df, label):
+        kept[label] = written(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(ordering, "written", recorded)
+    rows = [(i % 3, i, 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g long, k long, n long")
+    found = running_sums(df, "k", ["n"], task_rows=5, by=["g"])
+    assert {(r.g, r.k): r.cum_n for r in found.collect()} == cumulated(rows)
+    assert 200 < kept["ranges"].select("_bucket").distinct().count() <= 256
+
+
 def test_running_sums_broadcast_no_more_than_two_totals_a_range(spark):
     rows = [(i, 0, 1) for i in range(5000)] + [(-1, k, 1) for k in range(5000)]
     df = spark.createDataFrame(rows, "g long, k long, n long")
