@@ -130,3 +130,12 @@ def test_encode_texts_without_one_task(spark, limit):
     assert {r.id: r.n for r in found} == {i: None if w is None else names.index(w) for i, w in rows}
     # Only the ranges' totals, which are broadcast, are summed up in one task.
     assert limit != "7" or "SinglePartition" not in text.split("BroadcastExchange")[0]
+
+
+def test_many_codes_are_joined_by_sorting(spark):
+    """Their compressed file is small enough to be broadcast, what it holds need not be."""
+    rows = spark.range(30_000).select(F.format_string("name-%06d", "id").alias("name"))
+    encoded = prep.encode_labels(rows, "name")
+    text = encoded._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+    assert encoded.agg(F.sum("class_id")).first()[0] == sum(range(30_000))
