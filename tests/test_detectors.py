@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.operators import ensemble, iforest, lof, recon
 from flowsieve.operators.lof import local_outlier_factor
+from flowsieve.session import written
 
 # The thirteen-point table, ten ordinary rows and three planted outliers.
 POINTS = [
@@ -258,3 +259,30 @@ def test_curved_reconstruction_edges(spark):
     assert fitted.score(df.limit(0)).collect() == []
     with pytest.raises(ValueError, match="no benign rows"):
         recon.fit_curved_reconstruction(df.limit(0), ["a"])
+
+
+def test_visits_are_never_broadcast(spark):
+    """They compress to a few bytes a row, so that millions of them looked small to the planner."""
+    rows = [(i, [float(i), 0.0], 1, i % 3) for i in range(60)]
+    placed = written(spark.createDataFrame(rows, "rep long, _x array<double>, weight long, cell long"), "test-placed")
+    visits = placed.select("rep", "cell", F.lit(None).cast("double").alias("bound"))
+    text = lof._met(visits, placed, 2, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [rep" in text and "BroadcastHashJoin [rep" not in text
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 1e200])
+def test_close_pairs_are_those_of_all_distances(scale):
+    """Far from the origin, among equal points and where squares overflow, bounds known or not."""
+    rng = np.random.default_rng(3)
+    points, rows = (np.round(rng.normal(size=(n, 4)), 1) * scale + (1e6 if scale < 1 else 0) for n in (50, 90))
+    points[:5] = rows[:5]
+    bounds = np.where(rng.random(50) < 0.5, np.nan, rng.random(50) * 2 * scale)
+    with np.errstate(over="ignore", invalid="ignore"):
+        found = lof._close_pairs(points, rows, 7, bounds)
+        dist = np.stack([lof._distances(points, row) for row in rows], axis=1)
+    pairs = {(p, r): d for p, r, d in zip(*found)}
+    for p in range(50):
+        near = sorted(range(90), key=lambda r: (dist[p, r], r))[:7]
+        wanted = [r for r in near if not dist[p, r] > bounds[p]]
+        mine = sorted((r for q, r in pairs if q == p), key=lambda r: (dist[p, r], r))[:7]
+        assert mine == wanted and all(pairs[p, r] == dist[p, r] for r in wanted)
