@@ -286,3 +286,18 @@ def test_close_pairs_are_those_of_all_distances(scale):
         wanted = [r for r in near if not dist[p, r] > bounds[p]]
         mine = sorted((r for q, r in pairs if q == p), key=lambda r: (dist[p, r], r))[:7]
         assert mine == wanted and all(pairs[p, r] == dist[p, r] for r in wanted)
+
+
+@pytest.mark.parametrize("size,scale,offset", [(2, 1.0, 0.0), (10, 1e-3, 1e5)])
+def test_planes_between_pivots_rule_out_no_near_row(size, scale, offset):
+    """And more cells than half the difference of distances does."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(600, size)) * scale + offset
+    pivots, points = np.vstack([rows[:20], rows[:1]]), rows[300:]
+    cells = np.stack([lof._distances(rows, p) for p in pivots], axis=1).argmin(axis=1)
+    dist = np.stack([lof._distances(points, p) for p in pivots], axis=1)
+    least = lof._behind_planes(dist, lof._apart(pivots))
+    for cell in range(20):
+        nearest = np.stack([lof._distances(points, r) for r in rows[cells == cell]]).min(axis=0)
+        assert (least[:, cell] <= nearest * (1 + 1e-9) + 1e-12).all()
+    assert least.mean() > 1.3 * ((dist - dist.min(axis=1, keepdims=True)) / 2).mean()
