@@ -7,10 +7,11 @@ value can be a minimum: a text with many shingles needs few of them.
 
 Texts with equal shingle sets are one class. Classes that agree in a band are candidates, unless the
 counts of their shingles by cells show that they have too few in common: the sum of the lesser counts
-is never less than what is shared, so no link is lost. (Large sets, for which cells say little, are
-compared.) Inside a band's bucket every class is compared with a leader drawn anew for
+is never less than what is shared, so no link is lost. (Of sets of some thousands of shingles cells say
+little, and most are compared.) Inside a band's bucket every class is compared with a leader drawn anew for
 each band and round, so that a large group of near copies is connected by a few comparisons each; only
-where a bucket still spans several components are its other pairs compared.
+where a bucket still spans several components are its other pairs compared, each pair in one of the bands
+that it shares.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ SHINGLE_WORDS, PERCENT = 5, 80
 BANDS, BAND_ROWS = 37, 5
 # Rounds of leaders at most; a round without a new link is the last.
 LEADER_ROUNDS = 2
-# A set is summed up by cells: how many shingles fall into each, counted to a depth. Sets with more
-# than so many shingles overfill them and are not told apart before they are compared.
-CELLS, DEPTH, CELLED = 256, 3, 512
+# A set is summed up by cells: how many shingles fall into each, counted to a depth. Two sets of 400
+# shingles are told apart from links unless they are nearly as similar as asked.
+CELLS, DEPTH = 1024, 2
 _NUMBERS = CELLS * DEPTH // 64
+# Texts whose cells are counted at once.
+_COUNTED = 1024
 
 _STEP = np.uint32(1 << 24)
 
@@ -128,10 +131,15 @@ def fingerprints(documents: DataFrame, shingle_words: int, bands: int, band_rows
 
 def _cells(text: np.ndarray, value: np.ndarray, texts: int) -> np.ndarray:
     """Per text, the bits of the cells of its distinct shingle hashes, 64 to a number."""
-    held = np.zeros((texts, CELLS), np.int64)
-    np.add.at(held, (text, (mixed(value, 71) % np.uint64(CELLS)).astype(np.int64)), 1)
-    bits = [np.packbits(held >= depth, axis=1, bitorder="little") for depth in range(1, DEPTH + 1)]
-    return np.ascontiguousarray(np.concatenate(bits, axis=1)).view(np.uint64)
+    out = np.zeros((texts, _NUMBERS), np.uint64)
+    cell = (mixed(value, 71) % np.uint64(CELLS)).astype(np.int64)
+    for at in range(0, texts, _COUNTED):
+        n = min(_COUNTED, texts - at)
+        own = slice(*np.searchsorted(text, [at, at + n]))
+        held = np.bincount((text[own] - at) * CELLS + cell[own], minlength=n * CELLS).reshape(n, CELLS)
+        bits = [np.packbits(held >= depth, axis=1, bitorder="little") for depth in range(1, DEPTH + 1)]
+        out[at : at + n] = np.ascontiguousarray(np.concatenate(bits, axis=1)).view(np.uint64)
+    return out
 
 
 def _class_texts(documents: DataFrame, representatives: DataFrame, shingle_words: int) -> DataFrame:
@@ -200,7 +208,12 @@ def may_link(x: str, y: str, percent: int) -> Column:
     n_x, n_y = F.col(f"{x}n"), F.col(f"{y}n")
     shared = sum((F.bit_count(F.col(f"{x}s{i}").bitwiseAND(F.col(f"{y}s{i}"))) for i in range(_NUMBERS)), F.lit(0))
     most = shared + F.least(n_x - F.col(f"{x}held"), n_y - F.col(f"{y}held"))
-    return (F.greatest(n_x, n_y) > CELLED) | (most * (100 + percent) >= percent * (n_x + n_y))
+    return most * (100 + percent) >= percent * (n_x + n_y)
+
+
+def in_first_band(x: str, y: str) -> Column:
+    """True in the least of the bands that two classes share; ``earlier`` has a class's lesser bands."""
+    return ~F.arrays_overlap(f"{x}earlier", f"{y}earlier")
 
 
 def near_duplicates(
@@ -230,7 +243,10 @@ def near_duplicates(
     # Classes of the bands that hold at least two.
     members = written(placed.join(shared, "band").select("band", "class", "n").distinct(), "band-members")
     sketches = classed.join(members.select("class"), "class", "left_semi").select("class", "sketch")
-    members = written(members.join(with_cells(sketches.dropDuplicates(["class"])), "class"), "sketched-members")
+    bands_of = members.groupBy("class").agg(F.collect_set("band").alias("bands"))
+    sketched = members.join(with_cells(sketches.dropDuplicates(["class"])), "class").join(bands_of, "class")
+    earlier = F.filter("bands", lambda b: b < F.col("band"))
+    members = written(sketched.withColumn("earlier", earlier).drop("bands"), "sketched-members")
     firsts = written(classed.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
     involved = members.select("class").distinct().join(firsts, "class")
     texts = written(_class_texts(documents, involved, shingle_words).dropDuplicates(["class"]), "class-texts")
@@ -254,12 +270,15 @@ def near_duplicates(
             leads = rows.groupBy("band").agg(F.min_by(leader, drawn).alias("l"))
         else:
             # What is left: pairs of different components inside one bucket.
-            leads = rows.select("band", leader.alias("l"))
+            leads = rows.select("band", F.struct("class", "n", "component", *CELL_COLUMNS, "earlier").alias("l"))
         close = (F.col("n") * 100 >= F.col("l.n") * percent) & (F.col("l.n") * 100 >= F.col("n") * percent)
         apart = (F.col("component") != F.col("l.component")) & (F.col("class") != F.col("l.class"))
         if not leading:
             apart = apart & (F.col("class") < F.col("l.class"))
         alike = may_link("", "l.", percent)
+        if not leading:
+            # Both classes are in the same buckets of several components.
+            alike = alike & in_first_band("", "l.")
         pairs = rows.join(leads, (rows.band == leads.band) & close & apart & alike)
         pairs = pairs.select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b")).distinct()
         if compared is not None:

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowsieve.llm import neardup
 from flowsieve.llm.components import components
@@ -128,3 +129,43 @@ def test_the_filter_loses_no_link_and_refutes_most_others(spark, words):
     far = {(i, j) for j in range(60) for i in range(j) if 100 * len(sets[i] & sets[j]) < 70 * len(sets[i] | sets[j])}
     assert linked <= passed
     assert words > 200 or len(far & passed) <= len(far) / 10
+
+
+def _family(rng, copies, words, most):
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    docs = []
+    for i in range(copies):
+        copy = list(base)
+        for _ in range(rng.randint(1, most)):
+            copy[rng.randrange(words)] = f"x{rng.randrange(5000)}"
+        docs.append((i, " ".join(copy)))
+    return docs
+
+
+def test_sets_of_hundreds_of_shingles_are_told_apart_before_they_are_compared(spark):
+    docs = _family(random.Random(5), 60, 400, 16)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    prints = neardup.fingerprints(df, 4, neardup.BANDS, neardup.BAND_ROWS).select("doc_id", "n_shingles", "sketch")
+    cells = neardup.with_cells(prints.withColumnRenamed("n_shingles", "n"))
+    x, y = (cells.select([F.col(c).alias(f"{k}{c}") for c in cells.columns]) for k in "xy")
+    pairs = x.join(y, F.col("xdoc_id") < F.col("ydoc_id")).filter(neardup.may_link("x", "y", 80))
+    passed = {(r.xdoc_id, r.ydoc_id) for r in pairs.select("xdoc_id", "ydoc_id").collect()}
+    sets = [shingle_set(t) for _, t in docs]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(60) for i in range(j)}
+    linked, far = {p for p in alike if alike[p] >= 0.8}, {p for p in alike if alike[p] < 0.74}
+    assert len(linked) > 50 and len(far) > 500
+    assert linked <= passed
+    assert len(far & passed) <= len(far) / 10
+
+
+def test_a_pair_is_met_in_one_of_its_bands(spark):
+    df = spark.createDataFrame(_family(random.Random(6), 40, 80, 3), "doc_id long, text string")
+    prints = neardup.fingerprints(df, 4, neardup.BANDS, neardup.BAND_ROWS)
+    rows = prints.select("doc_id", "bands", F.explode("bands").alias("band"))
+    rows = rows.withColumn("earlier", F.filter("bands", lambda b: b < F.col("band")))
+    x, y = (rows.select([F.col(c).alias(f"{k}{c}") for c in rows.columns]) for k in "xy")
+    shared = x.join(y, (F.col("xband") == F.col("yband")) & (F.col("xdoc_id") < F.col("ydoc_id")))
+    pairs = shared.select("xdoc_id", "ydoc_id").distinct().collect()
+    met = shared.filter(neardup.in_first_band("x", "y")).select("xdoc_id", "ydoc_id").collect()
+    assert len(met) == len(pairs) < shared.count()
+    assert set(met) == set(pairs)
