@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from flowsieve.llm import repeats
@@ -59,3 +60,32 @@ def test_kept_bytes(spark):
     df = spark.createDataFrame([(1, a + b), (2, "<<" + b)], "doc_id long, text string")
     rows = {r.doc_id: bytes(r.kept).decode() for r in repeats.remove_repeats(df, 30, with_kept=True).collect()}
     assert rows == {1: a, 2: "<<"}
+
+
+def test_portions():
+    sizes = np.array([3, 3, 3, 20, 1, 9, 1])
+    parts = [sizes[p].tolist() for p in repeats._portions(sizes, 10)]
+    assert parts == [[3, 3, 3], [20], [1, 9], [1]]
+    assert list(repeats._portions(sizes[:0], 10)) == []
+
+
+def test_a_task_holds_no_more_pieces_than_it_passes_on():
+    """Classes of 256 suffixes, cut to single ones: none is lost, and no batch grows with the input."""
+    rng, classes = np.random.default_rng(0), 500
+    data = [rng.integers(0, 256, 655, np.uint8).tobytes() for _ in range(classes)]
+    rows = {
+        "digit": pa.array(range(classes), pa.int64()),
+        "whole": pa.array(range(classes), pa.int64()),
+        "far": pa.array([255] * classes, pa.int32()),
+        "copies": pa.array([2] * classes, pa.int64()),
+        "bytes": pa.array(data, pa.binary()),
+        "parts": pa.array([[{"far": 255, "n": 256}]] * classes, pa.list_(pa.struct([("far", pa.int32()), ("n", pa.int32())]))),
+    }
+    batch = pa.RecordBatch.from_pydict(rows)
+    # The first rows of a batch may belong to another one.
+    found = list(repeats._cut_batches(iter([batch.slice(0, 100), batch.slice(100)]), 400, 1))
+    assert max(b.num_rows for b in found) < repeats.PASSED_ROWS + 256
+    table = pa.Table.from_batches(found)
+    assert sorted(zip(table["of_digit"].to_pylist(), table["far"].to_pylist())) == [(c, f) for c in range(classes) for f in range(256)]
+    digit = repeats._digits(memoryview(data[300]), 5, 1, 250, 400, 1, 256)[0]
+    assert {d for c, f, d in zip(*(table[k].to_pylist() for k in ("of_digit", "far", "digit"))) if (c, f) == (300, 250)} == {digit}
