@@ -1,10 +1,14 @@
+import time
+from pathlib import Path
+from urllib.parse import urlparse
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowsieve.operators import ensemble, iforest, lof, recon
 from flowsieve.operators.lof import local_outlier_factor
-from flowsieve.session import written
+from flowsieve.session import scratch_folder, written
 
 # The thirteen-point table, ten ordinary rows and three planted outliers.
 POINTS = [
@@ -301,3 +305,69 @@ def test_planes_between_pivots_rule_out_no_near_row(size, scale, offset):
         nearest = np.stack([lof._distances(points, r) for r in rows[cells == cell]]).min(axis=0)
         assert (least[:, cell] <= nearest * (1 + 1e-9) + 1e-12).all()
     assert least.mean() > 1.3 * ((dist - dist.min(axis=1, keepdims=True)) / 2).mean()
+
+
+def kept_files(spark, since=()):
+    """Bytes by shuffle file of this session."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    files = env.blockManager().diskBlockManager().getAllFiles().toList()
+    found = [files.apply(i) for i in range(files.size())]
+    found = {f.getPath(): f.length() for f in found if f.getName().startswith("shuffle") and f.getName().endswith("data")}
+    return {f: n for f, n in found.items() if f not in since}
+
+
+def scratch_tables(spark):
+    top = Path(urlparse(scratch_folder(spark)).path)
+    return {p for p in top.iterdir()} if top.exists() else set()
+
+
+def test_lof_leaves_no_more_on_disk_than_the_rows(spark):
+    """All cells are visited by all rows here: 200 bytes for each of 190 x 3000 visits were shuffled and stayed."""
+    rng = np.random.default_rng(4)
+    points = rng.uniform(size=(3000, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id bigint, x array<double>")
+    files, tables = set(kept_files(spark)), scratch_tables(spark)
+    found = local_outlier_factor(df, ["x"], "id", neighbours=10, block_rows=64).orderBy("id").toPandas()
+    assert np.allclose(found["lof"], brute_lof(points, list(range(3000)), 10), rtol=1e-9)
+    for _ in range(50):
+        if sum(kept_files(spark, files).values()) < 4 * points.nbytes:
+            break
+        time.sleep(0.2)
+    assert sum(kept_files(spark, files).values()) < 4 * points.nbytes
+    left = {p.name.rsplit("-", 1)[0] for p in scratch_tables(spark) - tables}
+    assert not left & {"lof-points", "lof-groups", "lof-cells", "lof-home", "lof-seen", "lof-visits", "lof-neighbours", "lof-density"}
+
+
+@pytest.mark.parametrize("first_level", [256, 4])
+def test_lof_in_portions_equals_brute_force(spark, monkeypatch, first_level):
+    """Several groups, shares of one, and visits sent a few at a time; blocks of a part too."""
+    rng = np.random.default_rng(9)
+    points = np.vstack([rng.normal(c, 0.4, size=(n, 2)).round(2) for c, n in ((0, 150), (4, 60), (4.5, 60), (30, 40))])
+    points = np.vstack([points, np.tile(points[:1], (30, 1))])
+    first = {}
+    owner = [first.setdefault(tuple(p), i) for i, p in enumerate(points)]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id bigint, a double, b double")
+    monkeypatch.setattr(lof, "PORTION_BYTES", 50_000)
+    monkeypatch.setattr(lof, "PART_BLOCKS", 2)
+    found = local_outlier_factor(df, ["a", "b"], "id", neighbours=7, pivots=24, block_rows=16, first_level=first_level)
+    assert np.allclose(found.orderBy("id").toPandas()["lof"], brute_lof(points, owner, 7), rtol=1e-9)
+
+
+def test_a_row_brings_k_neighbours_from_a_part(spark):
+    """It brought as many from each of the part's cells."""
+    rows = [(i, [float(i), 0.0], 1, i % 8) for i in range(80)]
+    placed = written(spark.createDataFrame(rows, "rep long, _x array<double>, weight long, cell long"), "test-placed")
+    visits = placed.filter("rep < 5").select("rep", F.explode(F.expr("sequence(0L, 7L)")).alias("cell"), F.lit(None).cast("double").alias("bound"))
+    found = lof._met(visits, placed, 2, 16).toPandas()
+    nearest = found.sort_values(["rep", "dist", "other"])
+    assert nearest.groupby("rep")["other"].apply(list).to_dict() == {0: [1, 2], 1: [0, 2], 2: [1, 3], 3: [2, 4], 4: [3, 5]}
+
+
+def test_bounds_by_ball_and_box_rule_out_no_near_row():
+    rng = np.random.default_rng(8)
+    for offset, scale in ((0.0, 1.0), (1e6, 1e-3), (0.0, 1e200)):
+        rows, points = rng.normal(size=(40, 3)) * scale + offset, rng.normal(size=(200, 3)) * 3 * scale + offset
+        with np.errstate(over="ignore", invalid="ignore"):
+            nearest = np.stack([lof._distances(points, r) for r in rows]).min(axis=0)
+        least = lof._least_distances(points, rows)
+        assert not (least > nearest).any() and (scale > 1 or (least > 0).any())
