@@ -1,11 +1,16 @@
 """Whole runs: from a flow file to findings, two stages, detectors side by side."""
 
+import time
+from pathlib import Path
+from urllib.parse import urlparse
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowsieve.operators import prep, routing
 from flowsieve.plans import detect
-from flowsieve.session import written
+from flowsieve.session import SHUFFLE_CLEANUP, drop_written, scratch_folder, written, written_lean
 from flowsieve.sources import flows, tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -82,3 +87,49 @@ def test_detectors_side_by_side(labelled):
     assert scored.count() == train.count()
     assert scored.columns == ["id", "y", "if_score", "recon_score", "lof_score", "ensemble"]
     assert scored.filter("ensemble < 0 or ensemble > 1").count() == 0
+
+
+def test_detectors_leave_only_their_scores_in_scratch(spark):
+    """The matrix and what the neighbour search wrote stayed until the application ended; input files are not touched."""
+    rng = np.random.default_rng(6)
+    rows = [(i, int(i % 7 == 0), *map(float, p)) for i, p in enumerate(rng.normal(size=(300, 3)).round(1))]
+    rows += [(300 + i, *rows[i][1:]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id bigint, y int, a double, b double, c double")
+    stored = written(df, "test-input")
+    top = Path(urlparse(scratch_folder(spark)).path)
+    before = set(top.iterdir())
+    scored = detect.detector_scores(stored, ["a", "b", "c"], "id", "y", neighbours=5)
+    left = {p.name.rsplit("-", 1)[0] for p in set(top.iterdir()) - before}
+    assert "detectors" in left and not [name for name in left if name == "matrix" or name in ("lof-cells", "lof-groups", "lof-factors")]
+    assert scored.count() == 320 and stored.count() == 320
+
+
+def test_drop_written_spares_files_outside_scratch(spark, tmp_path):
+    path = f"file://{tmp_path}/input"
+    spark.range(5).write.parquet(path)
+    source = spark.read.parquet(path)
+    copy = written(source, "test-copy")
+    drop_written(source.unionByName(copy))
+    assert spark.read.parquet(path).count() == 5
+    folder = Path(urlparse(copy.inputFiles()[0]).path).parent
+    assert not folder.exists()
+
+
+def test_a_lean_table_keeps_no_shuffle_files(spark):
+    spark.conf.unset(SHUFFLE_CLEANUP)
+    default = spark.conf.get(SHUFFLE_CLEANUP, None)
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def kept():
+        found = files.getAllFiles().toList()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle")}
+
+    before = kept()
+    grouped = spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).count()
+    lean = written_lean(grouped, "test-lean")
+    for _ in range(50):
+        if not kept() - before:
+            break
+        time.sleep(0.2)
+    assert not kept() - before and lean.count() == 5000
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == default
